@@ -2,14 +2,34 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once per application (Spark's own file distribution)."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        root = Path(__file__).resolve().parent
+        at = Path(tempfile.mkdtemp(prefix="millrace-pkg-"))
+        for p in root.rglob("*.py"):
+            to = at / "src" / root.name / p.relative_to(root)
+            to.parent.mkdir(parents=True, exist_ok=True)
+            shutil.copy(p, to)
+        spark.sparkContext.addPyFile(shutil.make_archive(str(at / "millrace"), "zip", at / "src"))
+        _shipped.add(app)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
