@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import crosssplit, leakage
+from millrace.llm import crosssplit, leakage, lexicon
 from millrace.runtime import table
 
 
@@ -28,5 +28,9 @@ def p5_reparameterised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.reparameterised(table(spark, sf_dir, "refs"), table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_report, p5_found, p5_report, p5_reparameterised)}
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexicon.encode(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_report, p5_found, p5_report, p5_reparameterised, p7_ids)}
 SQL: dict[str, str] = {}
