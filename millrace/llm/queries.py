@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import crosssplit, leakage, lexicon
+from millrace.llm import crosssplit, leakage, lexicon, sentences
 from millrace.runtime import table
 
 
@@ -32,5 +32,9 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexicon.encode(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_report, p5_found, p5_report, p5_reparameterised, p7_ids)}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.split(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_report, p5_found, p5_report, p5_reparameterised, p7_ids, p9_found)}
 SQL: dict[str, str] = {}
