@@ -183,8 +183,8 @@ def build(documents: DataFrame, tokenizer: str = TOKENIZER, size: int = LEXICON_
     return name
 
 
-def encode(documents: DataFrame, tokenizer: str = TOKENIZER, size: int = LEXICON_WORDS, key: str = "doc_id", lengths: bool = False) -> DataFrame:
-    """``key, ids`` of every document, or ``key, n_tokens`` with ``lengths``."""
+def encode(documents: DataFrame, tokenizer: str = TOKENIZER, size: int = LEXICON_WORDS, key: str = "doc_id", lengths: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``key, ids`` of every document, or ``key, n_tokens`` with ``lengths``; the columns of ``keep`` are carried along."""
     name = build(documents, tokenizer, size)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -197,10 +197,10 @@ def encode(documents: DataFrame, tokenizer: str = TOKENIZER, size: int = LEXICON
             ids = lexicon.ids
             if lengths:
                 size_of = {w: int(y - x) if r >= 0 else len(merge.ids(w)) for w, r, x, y in zip(distinct, ranks, a, b, strict=True)}
-                yield pd.DataFrame({key: batch[key], "n_tokens": [sum(size_of[w] for w in p) for p in pieces]})
+                yield pd.DataFrame({key: batch[key], **{k: batch[k] for k in keep}, "n_tokens": [sum(size_of[w] for w in p) for p in pieces]})
             else:
                 of = {w: ids[x:y].tolist() if r >= 0 else merge.ids(w) for w, r, x, y in zip(distinct, ranks, a, b, strict=True)}
-                yield pd.DataFrame({key: batch[key], "ids": [[i for w in p for i in of[w]] for p in pieces]})
+                yield pd.DataFrame({key: batch[key], **{k: batch[k] for k in keep}, "ids": [[i for w in p for i in of[w]] for p in pieces]})
 
-    kind = documents.schema[key].dataType.simpleString()
-    return documents.select(key, "text").mapInPandas(run, f"{key} {kind}, " + ("n_tokens bigint" if lengths else "ids array<int>"))
+    kinds = ", ".join(f"{k} {documents.schema[k].dataType.simpleString()}" for k in (key, *keep))
+    return documents.select(key, *keep, "text").mapInPandas(run, f"{kinds}, " + ("n_tokens bigint" if lengths else "ids array<int>"))
