@@ -19,103 +19,117 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-UNWRAP = 3
-DEPTH = 3
+UNWRAP = 2
+DEPTH = 2
 _NUMBER = r"(BIGINT|DOUBLE|FLOAT|DECIMAL\([0-9,]+\))"
+_BLANKS = " \t\r\n"
 
 
 def _type(v: Column) -> Column:
     return F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
 
 
-def _read_through(v: Column) -> Column:
-    """A variant that is a JSON string becomes the JSON it holds."""
-    return F.when(_type(v) == "STRING", F.try_parse_json(F.try_variant_get(v, "$", "string"))).otherwise(v)
+def _parse(text: Column) -> Column:
+    """JSON text as a variant, null where it is damaged (the parser itself ignores what follows a first value)."""
+    body = F.trim(text, F.lit(_BLANKS))
+    first, last = F.left(body, F.lit(1)), F.right(body, F.lit(1))
+    closed = F.when(first == "[", last == "]").when(first == "{", last == "}").when(first == '"', last == '"').otherwise(True)
+    return F.when(closed, F.try_parse_json(text))
 
 
-def _flat_ring(v: Column) -> Column:
-    return _type(v).rlike(rf"^ARRAY<{_NUMBER}>$")
+def _typed(v: Column) -> Column:
+    return F.struct(v.alias("v"), _type(v).alias("t"))
 
 
-def _point_ring(v: Column) -> Column:
-    return _type(v).rlike(rf"^ARRAY<ARRAY<{_NUMBER}>>$") & F.forall(
-        F.try_variant_get(v, "$", "array<array<double>>"), lambda p: F.size(p) == 2
-    )
+def _flat(t: Column) -> Column:
+    return t.rlike(rf"^ARRAY<{_NUMBER}>$")
 
 
-def _is_list(v: Column) -> Column:
-    return _type(v).startswith("ARRAY<")
+def _point_ring(x: Column) -> Column:
+    return x["t"].rlike(rf"^ARRAY<ARRAY<{_NUMBER}>>$") & F.forall(F.try_variant_get(x["v"], "$", "array<array<double>>"), lambda p: F.size(p) == 2)
 
 
-def _leaf(v: Column) -> Column:
-    return _flat_ring(v) | _point_ring(v) | _type(v).startswith("OBJECT<")
+def _leaf(x: Column) -> Column:
+    return x["t"].startswith("OBJECT<") | _flat(x["t"]) | _point_ring(x)
 
 
-def _counts(counts: Column, size: Column) -> Column:
-    """A mask struct from a variant that is a list of runs or a coded string."""
-    inner = _read_through(counts)
-    text = F.try_variant_get(counts, "$", "string")
-    as_list = F.when(_flat_ring(counts), counts).when((_type(counts) == "STRING") & _flat_ring(inner), inner)
+def _elements(x: Column) -> Column:
+    """The elements of a list with their types; of a leaf, itself; of a JSON string, what it holds."""
+    held = _parse(F.try_variant_get(x["v"], "$", "string"))
     return (
-        F.when(as_list.isNotNull(), _child("run_lengths", runs=F.try_variant_get(as_list, "$", "array<bigint>"), size=size))
-        .when((_type(counts) == "STRING") & (F.trim(text) != "") & ~_is_list(inner), _child("coded_mask", coded=text, size=size))
-        .when((_type(counts) == "STRING") & (F.trim(text) != "") & inner.isNull(), _child("coded_mask", coded=text, size=size))
+        F.when(_leaf(x), F.array(x))
+        .when(x["t"].startswith("ARRAY<"), F.transform(F.try_variant_get(x["v"], "$", "array<variant>"), _typed))
+        .when(x["t"] == "STRING", F.array(_typed(held)))
+        .otherwise(F.array().cast("array<struct<v:variant,t:string>>"))
     )
 
 
-def _child(kind: str, *, coords: Column | None = None, runs: Column | None = None, coded: Column | None = None, size: Column | None = None) -> Column:
-    none = F.lit(None)
-    return F.struct(
-        F.lit(kind).alias("kind"),
-        (none if coords is None else coords).cast("array<double>").alias("coords"),
-        (none if runs is None else runs).cast("array<bigint>").alias("runs"),
-        (none if coded is None else coded).cast("string").alias("coded"),
-        (none if size is None else size).cast("array<int>").alias("size"),
+def parsed(annotations: DataFrame) -> DataFrame:
+    """``id, ingested_at, counts, damaged, size, items``: the leaves of ``segmentation`` with their types.
+
+    Each step is a projection of its own, so every text is parsed and every
+    value's type is told once, not once per use.
+    """
+    df = annotations.select("id", "ingested_at", "segmentation", "counts", _parse(F.col("segmentation")).alias("root"))
+    for _ in range(UNWRAP):
+        df = df.withColumn("t", _type(F.col("root")))
+        held = _parse(F.try_variant_get("root", "$", "string"))
+        df = df.withColumn("root", F.when(F.col("t") == "STRING", held).otherwise(F.col("root")))
+    df = df.withColumn("x", _typed(F.col("root")))
+    blank = F.col("segmentation").isNull() | (F.trim("segmentation", F.lit(_BLANKS)) == "")
+    df = df.select(
+        "id", "ingested_at", "counts", (~blank & F.col("root").isNull()).alias("damaged"),
+        F.when(F.col("x.t").startswith("OBJECT<"), F.try_variant_get("root", "$.size", "array<int>")).alias("size"), _elements(F.col("x")).alias("items"),
     )
+    for _ in range(DEPTH):
+        deeper = F.exists("items", lambda x: ~_leaf(x))
+        df = df.withColumn("items", F.when(deeper, F.flatten(F.transform("items", _elements))).otherwise(F.col("items")))
+    return df
 
 
-def mask_children(segmentation: Column, counts: Column) -> Column:
-    """``array<struct<kind,coords,runs,coded,size>>`` of an annotation, in stored order."""
-    root = F.try_parse_json(segmentation)
-    for _ in range(UNWRAP):
-        root = _read_through(root)
-    blank = segmentation.isNull() | (F.trim(segmentation, F.lit(" \t\r\n")) == "")
-
-    # counts kept outside: JSON list or coded string
-    outer_json = F.try_parse_json(counts)
-    outer_list = F.coalesce(_flat_ring(outer_json), F.lit(False))
-    outer_json = F.when(outer_list, outer_json).otherwise(_read_through(outer_json))
-
-    def outside(size: Column) -> Column:
-        return F.when(
-            _flat_ring(outer_json), _child("run_lengths", runs=F.try_variant_get(outer_json, "$", "array<bigint>"), size=size)
-        ).when((F.trim(counts) != "") & ~F.coalesce(_is_list(outer_json), F.lit(False)), _child("coded_mask", coded=counts, size=size))
-
-    def one(v: Column) -> Column:
-        size = F.try_variant_get(v, "$.size", "array<int>")
-        inside = F.try_variant_get(v, "$.counts", "variant")
-        return (
-            F.when(_flat_ring(v), _child("polygon", coords=F.try_variant_get(v, "$", "array<double>")))
-            .when(_point_ring(v), _child("polygon", coords=F.flatten(F.try_variant_get(v, "$", "array<array<double>>"))))
-            .when(inside.isNull() | (_type(inside) == "VOID"), outside(size))
-            .otherwise(_counts(inside, size))
-        )
+_RUNS = r"^\s*\[[-+0-9.eE,\s]*[0-9][-+0-9.eE,\s]*\]\s*$"
 
-    none = F.array().cast("array<variant>")
-    level = F.when(_leaf(root), F.array(root)).when(_is_list(root), F.try_variant_get(root, "$", "array<variant>")).otherwise(none)
-    for _ in range(DEPTH):
-        level = F.flatten(
-            F.transform(
-                F.transform(level, _read_through),
-                lambda v: F.when(_leaf(v), F.array(v)).when(_is_list(v), F.try_variant_get(v, "$", "array<variant>")).otherwise(none),
-            )
-        )
-    children = F.filter(F.transform(level, one), lambda c: c.isNotNull())
-    damaged = ~blank & root.isNull()
-    return (
-        F.when(damaged, F.array(_child("unreadable")))
-        .when(F.size(children) > 0, children)
-        .otherwise(F.filter(F.array(outside(F.try_variant_get(root, "$.size", "array<int>"))), lambda c: c.isNotNull()))
+
+def _mask_kind(inside: Column, t: Column) -> Column:
+    """The kind of a mask by its ``counts`` (a variant and its type), null where they hold nothing."""
+    text = F.try_variant_get(inside, "$", "string")
+    return F.when(_flat(t), "run_lengths").when(t == "STRING", _text_kind(text))
+
+
+def _text_kind(text: Column) -> Column:
+    """The kind of counts given as text: a JSON list of runs or a coded string."""
+    body = F.trim(text, F.lit(_BLANKS))
+    return F.when(body.rlike(_RUNS), "run_lengths").when((body != "") & ~body.isin("[]", "null", '""'), "coded_mask")
+
+
+def _inside(x: Column) -> Column:
+    return F.try_variant_get(x["v"], "$.counts", "variant")
+
+
+def _kind(x: Column) -> Column:
+    """Of a leaf: its kind, or 'outside' for a mask whose counts stand elsewhere, or null."""
+    inside = _inside(x)
+    return F.when(~x["t"].startswith("OBJECT<"), "polygon").otherwise(
+        F.when(inside.isNull() | (_type(inside) == "VOID"), "outside").otherwise(_mask_kind(inside, _type(inside)))
+    )
+
+
+def _with_kinds(annotations: DataFrame) -> DataFrame:
+    """``parsed`` with ``kids``: ``array<struct<kind, x>>`` in stored order; ``x`` is null where the counts stand outside."""
+    df = parsed(annotations).withColumn("outer", _text_kind(F.col("counts")))
+    df = df.withColumn("kids", F.filter(F.transform("items", lambda x: F.struct(F.when(_leaf(x), _kind(x)).alias("kind"), x.alias("x"))), lambda k: k["kind"].isNotNull()))
+    kept = F.filter(
+        F.transform("kids", lambda k: F.struct(F.when(k["kind"] == "outside", F.col("outer")).otherwise(k["kind"]).alias("kind"), (k["kind"] == "outside").alias("away"), k["x"].alias("x"))),
+        lambda k: k["kind"].isNotNull(),
+    )
+    df = df.withColumn("kids", kept)
+    none = F.lit(None).cast("struct<v:variant,t:string>")
+    alone = F.array(F.struct(F.col("outer").alias("kind"), F.lit(True).alias("away"), none.alias("x")))
+    return df.withColumn(
+        "kids",
+        F.when(F.col("damaged"), F.array(F.struct(F.lit("unreadable").alias("kind"), F.lit(False).alias("away"), none.alias("x"))))
+        .when((F.size("kids") == 0) & F.col("outer").isNotNull(), alone)
+        .otherwise(F.col("kids")),
     )
 
 
@@ -126,21 +140,31 @@ def _newest(df: DataFrame, key: str, *values: str) -> DataFrame:
 
 
 def annotation_children(annotations: DataFrame) -> DataFrame:
-    """``id, children`` with one row per annotation.
+    """``id, children``: ``array<struct<kind,coords,runs,coded,size>>`` of every annotation.
 
     The text is taken apart before repeats are removed: the shuffle carries the
     typed arrays, never the raw JSON.
     """
-    parsed = annotations.select("id", "ingested_at", mask_children(F.col("segmentation"), F.col("counts")).alias("children"))
-    return _newest(parsed, "id", "children")
+
+    def full(k: Column) -> Column:
+        x, inside = k["x"], _inside(k["x"])
+        text = F.when(k["away"], F.col("counts")).when(_type(inside) == "STRING", F.try_variant_get(inside, "$", "string"))
+        ring = F.when(_flat(x["t"]), F.try_variant_get(x["v"], "$", "array<double>")).otherwise(F.flatten(F.try_variant_get(x["v"], "$", "array<array<double>>")))
+        runs = F.when(text.isNotNull(), F.from_json(text, "array<bigint>")).otherwise(F.try_variant_get(inside, "$", "array<bigint>"))
+        return F.struct(
+            k["kind"].alias("kind"),
+            F.when(k["kind"] == "polygon", ring).alias("coords"),
+            F.when(k["kind"] == "run_lengths", runs).alias("runs"),
+            F.when(k["kind"] == "coded_mask", text).alias("coded"),
+            F.when(k["kind"].isin("run_lengths", "coded_mask"), F.coalesce(F.try_variant_get(x["v"], "$.size", "array<int>"), F.col("size"))).alias("size"),
+        )
+
+    return _newest(_with_kinds(annotations).select("id", "ingested_at", F.transform("kids", full).alias("children")), "id", "children")
 
 
 def mask_kinds(annotations: DataFrame) -> DataFrame:
     """``id, kinds``: only the kind of every child travels through the shuffle."""
-    parsed = annotations.select(
-        "id", "ingested_at", F.transform(mask_children(F.col("segmentation"), F.col("counts")), lambda c: c["kind"]).alias("kinds")
-    )
-    return _newest(parsed, "id", "kinds")
+    return _newest(_with_kinds(annotations).select("id", "ingested_at", F.col("kids.kind").alias("kinds")), "id", "kinds")
 
 
 def polygons(annotations: DataFrame) -> DataFrame:
