@@ -29,6 +29,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -57,9 +58,15 @@ _LINE = re.compile(_BREAK)
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 _LEAD = " \t\r\n　\xa0\"'“”„«»‹›「『（(¿¡‘’[*-•—–"
 _PAIR_REACH = 400
+_PAIRED = re.compile("[" + re.escape("".join(sorted({*_OPEN, *_CLOSE}))) + "]")
+_THAI = re.compile("[\u0e00-\u0e7f]")
+_DIGITS = re.compile(r"\d+")
 
 
+@lru_cache(maxsize=1 << 16)
 def _clean(word: str) -> str:
+    if word.isascii():
+        return word.lower()
     if "Ã" in word or "ã" in word or "Â" in word:
         try:
             word = word.replace("ã", "Ã").encode("latin-1").decode("utf-8")
@@ -98,7 +105,7 @@ def _closing(text: str, at: int, start: int) -> str:
     while m > start and not text[m - 1].isspace() and text[m - 1] not in "([\"“„«":
         m -= 1
     token = _clean(text[m:at])
-    return re.sub(r"\d+", "0", token)
+    return _DIGITS.sub("0", token)
 
 
 def blocks(text: str) -> Iterator[tuple[int, int, bool]]:
@@ -136,10 +143,8 @@ def _pairs(text: str, start: int, end: int) -> dict[int, int]:
     """Closing position -> opening position of quotes and brackets."""
     stack: list[tuple[str, int]] = []
     out: dict[int, int] = {}
-    for i in range(start, end):
-        c = text[i]
-        if c not in _OPEN and c not in _CLOSE:
-            continue
+    for m in _PAIRED.finditer(text, start, end):
+        i, c = m.start(), m[0]
         for k in range(len(stack) - 1, -1, -1):
             o, p = stack[k]
             if (c == '"' and o == '"') or (c in _OPEN.get(o, "") and c != '"'):
@@ -197,7 +202,7 @@ def _cuts(text: str, start: int, end: int, model: Model) -> list[_Cut]:
     pairs = _pairs(text, start, end)
     inside: list[tuple[int, int]] = sorted((o, c) for c, o in pairs.items())
     block = text[start:end]
-    lower = not any(c.isupper() for c in block)
+    lower = block == block.lower()
     out: list[_Cut] = []
 
     def enclosed(at: int) -> bool:
@@ -300,7 +305,7 @@ def _cuts(text: str, start: int, end: int, model: Model) -> list[_Cut]:
             s -= 9.0
         out.append(_Cut(e, nxt, s, quote, bracket if lower else -1))
 
-    if any(_is_thai(ch) for ch in block):
+    if _THAI.search(block):
         taken = {x.next for x in out}
         for m in re.finditer(r"\s+", block):
             a, b = start + m.start(), start + m.end()
@@ -391,7 +396,7 @@ def _count(text: str, c: Counter) -> None:
                 c["i0"] += 1
         for n, t in enumerate(tokens):
             if len(t) > 1 and t[-1] == "." and t[-2] != ".":
-                c[("f" if n == len(tokens) - 1 else "t") + re.sub(r"\d+", "0", _clean(t[:-1].lstrip("([\"“„«")))] += 1
+                c[("f" if n == len(tokens) - 1 else "t") + _DIGITS.sub("0", _clean(t[:-1].lstrip("([\"“„«")))] += 1
 
 
 def learn(documents: DataFrame, share: float = SHARE, least: int = LEAST) -> Model:
