@@ -1,15 +1,152 @@
-"""Group-wise score normalisation over DataFrames (windows stay in one shuffle on the group key)."""
+"""Group-wise score normalisation, returns and objectives.
+
+Row-level estimators are window expressions over the group key (one shuffle for
+all estimators of a group).  Token-level recurrences run inside the row with
+``aggregate``, so their cost follows the sequence length and needs no explode.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
+from millrace.registry import Registry
+
 EPS = 1e-6
+ESTIMATORS = Registry("advantage estimator")
 
 
+@ESTIMATORS.register("grpo")
 def group_normalised(score: Column, *group: str, eps: float = EPS) -> Column:
-    """(score - group mean) / (sample deviation + eps); groups of one keep a null."""
+    """(score - group mean) / (sample deviation + eps); null in groups of one."""
+    w = Window.partitionBy(*group)
+    return F.when(F.count(score).over(w) > 1, (score - F.avg(score).over(w)) / (F.stddev_samp(score).over(w) + F.lit(eps)))
+
+
+@ESTIMATORS.register("rloo")
+def leave_one_out(score: Column, *group: str) -> Column:
+    """Score minus the mean of the other scores of its group; null in groups of one."""
     w = Window.partitionBy(*group)
     n = F.count(score).over(w)
-    return F.when(n > 1, (score - F.avg(score).over(w)) / (F.stddev_samp(score).over(w) + F.lit(eps)))
+    return F.when(n > 1, score - (F.sum(score).over(w) - score) / (n - 1))
+
+
+@ESTIMATORS.register("passk")
+def best_of_group(score: Column, tie: str, *group: str, eps: float = EPS, zero_rest: bool = False) -> Column:
+    """The best row gets its lead over the second best in deviations; the others keep their score (or get 0)."""
+    order = Window.partitionBy(*group).orderBy(score.desc(), F.col(tie))
+    whole = Window.partitionBy(*group)
+    lead = (score - F.lead(score).over(order)) / (F.stddev_samp(score).over(whole) + F.lit(eps))
+    return F.when(F.count(score).over(whole) > 1, F.when(F.row_number().over(order) == 1, lead).otherwise(F.lit(0.0) if zero_rest else score))
+
+
+def return_to_go(reward: Column, group: str, *order: Column) -> Column:
+    """Sum of this and all later rewards of a group."""
+    return F.sum(reward).over(Window.partitionBy(group).orderBy(*order).rowsBetween(0, Window.unboundedFollowing))
+
+
+@ESTIMATORS.register("remax")
+def baseline_subtracted(reward: Column, baseline: Column, group: str, *order: Column) -> Column:
+    return return_to_go(reward, group, *order) - baseline
+
+
+@ESTIMATORS.register("reinforce_plus_plus")
+def discounted_returns(rewards: Column, mask: Column, gamma: float) -> Column:
+    """Per row: discounted return of every position, the running return starting anew after mask 0."""
+    pairs = F.reverse(F.arrays_zip(rewards.alias("r"), mask.alias("m")))
+    start = F.struct(F.lit(0.0).alias("run"), F.array().cast("array<double>").alias("out"))
+
+    def step(acc: Column, p: Column) -> Column:
+        run = p["r"] + F.lit(gamma) * acc["run"]
+        return F.struct((run * p["m"]).alias("run"), F.concat(acc["out"], F.array(run)).alias("out"))
+
+    return F.aggregate(pairs, start, step, lambda acc: F.reverse(acc["out"]))
+
+
+@ESTIMATORS.register("gae")
+def generalised_advantages(rewards: Column, values: Column, mask: Column, gamma: float, lam: float) -> Column:
+    """Per row: advantages of every position by the reverse recursion; masked positions pass the later value on."""
+    steps = F.reverse(F.arrays_zip(rewards.alias("r"), values.alias("v"), mask.alias("m")))
+    start = F.struct(F.lit(0.0).alias("adv"), F.lit(0.0).alias("next"), F.array().cast("array<double>").alias("out"))
+
+    def step(acc: Column, p: Column) -> Column:
+        delta = p["r"] + F.lit(gamma) * acc["next"] - p["v"]
+        adv = F.when(p["m"] > 0, delta + F.lit(gamma * lam) * acc["adv"]).otherwise(acc["adv"])
+        nxt = F.when(p["m"] > 0, p["v"]).otherwise(acc["next"])
+        return F.struct(adv.alias("adv"), nxt.alias("next"), F.concat(acc["out"], F.array(adv)).alias("out"))
+
+    return F.aggregate(steps, start, step, lambda acc: F.reverse(acc["out"]))
+
+
+def token_reward(score: Column, length: Column, width: Column) -> Column:
+    """The score at the last valid position, zero elsewhere; no reward for an empty response."""
+    return F.transform(F.sequence(F.lit(0), F.greatest(width, F.lit(1)) - 1), lambda i: F.when((length > 0) & (i == length - 1), score).otherwise(F.lit(0.0)))
+
+
+def kl(logp: Column, ref: Column, kind: str = "kl") -> Column:
+    """Per-token divergence estimate of two log-probabilities."""
+    d = logp - ref
+    if kind == "kl":
+        return d
+    if kind == "abs":
+        return F.abs(d)
+    if kind == "mse":
+        return F.lit(0.5) * d * d
+    if kind == "low_var_kl":
+        back = F.least(F.greatest(-d, F.lit(-20.0)), F.lit(20.0))
+        return F.least(F.greatest(F.exp(back) - back - 1, F.lit(-10.0)), F.lit(10.0))
+    if kind == "full":
+        return F.exp(ref) * -d
+    raise NotImplementedError(kind)
+
+
+def clipped_policy_loss(old: Column, new: Column, adv: Column, low: float = 0.2, high: float = 0.28, dual: float = 3.0) -> Column:
+    """Dual-clipped surrogate of one token."""
+    ratio = F.exp(F.least(F.greatest(new - old, F.lit(-20.0)), F.lit(20.0)))
+    plain = -adv * ratio
+    clipped = -adv * F.least(F.greatest(ratio, F.lit(1 - low)), F.lit(1 + high))
+    upper = F.greatest(plain, clipped)
+    return F.when(adv < 0, F.least(-adv * dual, upper)).otherwise(upper)
+
+
+def clipped_value_loss(pred: Column, target: Column, old: Column, clip: float = 0.5) -> Column:
+    held = F.least(F.greatest(pred, old - clip), old + clip)
+    return F.lit(0.5) * F.greatest((pred - target) * (pred - target), (held - target) * (held - target))
+
+
+def position_ids(flag: Column, group: str, *order: Column) -> Column:
+    """Running count of valid positions less one, at least 0."""
+    w = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return F.greatest(F.sum(flag).over(w) - 1, F.lit(0))
+
+
+def up_to_first(flag: Column, group: str, *order: Column) -> Column:
+    """1 up to and including the first flagged row of a group, 0 after."""
+    w = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return F.when(F.coalesce(F.sum(flag).over(w), F.lit(0)) == 0, 1).otherwise(0)
+
+
+class AdaptiveKL:
+    """Driver-side coefficient that follows a target divergence."""
+
+    def __init__(self, coef: float, target: float, horizon: float) -> None:
+        if horizon <= 0:
+            raise ValueError("horizon must be positive")
+        self.coef, self.target, self.horizon = coef, target, horizon
+
+    def update(self, current: float, steps: int) -> float:
+        error = min(max(current / self.target - 1, -0.2), 0.2)
+        self.coef *= 1 + error * steps / self.horizon
+        return self.coef
+
+
+class FixedKL(AdaptiveKL):
+    def __init__(self, coef: float) -> None:
+        self.coef = coef
+
+    def update(self, current: float, steps: int) -> float:
+        return self.coef
+
+
+def kl_controller(kind: str, coef: float, target: float = 0.1, horizon: float = 10_000) -> AdaptiveKL:
+    return FixedKL(coef) if kind == "fixed" else AdaptiveKL(coef, target, horizon)

@@ -1,0 +1,121 @@
+"""Masked, weighted and nested aggregates, class histograms, mask metrics, feature statistics."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+EPS = 1e-8
+
+
+def masked_mean(value: Column, mask: Column, eps: float = EPS) -> Column:
+    return F.sum(value * mask) / (F.sum(mask) + F.lit(eps))
+
+
+def masked_var(value: Column, mask: Column) -> Column:
+    """Sample variance over masked rows, one pass: null values where the mask is 0."""
+    return F.var_samp(F.when(mask > 0, value))
+
+
+def weighted_mean(value: Column, weight: Column) -> Column:
+    return F.sum(value * weight) / F.sum(weight)
+
+
+def clip_ratio(df: DataFrame, length: str) -> DataFrame:
+    """Mean, largest and smallest length, and the share of rows at the largest (two narrow aggregates, no window)."""
+    per = df.groupBy(length).agg(F.count(F.lit(1)).alias("n"))
+    return per.agg(
+        F.round(F.sum(F.col(length) * F.col("n")) / F.sum("n"), 6).alias("mean_len"), F.max(length).alias("max_len"), F.min(length).alias("min_len"),
+        F.round(F.max_by("n", F.col(length)) / F.sum("n"), 6).alias("clip_ratio"),
+    )
+
+
+def token_mean_and_sequence_mean(df: DataFrame, seq: str, value: Column, mask: Column) -> DataFrame:
+    """Mean over tokens against mean of the means per sequence."""
+    per = df.groupBy(seq).agg(F.sum(value * mask).alias("s"), F.sum(mask).alias("n"))
+    return per.agg(
+        F.round(F.sum("s") / (F.sum("n") + EPS), 6).alias("token_mean"), F.round(F.avg(F.col("s") / (F.col("n") + EPS)), 6).alias("seq_mean")
+    )
+
+
+def mean_of_means(df: DataFrame, value: str, *levels: str) -> DataFrame:
+    """Means of means up a hierarchy: average per deepest level, then of those, and so on (nulls are left out)."""
+    cur, col = df, F.col(value)
+    for depth in range(len(levels), 0, -1):
+        cur = cur.groupBy(*levels[:depth]).agg(F.avg(col).alias(value))
+        col = F.col(value)
+    return cur
+
+
+def class_histogram(df: DataFrame, pred: str, target: str, ignore: int | None = None) -> DataFrame:
+    """``cls, inter, n_pred, n_target, uni`` per class: one pass over the rows, without a join."""
+    kept = df.where(F.col(target) != ignore) if ignore is not None else df
+    cells = kept.groupBy(pred, target).agg(F.count(F.lit(1)).alias("n"))
+    sides = F.array(F.struct(F.col(pred).alias("cls"), F.lit("p").alias("side")), F.struct(F.col(target).alias("cls"), F.lit("t").alias("side")))
+    flat = cells.select("n", (F.col(pred) == F.col(target)).alias("hit"), F.inline(sides))
+    out = flat.groupBy("cls").agg(
+        F.sum(F.when(F.col("hit") & (F.col("side") == "p"), F.col("n")).otherwise(0)).alias("inter"),
+        F.sum(F.when(F.col("side") == "p", F.col("n")).otherwise(0)).alias("n_pred"),
+        F.sum(F.when(F.col("side") == "t", F.col("n")).otherwise(0)).alias("n_target"),
+    )
+    return out.withColumn("uni", F.col("n_pred") + F.col("n_target") - F.col("inter"))
+
+
+def segmentation_metrics(cases: DataFrame) -> DataFrame:
+    """Of ``inter, uni, target_area, pred_area`` per case: no-target and target accuracy, mean of ratios, ratio of sums, in percent."""
+    none, found = F.col("target_area") == 0, F.col("pred_area") > 0
+    iou = F.when(none, F.when(found, 0.0).otherwise(1.0)).otherwise(F.when(F.col("uni") > 0, F.col("inter") / F.col("uni")).otherwise(0.0))
+    pct = lambda c: F.round(c * 100, 2)
+    return cases.agg(
+        pct(F.avg(F.when(none, (~found).cast("double")))).alias("n_acc"), pct(F.avg(F.when(~none, found.cast("double")))).alias("t_acc"),
+        pct(F.avg(iou)).alias("g_iou"), pct(F.sum("inter") / F.sum("uni")).alias("c_iou"),
+    )
+
+
+def feature_statistics(df: DataFrame, vector: str) -> DataFrame:
+    """``i, j, mean_i, mean_j, cov``: sample covariance of every pair of dimensions, built inside the row (no self join)."""
+    v = F.col(vector)
+    pairs = F.flatten(
+        F.transform(F.sequence(F.lit(0), F.size(v) - 1), lambda i: F.transform(F.sequence(i, F.size(v) - 1), lambda j: F.struct(
+            i.alias("i"), j.alias("j"), F.get(v, i).cast("double").alias("x"), F.get(v, j).cast("double").alias("y"))))
+    )
+    return df.select(F.inline(pairs)).groupBy("i", "j").agg(F.avg("x").alias("mean_i"), F.avg("y").alias("mean_j"), F.covar_samp("x", "y").alias("cov"))
+
+
+def frechet_distance(mean1: np.ndarray, cov1: np.ndarray, mean2: np.ndarray, cov2: np.ndarray, eps: float = 1e-6) -> float:
+    """Distance of two Gaussians; the d x d square root is taken on the driver."""
+
+    def root(m: np.ndarray) -> np.ndarray:
+        w, v = np.linalg.eigh(m)
+        return (v * np.sqrt(np.maximum(w, 1e-10))) @ v.T
+
+    d = len(mean1)
+    c1, c2 = cov1 + eps * np.eye(d), cov2 + eps * np.eye(d)
+    r1 = root(c1)
+    value = float(((mean1 - mean2) ** 2).sum() + np.trace(c1) + np.trace(c2) - 2 * np.trace(root(r1 @ c2 @ r1)))
+    return max(value, 0.0)
+
+
+def keep_last(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The last row of every key; ``max`` over a struct combines on the map side, unlike a row number."""
+    rest = [c for c in df.columns if c not in keys and c not in order]
+    top = df.groupBy(*keys).agg(F.max(F.struct(*order, *rest)).alias("_r"))
+    return top.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in (*order, *rest)])
+
+
+def codebook_update(df: DataFrame, code: str, vector: str) -> DataFrame:
+    """``code, n, mean``: count and mean vector of every cluster."""
+    flat = df.select(code, F.posexplode(vector).alias("dim", "x"))
+    per = flat.groupBy(code, "dim").agg(F.avg(F.col("x").cast("double")).alias("m"), F.count(F.lit(1)).alias("n"))
+    return per.groupBy(code).agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("dim", "m"))), lambda s: s["m"]).alias("mean"))
+
+
+def top_k_accuracy(scores: Column, label: Column, k: int) -> Column:
+    """1 where the label's score is among the k largest (ties by position)."""
+    ranked = F.transform(F.slice(F.array_sort(F.transform(scores, lambda s, i: F.struct((-s).alias("s"), i.alias("i")))), 1, k), lambda x: x["i"])
+    return F.array_contains(ranked, label).cast("double")
+
+
+def explained_variance(returns: Column, values: Column) -> Column:
+    return 1 - F.var_samp(returns - values) / (F.var_samp(returns) + F.lit(1e-5))

@@ -2,30 +2,5 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from millrace.operators import advantage
-from millrace.runtime import table
-
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a query under its function's name, with its SQL where one exists."""
-
-    def put(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return put
-
-
-@query("""
-SELECT event_id, user_id, round(CASE WHEN count(value) OVER w > 1 THEN (value - avg(value) OVER w) / (stddev_samp(value) OVER w + 1e-6) END, 6) AS advantage
-FROM events WINDOW w AS (PARTITION BY user_id)""")
-def grpo_advantage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", "user_id", F.round(advantage.group_normalised(F.col("value"), "user_id"), 6).alias("advantage"))
+from millrace import queries_batch, queries_text, queries_windows  # noqa: F401 - they register themselves
+from millrace.registry import QUERIES, SQL  # noqa: F401
