@@ -166,7 +166,8 @@ def word_counts(documents: DataFrame, tokenizer: str) -> DataFrame:
             for text in batch["text"]:
                 if text:
                     c.update(split(text))
-            yield pd.DataFrame({"word": list(c.keys()), "n": list(c.values())})
+            if c:
+                yield pd.DataFrame({"word": list(c.keys()), "n": list(c.values())})
 
     counted = documents.select("text").mapInPandas(count, "word string, n bigint")
     return counted.groupBy("word").agg(F.sum("n").alias("n"))
@@ -193,7 +194,7 @@ def encode(documents: DataFrame, tokenizer: str = TOKENIZER, size: int = LEXICON
             pieces = [merge.split(t) if t else [] for t in batch["text"]]
             distinct = list(dict.fromkeys(w for p in pieces for w in p))
             ranks = lexicon.ranks([w.encode() for w in distinct])
-            a, b = lexicon.offset[np.maximum(ranks, 0)], lexicon.offset[np.maximum(ranks, 0) + 1]
+            a, b = lexicon.offset[np.maximum(ranks, 0)], lexicon.offset[np.minimum(ranks + 1, len(lexicon.offset) - 1)]
             ids = lexicon.ids
             if lengths:
                 size_of = {w: int(y - x) if r >= 0 else len(merge.ids(w)) for w, r, x, y in zip(distinct, ranks, a, b, strict=True)}

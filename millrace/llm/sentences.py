@@ -58,6 +58,8 @@ _LINE = re.compile(_BREAK)
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 _LEAD = " \t\r\n　\xa0\"'“”„«»‹›「『（(¿¡‘’[*-•—–"
 _PAIR_REACH = 400
+#: Words before an ordinal number.
+_ORDINAL = re.compile(r"(?<!\w)(?:am|der|die|das|den|dem|des|vom|zum|zur|im|beim|ab|bis|seit|jeder|jede|jedes)\s+\d+\Z", re.I)
 _PAIRED = re.compile("[" + re.escape("".join(sorted({*_OPEN, *_CLOSE}))) + "]")
 _THAI = re.compile("[\u0e00-\u0e7f]")
 _DIGITS = re.compile(r"\d+")
@@ -261,7 +263,7 @@ def _cuts(text: str, start: int, end: int, model: Model) -> list[_Cut]:
                     continue
             s = model.closes(token) if quote < 0 else 1.0
             if token == "0":
-                s = 0.0
+                s = -4.0 if _ORDINAL.search(text, max(start, m.start() - 24), m.start()) else 0.0
             if head.isdigit():
                 s += 1.0 if model.closes(token) > 0 or token in EITHER else max(opens, -1.0)
             elif head.isupper():
@@ -408,7 +410,8 @@ def learn(documents: DataFrame, share: float = SHARE, least: int = LEAST) -> Mod
             for text in batch["text"]:
                 if text:
                     _count(text, c)
-            yield pd.DataFrame({"w": list(c.keys()), "n": list(c.values())})
+            if c:
+                yield pd.DataFrame({"w": list(c.keys()), "n": list(c.values())})
 
     n = documents.count()
     bar = max(least, int(share * n))
@@ -424,6 +427,7 @@ def split(documents: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [(d, a, b) for d, t in zip(batch["doc_id"], batch["text"], strict=True) for a, b in spans(t, model)]
-            yield pd.DataFrame(rows, columns=["doc_id", "start_char", "end_char"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["doc_id", "start_char", "end_char"])
 
     return documents.select("doc_id", "text").mapInPandas(run, "doc_id bigint, start_char int, end_char int")
