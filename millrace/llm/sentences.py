@@ -254,7 +254,7 @@ def _cuts(text: str, start: int, end: int, model: Model) -> list[_Cut]:
                 before = token[-1:] if token else ""
                 tail = re.search(r"[^\W_]*$", token)[0]
                 joined = (len(tail) >= 2 and tail.isalpha() or tail == "0" or token in ("p.m", "a.m")) and "_" not in token
-                joined = joined and (head.isupper() and (text[first + 1 : first + 2].islower() or not text[first + 1 : first + 2].isalpha()) or lower and opens > 0 or head.isdigit() and c not in "0123456789" or _is_cjk(head) or c in _QUOTES)
+                joined = joined and (head.isupper() and (text[first + 1 : first + 2].islower() or text[first + 1 : first + 2] in ("Ã", "Â") or not text[first + 1 : first + 2].isalpha()) or lower and opens > 0 or head.isdigit() and c not in "0123456789" or _is_cjk(head) or c in _QUOTES)
                 if head.isdigit() and c.isdigit():
                     joined = len(tail) >= 2 and tail.isalpha() and model.final.get(token, 0) > 0 and bool(re.match(r"\d+ ", text[nxt : nxt + 6]))
                 if not joined or not before or (not c.isalnum() and c not in _QUOTES and c not in "(¿¡"):
@@ -280,6 +280,8 @@ def _cuts(text: str, start: int, end: int, model: Model) -> list[_Cut]:
             s = 1.5
             if head.islower():
                 s += opens if lower else -6.0
+                if model.opens(_closing(text, m.start(), start)) >= 2:
+                    s -= 5.0  # an interjection that opens its sentence
             elif head.isupper():
                 s += 2.0
             else:
