@@ -119,3 +119,46 @@ def top_k_accuracy(scores: Column, label: Column, k: int) -> Column:
 
 def explained_variance(returns: Column, values: Column) -> Column:
     return 1 - F.var_samp(returns - values) / (F.var_samp(returns) + F.lit(1e-5))
+
+
+def multi_round_metrics(items: DataFrame, case: str, inter: str, uni: str, predicted: str) -> DataFrame:
+    """Rounds of a case: IoU summed over predicted rounds (1 where the union is empty), over all rounds; cases weigh by their rounds.
+
+    A round without prediction adds nothing but stays in the denominator.
+    """
+    iou = F.when(~F.col(predicted), 0.0).when(F.col(uni) == 0, 1.0).otherwise(F.col(inter) / (F.col(uni) + F.lit(1e-5)))
+    per = items.groupBy(case).agg(
+        F.sum(iou).alias("s"), F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col(predicted), F.col(inter))).alias("i"), F.sum(F.when(F.col(predicted), F.col(uni))).alias("u")
+    )
+    return per.agg(F.round(F.sum("i") / (F.sum("u") + 1e-10), 6).alias("c_iou"), F.round(F.sum(F.col("s") / F.col("n") * F.col("n")) / F.sum("n"), 6).alias("g_iou"), F.sum("n").alias("n_masks"))
+
+
+def timing_metrics(seconds: DataFrame, tokens: DataFrame, response_sections: tuple[str, ...] = ("gen", "reward")) -> DataFrame:
+    """``section, ms_per_token``: generation and reward per response token, other sections per token (two one-row sides)."""
+    base = F.when(F.col("section").isin(*response_sections), F.col("response_tokens")).otherwise(F.col("all_tokens"))
+    return seconds.join(F.broadcast(tokens.limit(1)), F.lit(True)).select("section", (F.col("seconds") * 1000 / base).alias("ms_per_token"))
+
+
+def throughput(tokens: Column, seconds: Column, devices: int) -> Column:
+    return F.sum(tokens) / (F.sum(seconds) * devices)
+
+
+def transformer_flops(length: Column, params: int, layers: int, heads: int, head_dim: int) -> Column:
+    """Floating-point operations of a training step: six per parameter and token, twelve per attended pair, head and dimension."""
+    return F.lit(6.0 * params) * F.sum(length) + F.lit(12.0 * layers * heads * head_dim) * F.sum(length * length)
+
+
+def codebook_ema(old: DataFrame, new: DataFrame, decay: float) -> DataFrame:
+    """Moving averages of cluster counts and means, codes without vectors only decay."""
+    right = new.select("code", F.col("n").alias("n_new"), F.col("mean").alias("mean_new"))
+    n = F.col("n") * decay + F.coalesce("n_new", F.lit(0)) * (1 - decay)
+    blend = F.zip_with("mean", "mean_new", lambda a, b: a * decay + b * (1 - decay))
+    return old.join(right, "code", "left").select("code", n.alias("n"), F.coalesce(blend, F.col("mean")).alias("mean"))
+
+
+def rehome_scores(scores: DataFrame, level2_of: dict[str, str], renamed: dict[str, str]) -> DataFrame:
+    """Third-level scores under their right second level: names corrected, then looked up, else left where they are."""
+    pick = lambda m, c: F.try_element_at(F.create_map(*[F.lit(x) for kv in m.items() for x in kv]), c) if m else F.lit(None).cast("string")
+    name = F.coalesce(pick(renamed, F.col("l3")), F.col("l3"))
+    fixed = scores.withColumn("l3", name)
+    return fixed.withColumn("l2", F.coalesce(pick(level2_of, F.col("l3")), F.col("l2"), F.col("l3")))

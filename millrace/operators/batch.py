@@ -183,3 +183,25 @@ def apply_to(df: DataFrame, keys: list[str], main: Op, special: dict[str, Op] |
     """The operator of each listed key that exists; other columns pass through."""
     special = special or {}
     return df.withColumns({k: special.get(k, main)(F.col(k)) for k in keys if k in df.columns})
+
+
+def mini_batches(df: DataFrame, n: int, size: int, epochs: int, seed: int | None = None) -> DataFrame:
+    """``epoch, step`` of every row; with a seed each epoch has its own order (positions by hash, not by a single-task sort)."""
+    if n % size:
+        raise ValueError(f"{n} rows do not divide into batches of {size}")
+    each = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
+    if seed is None:
+        return each.withColumn("step", F.floor(F.col(RID) / size).cast("bigint"))
+    placed = row_ids(each.withColumnRenamed(RID, "_row"), "epoch", F.xxhash64(F.lit(seed), "epoch", "_row"), "_row")
+    return placed.withColumn("step", F.floor((F.col(RID) - F.col("epoch") * n) / size).cast("bigint")).drop(RID).withColumnRenamed("_row", RID)
+
+
+def loader_batches(df: DataFrame, n: int, size: int, drop_last: bool) -> DataFrame:
+    """Fixed batches over positions; the incomplete last one is dropped on demand."""
+    out = df.withColumn("batch", F.floor(F.col(RID) / size).cast("bigint"))
+    return out.where(F.col("batch") < n // size) if drop_last else out
+
+
+def contiguous_ids(categories: DataFrame, key: str, flag: str) -> DataFrame:
+    """``key, flag, index``: contiguous indices in key order (positions over the whole list, split by the flag)."""
+    return row_ids(categories.select(key, flag), key).withColumnRenamed(RID, "index")

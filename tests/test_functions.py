@@ -4,7 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from millrace.functions import arrays, rewards, text
+from millrace.functions import arrays, masks, rewards, text
 from millrace.operators import advantage, aggregates, balance
 
 
@@ -110,3 +110,44 @@ def test_controllers_and_distance():
     m, cov = np.zeros(3), np.eye(3)
     assert aggregates.frechet_distance(m, cov, m, cov) == pytest.approx(0, abs=1e-4)
     assert aggregates.frechet_distance(m, cov, m + 2, cov) == pytest.approx(12, abs=1e-3)
+
+
+def test_polygon_fill_and_codes(spark):
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        ring = rng.random(2 * int(rng.integers(3, 8))) * 20
+        got, xy = masks.fill_polygon(ring, 18, 22), ring.reshape(-1, 2)
+        for r in range(18):
+            for c in range(22):
+                inside = False
+                for (xa, ya), (xb, yb) in zip(xy, np.roll(xy, -1, axis=0), strict=True):
+                    if (ya <= r + 0.5) != (yb <= r + 0.5) and c + 0.5 >= xa + (r + 0.5 - ya) / (yb - ya) * (xb - xa):
+                        inside = not inside
+                assert got[r, c] == inside
+        runs = masks.runs_of_bitmap(got)
+        assert sum(runs) == got.size and sum(runs[1::2]) == got.sum()
+        assert masks.decode_counts(masks.encode_counts(runs)) == runs
+    assert masks.decode_counts("\x01") is None and masks.encode_counts([]) == ""
+    square = masks.runs_of_bitmap(masks.fill_polygon(np.array([1, 1, 4, 1, 4, 3, 1, 3]), 5, 6))
+    df = spark.createDataFrame([(1, square), (1, square), (2, [2, 3, 25])], "k int, runs array<int>")
+    assert {r.k: r.area for r in masks.union_area(df, "k", "runs").collect()} == {1: 6, 2: 3}
+    r = df.where("k = 2").select(masks.area(F.col("runs")).alias("a"), masks.iou(F.col("runs"), F.col("runs")).alias("i")).first()
+    assert (r.a, r.i) == (3, 1.0)
+
+
+def test_nested_masks_are_dropped(spark):
+    rows = [([0, 10, 10],), ([2, 3, 15],), ([8, 5, 7],), ([0, 10, 10],), ([20],)]
+    df = spark.createDataFrame([([r for r in rows],)], "m array<struct<runs:array<int>>>")
+    assert df.select(masks.drop_nested(F.col("m")).alias("k")).first().k == [[0, 10, 10], [8, 5, 7], [20]]
+
+
+def test_scores_and_moving_averages(spark):
+    s = spark.createDataFrame([("x", "Colour", 1.0), ("Wrong", "Lighting", 2.0), (None, "Other", 3.0)], "l2 string, l3 string, s double")
+    out = {(r.l2, r.l3) for r in aggregates.rehome_scores(s, {"Color": "Art", "Lighting": "Photo"}, {"Colour": "Color"}).collect()}
+    assert out == {("Art", "Color"), ("Photo", "Lighting"), ("Other", "Other")}
+    old = spark.createDataFrame([(0, 10.0, [1.0]), (1, 4.0, [2.0])], "code int, n double, mean array<double>")
+    new = spark.createDataFrame([(0, 20.0, [3.0])], "code int, n double, mean array<double>")
+    got = {r.code: (r.n, r["mean"]) for r in aggregates.codebook_ema(old, new, 0.5).collect()}
+    assert got == {0: (15.0, [2.0]), 1: (2.0, [2.0])}
+    t = aggregates.timing_metrics(spark.createDataFrame([("gen", 2.0), ("update", 4.0)], "section string, seconds double"), spark.createDataFrame([(100, 400)], "response_tokens int, all_tokens int"))
+    assert {r.section: r.ms_per_token for r in t.collect()} == {"gen": 20.0, "update": 10.0}
