@@ -161,3 +161,28 @@ def stereo(channels: Column) -> Column:
 def valid_polygons(polygons: Column) -> Column:
     """Rings with an even number of at least six coordinates."""
     return F.filter(polygons, lambda p: (F.size(p) % 2 == 0) & (F.size(p) >= 6))
+
+
+def grid_positions(segments: Column, merge: int = 2) -> Column:
+    """Three-axis positions of a sequence of ``struct<n,t,h,w>`` segments.
+
+    A text segment (``n`` tokens, no grid) counts on all axes alike; a grid of
+    ``t`` frames has one position per merged patch, offset by where it starts;
+    what follows goes on after the largest position so far.
+    """
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<t:int,h:int,w:int>>").alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        h, w = F.floor(s["h"] / merge).cast("int"), F.floor(s["w"] / merge).cast("int")
+        grid = F.transform(
+            F.sequence(F.lit(0), s["t"] * h * w - 1),
+            lambda k: F.struct((acc["at"] + F.floor(k / (h * w))).cast("int").alias("t"), (acc["at"] + F.floor(k / w) % h).cast("int").alias("h"), (acc["at"] + k % w).cast("int").alias("w")),
+        )
+        text = F.transform(F.sequence(F.lit(0), s["n"] - 1), lambda k: F.struct((acc["at"] + k).cast("int").alias("t"), (acc["at"] + k).cast("int").alias("h"), (acc["at"] + k).cast("int").alias("w")))
+        none = F.array().cast("array<struct<t:int,h:int,w:int>>")
+        is_grid = s["t"].isNotNull() & (s["t"] > 0)
+        here = F.when(is_grid, F.when(h * w > 0, grid).otherwise(none)).when(s["n"] > 0, text).otherwise(none)
+        after = F.when(is_grid, acc["at"] + F.greatest(s["t"], h, w)).otherwise(acc["at"] + F.coalesce(s["n"], F.lit(0)))
+        return F.struct(after.cast("int").alias("at"), F.concat(acc["out"], here).alias("out"))
+
+    return F.aggregate(segments, start, step, lambda acc: acc["out"])
