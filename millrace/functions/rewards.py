@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from millrace.registry import Registry
 
 REWARDS = Registry("reward")
-#: Fixed value: one whole mask, two codes of four digits.
+#: One whole mask (two codes of four digits), any token, a grounded phrase with its mask, the filler code.
 MASK = r"(<\|mt_start\|><\|mt_\d{4}\|><\|mt_\d{4}\|><\|mt_end\|>)"
+TOKEN = r"(<\|[^|]*\|>)"
+GROUNDED = r"<\|object_ref_start\|>(.*?)\s*<\|object_ref_end\|>\s*(<\|mt_start\|>(?:<\|mt_\d+\|>){2}<\|mt_end\|>)"
+FILLER = "<|mt_9999|>"
 
 
 def code_ids(text: Column) -> Column:
@@ -33,7 +36,7 @@ def strip_masks(text: Column) -> Column:
 def repair(text: Column) -> Column:
     """Masks of more than two codes lose the rest, masks of one code get the filler, an end mark is added where it lacks."""
     start, code, end = r"(<\|mt_start\|>)", r"(<\|mt_\d+\|>)", r"<\|mt_end\|>"
-    filler = "$1$2<|mt_9999|><|mt_end|>"
+    filler = f"$1$2{FILLER}<|mt_end|>"
     fewer = F.regexp_replace(text, rf"{start}{code}{code}(?:<\|mt_\d+\|>)+{end}", "$1$2$3<|mt_end|>")
     closed = F.regexp_replace(fewer, rf"{start}{code}{end}", filler)
     return F.regexp_replace(closed, rf"{start}{code}(?!<\|mt_)", filler)
@@ -61,7 +64,7 @@ def format_reward(text: Column) -> Column:
 
 def grade(pred: Column, target: Column) -> Column:
     """1 for the same mask, 0.8 where all but the end agree, 0.4 where the first code agrees."""
-    parts = lambda c: F.regexp_extract_all(c, F.lit(r"(<\|[^|]*\|>)"), F.lit(1))
+    parts = lambda c: F.regexp_extract_all(c, F.lit(TOKEN), F.lit(1))
     head = lambda c, k: F.array_join(F.slice(parts(c), F.lit(1), F.greatest(F.size(parts(c)) - k, F.lit(0))), "")
     return F.when(pred == target, 1.0).when(head(pred, 1) == head(target, 1), 0.8).when(head(pred, 2) == head(target, 2), 0.4).otherwise(0.0)
 
@@ -79,13 +82,10 @@ def mask_token_reward(answer: Column, truth: Column) -> Column:
     return F.when(answer.isNull(), 0.0).when(most == 0, 1.0).otherwise(_graded(p, t) / most)
 
 
-_GCG = r"<\|object_ref_start\|>(.*?)\s*<\|object_ref_end\|>\s*(<\|mt_start\|>(?:<\|mt_\d+\|>){2}<\|mt_end\|>)"
-
-
 def phrase_masks(text: Column) -> tuple[Column, Column]:
     """Phrases (lower case, single blanks, empty ones dropped) and masks of grounded captions."""
-    phrase = F.transform(F.regexp_extract_all(text, F.lit(_GCG), F.lit(1)), lambda p: F.trim(F.regexp_replace(F.lower(p), r"\s*\x20\s*", " ")))
-    mask = F.transform(F.regexp_extract_all(text, F.lit(_GCG), F.lit(2)), lambda m: F.concat(F.lit("<|object_ref_end|>"), m))
+    phrase = F.transform(F.regexp_extract_all(text, F.lit(GROUNDED), F.lit(1)), lambda p: F.trim(F.regexp_replace(F.lower(p), r"\s*\x20\s*", " ")))
+    mask = F.transform(F.regexp_extract_all(text, F.lit(GROUNDED), F.lit(2)), lambda m: F.concat(F.lit("<|object_ref_end|>"), m))
     return F.filter(phrase, lambda p: p != ""), mask
 
 

@@ -5,7 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Patterns of numbers, scores and verdicts in judge answers.
 NUMBER = r"[-+]?\d*\.?\d+"
+SCORE_LIST = r'(?i)"?score"?\s*:\s*\[([^\]]+)\]'
+NAMED_PAIR = rf"(?is)image\s*1[^-+\d]*({NUMBER}).*?image\s*2[^-+\d]*({NUMBER})"
+PLAIN_PAIR = rf"(?is)scores?[^-+\d]*({NUMBER})[^\n\r\-+\d]+({NUMBER})"
+TIE = r"(?i)both images? (are )?(equally good|equal|tie)"
+FIRST_WINS = r"(?is)((edited )?image\s*1|first image).{0,24}\b(better|best|wins?|preferred|superior)\b"
+SECOND_WINS = r"(?is)((edited )?image\s*2|second image).{0,24}\b(better|best|wins?|preferred|superior)\b"
 MESSAGES = "array<struct<from:string,value:string>>"
 
 
@@ -93,16 +100,14 @@ def coerce_float(v: Column) -> Column:
 
 def score_list(text: Column) -> Column:
     """The numbers of ``score: [...]``."""
-    body = F.regexp_extract(text, r'(?i)"?score"?\s*:\s*\[([^\]]+)\]', 1)
+    body = F.regexp_extract(text, SCORE_LIST, 1)
     return F.transform(F.regexp_extract_all(body, F.lit(f"({NUMBER})"), F.lit(1)), lambda x: x.try_cast("double"))
 
 
 def pair_scores(text: Column) -> Column:
     """Two numbers said of image 1 and image 2, else two numbers after the word scores."""
-    n = rf"({NUMBER})"
-    named, plain = rf"(?is)image\s*1[^-+\d]*{n}.*?image\s*2[^-+\d]*{n}", rf"(?is)scores?[^-+\d]*{n}[^\n\r\-+\d]+{n}"
     both = lambda p: F.array(F.regexp_extract(text, p, 1).try_cast("double"), F.regexp_extract(text, p, 2).try_cast("double"))
-    return F.when(text.rlike(named), both(named)).when(text.rlike(plain), both(plain)).otherwise(F.array().cast("array<double>"))
+    return F.when(text.rlike(NAMED_PAIR), both(NAMED_PAIR)).when(text.rlike(PLAIN_PAIR), both(PLAIN_PAIR)).otherwise(F.array().cast("array<double>"))
 
 
 def pairwise_scores(text: Column) -> Column:
@@ -112,11 +117,9 @@ def pairwise_scores(text: Column) -> Column:
 
 def winner(text: Column) -> Column:
     """The label of a comparison (a tie is looked for first), else null."""
-    wins = r".{0,24}\b(better|best|wins?|preferred|superior)\b"
     return (
-        F.when(text.rlike(r"(?i)both images? (are )?(equally good|equal|tie)"), "Edited image 1 and 2 are equally good")
-        .when(text.rlike(rf"(?is)((edited )?image\s*1|first image){wins}"), "Edited image 1")
-        .when(text.rlike(rf"(?is)((edited )?image\s*2|second image){wins}"), "Edited image 2")
+        F.when(text.rlike(TIE), "Edited image 1 and 2 are equally good")
+        .when(text.rlike(FIRST_WINS), "Edited image 1").when(text.rlike(SECOND_WINS), "Edited image 2")
     )
 
 

@@ -1,21 +1,52 @@
 """Group-wise score normalisation, returns and objectives.
 
-Row-level estimators are window expressions over the group key (one shuffle for
-all estimators of a group).  Token-level recurrences run inside the row with
+Row-level estimators that need totals of a group only are aggregates joined back
+(``group_advantages``); the same estimators also exist as window expressions.  Token-level recurrences run inside the row with
 ``aggregate``, so their cost follows the sequence length and needs no explode.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.registry import Registry
+from millrace.runtime import broadcast_if_small
 
 EPS = 1e-6
 ESTIMATORS = Registry("advantage estimator")
 
 
+def with_group_stats(df: DataFrame, score: str, *group: str) -> DataFrame:
+    """``df`` with ``_n, _sum, _avg, _std, _max`` of its group.
+
+    Aggregated with map-side combine and joined back, so a group that holds a
+    large share of the rows is never sorted in one task (the join's stream side
+    is split by AQE; a small set of groups is broadcast after a check of its size).
+    """
+    c = F.col(score)
+    stats = df.groupBy(*group).agg(F.count(c).alias("_n"), F.sum(c).alias("_sum"), F.avg(c).alias("_avg"), F.stddev_samp(c).alias("_std"), F.max(c).alias("_max"))
+    stats = stats.withColumnsRenamed({g: f"_g_{g}" for g in group})
+    same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in group])  # a null group is a group
+    return df.join(broadcast_if_small(stats), same).drop(*[f"_g_{g}" for g in group])
+
+
+def group_advantages(df: DataFrame, score: str, *group: str, kind: str = "grpo", eps: float = EPS) -> DataFrame:
+    """``df`` with ``advantage``: normalised by the group (grpo) or against the mean of the others (rloo); null in groups of one."""
+    out = with_group_stats(df, score, *group)
+    c = F.col(score)
+    value = {"grpo": (c - F.col("_avg")) / (F.col("_std") + F.lit(eps)), "rloo": c - (F.col("_sum") - c) / (F.col("_n") - 1)}[kind]
+    return out.withColumn("advantage", F.when(F.col("_n") > 1, value)).drop("_n", "_sum", "_avg", "_std", "_max")
+
+
+def group_softmax(df: DataFrame, score: str, *group: str) -> DataFrame:
+    """``df`` with ``p``: softmax of the score over its group, in two aggregates."""
+    shifted = with_group_stats(df, score, *group).withColumn("_e", F.exp(F.col(score) - F.col("_max"))).drop("_n", "_sum", "_avg", "_std", "_max")
+    return with_group_stats(shifted, "_e", *group).withColumn("p", F.col("_e") / F.col("_sum")).drop("_e", "_n", "_sum", "_avg", "_std", "_max")
+
+
 @ESTIMATORS.register("grpo")
 def group_normalised(score: Column, *group: str, eps: float = EPS) -> Column:
     """(score - group mean) / (sample deviation + eps); null in groups of one."""

@@ -89,13 +89,14 @@ def residual_codes(df: DataFrame, codebook: DataFrame, depth: int, vector: str =
     return cur
 
 
-def top_similar(queries: DataFrame, items: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", blocks: int = 64) -> DataFrame:
+def top_similar(queries: DataFrame, items: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", block: int = 256) -> DataFrame:
     """The ``k`` most similar items of every query, exactly.
 
     Queries meet the items block by block: each item is compared within its row
-    with a block of queries of bounded size, only the best ``k`` per task and
-    query are shuffled on.
+    with a block of about ``block`` queries; the filter on the rank lets Spark keep
+    the best ``k`` per task and query before the shuffle.
     """
+    blocks = max(1, -(-queries.count() // block))
     q = queries.select(F.col(key).alias("q_id"), F.col(vector).alias("q_vec")).withColumn("_b", F.pmod(F.xxhash64("q_id"), F.lit(blocks)))
     grouped = q.groupBy("_b").agg(F.collect_list(F.struct("q_id", "q_vec")).alias("_q"))
     spread = items.select(F.col(key).alias("item_id"), F.col(vector).alias("i_vec")).withColumn("_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))

@@ -19,14 +19,16 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT event_id, user_id, round(CASE WHEN count(value) OVER w > 1 THEN (value - avg(value) OVER w) / (stddev_samp(value) OVER w + 1e-6) END, 6) AS advantage
 FROM events WINDOW w AS (PARTITION BY user_id)""")
 def grpo_advantage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _events(spark, sf_dir).select("event_id", "user_id", F.round(advantage.group_normalised(F.col("value"), "user_id"), 6).alias("advantage"))
+    out = advantage.group_advantages(_events(spark, sf_dir), "value", "user_id", kind="grpo")
+    return out.select("event_id", "user_id", F.round("advantage", 6).alias("advantage"))
 
 
 @query("""
 SELECT event_id, user_id, round(CASE WHEN count(value) OVER w > 1 THEN value - (sum(value) OVER w - value) / (count(value) OVER w - 1) END, 6) AS advantage
 FROM events WINDOW w AS (PARTITION BY user_id)""")
 def rloo_advantage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _events(spark, sf_dir).select("event_id", "user_id", F.round(advantage.leave_one_out(F.col("value"), "user_id"), 6).alias("advantage"))
+    out = advantage.group_advantages(_events(spark, sf_dir), "value", "user_id", kind="rloo")
+    return out.select("event_id", "user_id", F.round("advantage", 6).alias("advantage"))
 
 
 @query("""
@@ -92,7 +94,7 @@ def whiten_global(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 SELECT event_id, user_id FROM (SELECT event_id, user_id, avg(value) OVER (PARTITION BY user_id) AS m FROM events) WHERE m > 40 AND m < 60""")
 def group_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _events(spark, sf_dir).withColumn("m", F.avg("value").over(Window.partitionBy("user_id"))).where((F.col("m") > 40) & (F.col("m") < 60)).select("event_id", "user_id")
+    return advantage.with_group_stats(_events(spark, sf_dir), "value", "user_id").where((F.col("_avg") > 40) & (F.col("_avg") < 60)).select("event_id", "user_id")
 
 
 @query("""
@@ -195,8 +197,7 @@ def explained_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH s AS (SELECT event_id, user_id, value / 10 AS v, max(value / 10) OVER (PARTITION BY user_id) AS m FROM events)
 SELECT event_id, round(exp(v - m) / sum(exp(v - m)) OVER (PARTITION BY user_id), 6) AS p FROM s""")
 def softmax_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _events(spark, sf_dir).withColumn("v", F.col("value") / 10).withColumn("m", F.max("v").over(Window.partitionBy("user_id"))).select(
-        "event_id", F.round(F.exp(F.col("v") - F.col("m")) / F.sum(F.exp(F.col("v") - F.col("m"))).over(Window.partitionBy("user_id")), 6).alias("p"))
+    return advantage.group_softmax(_events(spark, sf_dir).withColumn("v", F.col("value") / 10), "v", "user_id").select("event_id", F.round("p", 6).alias("p"))
 
 
 @query("""

@@ -104,6 +104,15 @@ def test_group_advantages_sum_to_zero(spark):
     assert all(r.s is None if r.g == 9 else abs(r.s) < 1e-6 for r in out)
 
 
+def test_group_advantages_equal_the_windows(spark):
+    df = spark.createDataFrame([(None if g == 2 else g, float(i * i % 7)) for g in range(4) for i in range(5)] + [(9, 1.0)], "g int, v double")
+    for kind, window in (("grpo", advantage.group_normalised), ("rloo", advantage.leave_one_out)):
+        a = sorted((r.g is None, r.g or 0, r.v, round(r.a or 0, 9)) for r in df.select("g", "v", window(F.col("v"), "g").alias("a")).collect())
+        b = sorted((r.g is None, r.g or 0, r.v, round(r.advantage or 0, 9)) for r in advantage.group_advantages(df, "v", "g", kind=kind).collect())
+        assert a == b
+    assert advantage.group_softmax(df, "v", "g").agg(F.sum("p")).first()[0] == pytest.approx(5)
+
+
 def test_controllers_and_distance():
     c = advantage.kl_controller("adaptive", 0.1, 0.1, 100)
     assert c.update(1.0, 10) == pytest.approx(0.102) and advantage.kl_controller("fixed", 0.3).update(9, 9) == 0.3
