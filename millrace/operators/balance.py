@@ -118,3 +118,11 @@ def softmax(score: Column, *group: str) -> Column:
     w = Window.partitionBy(*group)
     top = F.max(score).over(w)
     return F.exp(score - top) / F.sum(F.exp(score - top)).over(w)
+
+
+def rank_boxes(df: DataFrame, image: str, box: str, key: str) -> DataFrame:
+    """``rank`` from 0 of every box within its image by centre, x first; null where there is no image (each such row is its own group)."""
+    b = lambda i: F.get(box, F.lit(i))
+    alone = F.when(F.col(image).isNull(), F.col(key))
+    n = F.row_number().over(Window.partitionBy(image, alone).orderBy(b(0) + b(2) / 2, b(1) + b(3) / 2, key))
+    return df.withColumn("rank", F.when(F.col(image).isNotNull(), n - 1))

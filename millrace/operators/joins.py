@@ -119,6 +119,15 @@ def merge_maps(df: DataFrame, key: str, order: str, values: str) -> DataFrame:
     return df.groupBy(key).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(order, values))), lambda s: s[values])).alias(values))
 
 
+def merge_map_parts(df: DataFrame, key: str, order: str, values: str, size: int) -> DataFrame:
+    """``merge_maps`` in parts: one array for every ``size`` consecutive order numbers of a key, so that no array grows with the table.
+
+    The arrays of a key in order of ``part`` are its whole merged value.
+    """
+    parts = df.withColumn("part", F.floor(F.col(order) / size).cast("bigint")).groupBy(key, "part")
+    return parts.agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(order, values))), lambda s: s[values])).alias(values))
+
+
 def broadcast_pairs(a: DataFrame, b: DataFrame, on: str, n_a: int, n_b: int) -> DataFrame:
     """Pairs by position; a single row on either side is repeated; other lengths are an error."""
     if n_a == n_b:

@@ -71,6 +71,13 @@ def interleave_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").orderBy(F.floor(F.col("s_suppkey") / 4), F.col("s_suppkey") % 4).limit(50).select("s_suppkey", "s_name")
 
 
+@query("SELECT s_suppkey, s_name, (row_number() OVER (ORDER BY s_suppkey // 4, s_suppkey % 4) - 1)::BIGINT AS pos FROM supplier")
+def interleave_ranks_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row with its place; truncated to the size of the data set, not to a constant."""
+    df = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    return batch.row_ids(df, F.floor(F.col("s_suppkey") / 4), F.col("s_suppkey") % 4).select("s_suppkey", "s_name", F.col("_rid").alias("pos"))
+
+
 @query("SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1)::BIGINT AS pos FROM orders")
 def row_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batch.row_ids(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey").select("o_orderkey", F.col("_rid").alias("pos"))
@@ -162,6 +169,13 @@ def merge_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.merge_maps(e.select("event_type", "event_id", F.array("event_id").alias("ids")), "event_type", "event_id", "ids")
 
 
+@query("SELECT event_type, (event_id // 4096)::BIGINT AS part, list(event_id ORDER BY event_id) AS ids FROM events GROUP BY ALL")
+def merge_maps_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events; an array holds at most the ids of one range of 4,096."""
+    e = table(spark, sf_dir, "events").select("event_type", "event_id", F.array("event_id").alias("ids"))
+    return joins.merge_map_parts(e, "event_type", "event_id", "ids", 4096)
+
+
 _DOT = "list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE))"
 
 
@@ -220,6 +234,13 @@ def rank_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("id", (F.row_number().over(Window.partitionBy("image_id").orderBy(b(0) + b(2) / 2, b(1) + b(3) / 2, "id")) - 1).alias("rank"))
 
 
+@query(f"""
+SELECT id, CASE WHEN image_id IS NOT NULL THEN (row_number() OVER (PARTITION BY image_id ORDER BY bbox[1] + bbox[3] / 2, bbox[2] + bbox[4] / 2, id) - 1)::INT END AS rank FROM {_ANN1} WHERE len(bbox) = 4""")
+def rank_boxes_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The boxes of all images; a box without image keeps its row and has no rank."""
+    return balance.rank_boxes(_anns(spark, sf_dir).where(F.size("bbox") == 4), "image_id", "bbox", "id").select("id", "rank")
+
+
 @query("SELECT 100 AS n")
 def exact_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balance.exact_sample(table(spark, sf_dir, "orders").select("o_orderkey"), 100, "o_orderkey").agg(F.count(F.lit(1)).cast("int").alias("n"))
