@@ -36,6 +36,22 @@ def mask_union_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return masks.union_area(_lists(spark, sf_dir), "parent_id", "runs").where(F.col("area") > 0)
 
 
+def _run_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Run-length masks wherever they stand: alone, in any list, as JSON inside JSON, in the column ``counts``."""
+    return nested.masks(table(spark, sf_dir, "annotations")).where(F.col("kind") == "run_lengths").select("parent_id", "child_pos", "runs")
+
+
+@query()
+def mask_areas_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _run_lengths(spark, sf_dir).select("parent_id", "child_pos", masks.area(F.col("runs")).alias("area"))
+
+
+@query()
+def mask_union_areas_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Empty masks keep their row with area 0."""
+    return masks.union_area(_run_lengths(spark, sf_dir), "parent_id", "runs")
+
+
 @query()
 def coded_mask_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = nested.masks(table(spark, sf_dir, "annotations")).where(F.col("kind") == "coded_mask")

@@ -1,5 +1,8 @@
 """Queries over whole tables: nothing is left out by a filter, a prefix or a constant limit."""
 
+import datetime as dt
+import json
+
 from pyspark.sql import functions as F
 
 from millrace.operators import balance, joins
@@ -28,3 +31,17 @@ def test_rank_boxes_holds_every_image(spark):
 def test_interleave_ranks_ends_with_the_table(spark, tmp_path):
     spark.range(120).select(F.col("id").alias("s_suppkey"), F.concat(F.lit("s"), "id").alias("s_name")).write.parquet(str(tmp_path / "supplier.parquet"))
     assert sorted((r.s_suppkey, r.pos) for r in QUERIES["interleave_ranks_whole"](spark, str(tmp_path)).collect()) == [(i, i) for i in range(120)]
+
+
+def test_mask_areas_of_every_shape(spark, tmp_path):
+    mask, ring = {"size": [2, 5], "counts": [1, 2, 3, 4]}, [1, 1, 4, 1, 4, 3]
+    shapes = [
+        (json.dumps([mask, {"size": [2, 5], "counts": [2, 2, 6]}]), None), (json.dumps(mask), None), (json.dumps([ring, mask]), None), (json.dumps(json.dumps([mask])), None),
+        (json.dumps({"size": [2, 5]}), "[3, 5, 2]"), (json.dumps({"size": [2, 5], "counts": "[0, 1, 9]"}), None), (json.dumps({"size": [2, 5], "counts": [10]}), None), (json.dumps([ring]), None),
+    ]
+    df = spark.createDataFrame([(i, s, c, dt.datetime(2024, 1, 1)) for i, (s, c) in enumerate(shapes)], "id bigint, segmentation string, counts string, ingested_at timestamp")
+    df.write.parquet(str(tmp_path / "annotations.parquet"))
+    got = {(r.parent_id, r.child_pos): r.area for r in QUERIES["mask_areas_whole"](spark, str(tmp_path)).collect()}
+    assert got == {(0, 0): 6, (0, 1): 2, (1, 0): 6, (2, 1): 6, (3, 0): 6, (4, 0): 5, (5, 0): 1, (6, 0): 0}
+    union = {r.parent_id: r.area for r in QUERIES["mask_union_areas_whole"](spark, str(tmp_path)).collect()}
+    assert union == {0: 7, 1: 6, 2: 6, 3: 6, 4: 5, 5: 1, 6: 0}  # of 0: pixels 1-2 and 6-9 with 2-3
