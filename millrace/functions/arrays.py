@@ -31,7 +31,8 @@ def response_mask(ids: Column, eos: list[int]) -> Column:
     """1 up to and including the first end token, 0 after."""
     hits = [F.array_position(ids, F.lit(e)) for e in eos]
     first = F.array_min(F.filter(F.array(*hits), lambda p: p > 0))
-    return F.transform(ids, lambda _, i: F.when(first.isNull() | (i < first), 1).otherwise(0))
+    n = F.coalesce(first, F.size(ids)).cast("int")
+    return F.when(ids.isNotNull(), F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), F.size(ids) - n)))
 
 
 def first_index(a: Column, value: Column) -> Column:
@@ -85,11 +86,10 @@ def radix_levels(index: Column, radix: list[int]) -> Column:
 
 def run_lengths(bits: Column) -> Column:
     """Run lengths of a 0/1 array, the first run counting zeros (0 where it starts with a one)."""
-    start = F.struct(F.lit(0).alias("last"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("out"))
-    step = lambda acc, b: F.when(
-        b == acc["last"], F.struct(acc["last"].alias("last"), (acc["n"] + 1).alias("n"), acc["out"].alias("out"))
-    ).otherwise(F.struct(b.cast("int").alias("last"), F.lit(1).alias("n"), F.concat(acc["out"], F.array(acc["n"])).alias("out")))
-    return F.aggregate(bits, start, step, lambda acc: F.concat(acc["out"], F.array(acc["n"])))
+    before = F.concat(F.array(F.lit(0)), F.slice(bits.cast("array<int>"), 1, F.greatest(F.size(bits) - 1, F.lit(0))))
+    turns = F.array_compact(F.transform(F.zip_with(bits.cast("array<int>"), before, lambda x, p: x != p), lambda t, i: F.when(t, i)))
+    ends, starts = F.concat(turns, F.array(F.size(bits))), F.concat(F.array(F.lit(0)), turns)
+    return F.when(F.size(bits) > 0, F.zip_with(ends, starts, lambda b, a: b - a)).when(bits.isNotNull(), F.array(F.lit(0)))
 
 
 def from_run_lengths(counts: Column) -> Column:

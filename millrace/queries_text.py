@@ -216,6 +216,12 @@ def response_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _conversations(spark, sf_dir).where(F.col("input_ids").isNotNull()).select("conv_id", arrays.response_mask(F.slice("input_ids", 1, 24), [151655]).alias("mask"))
 
 
+@query(f"""
+SELECT conv_id, list_transform(input_ids, lambda x, i: (coalesce(list_position(input_ids, 151655), 0) = 0 OR i <= list_position(input_ids, 151655))::INT) AS mask FROM {_CONV} WHERE input_ids IS NOT NULL""")
+def response_mask_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _conversations(spark, sf_dir).where(F.col("input_ids").isNotNull()).select("conv_id", arrays.response_mask(F.col("input_ids"), [151655]).alias("mask"))
+
+
 _BITS = """(SELECT conv_id, list_transform(input_ids[1:64], lambda x: (x % 3 = 0)::INT) AS b FROM """ + _CONV + """ WHERE len(input_ids) > 0)"""
 
 
@@ -238,6 +244,31 @@ def mask_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("conv_id", F.round(arrays.mask_iou(F.col("a"), F.transform("a", lambda _, i: (i % 2 == 1).cast("int"))), 6).alias("iou"))
 
 
+_ALL_BITS = """(SELECT conv_id, list_transform(input_ids, lambda x: (x % 3 = 0)::INT) AS b FROM """ + _CONV + """ WHERE len(input_ids) > 0)"""
+
+
+def _all_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A 0/1 array over the whole sequence of every conversation."""
+    return _conversations(spark, sf_dir).where(F.size("input_ids") > 0).select("conv_id", F.transform("input_ids", lambda x: (x % 3 == 0).cast("int")).alias("b"))
+
+
+@query(f"""
+WITH f AS (SELECT conv_id, unnest(list_prepend(0, b)) AS v, generate_subscripts(list_prepend(0, b), 1) AS i FROM {_ALL_BITS}),
+g AS (SELECT *, i - row_number() OVER (PARTITION BY conv_id, v ORDER BY i) AS grp FROM f), r AS (SELECT conv_id, v, grp, min(i) AS first, count(*) - (min(i) = 1)::INT AS n FROM g GROUP BY ALL)
+SELECT conv_id, list(n::INT ORDER BY first) AS runs FROM r GROUP BY conv_id""")
+def rle_encode_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _all_bits(spark, sf_dir).select("conv_id", arrays.run_lengths(F.col("b")).alias("runs"))
+
+
+@query(f"""
+WITH b AS (SELECT conv_id, b, list_transform(b, lambda x, i: (i % 2 = 0)::INT) AS c FROM {_ALL_BITS}),
+n AS (SELECT conv_id, list_sum(list_transform(list_zip(b, c), lambda z: z[1] * z[2])) AS i, list_sum(list_transform(list_zip(b, c), lambda z: greatest(z[1], z[2]))) AS u FROM b)
+SELECT conv_id, round(CASE WHEN u > 0 THEN i / u ELSE 0 END, 6) AS iou FROM n""")
+def mask_iou_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _all_bits(spark, sf_dir).select("conv_id", arrays.from_run_lengths(arrays.run_lengths(F.col("b"))).alias("a"))
+    return df.select("conv_id", F.round(arrays.mask_iou(F.col("a"), F.transform("a", lambda _, i: (i % 2 == 1).cast("int"))), 6).alias("iou"))
+
+
 @query("""
 WITH a AS (SELECT id, any_value(bbox) AS b FROM annotations WHERE id IS NOT NULL GROUP BY id), n AS (SELECT id, b, greatest(least(b[1] + b[3], 400.0) - greatest(b[1], 100.0), 0) * greatest(least(b[2] + b[4], 400.0) - greatest(b[2], 100.0), 0) AS i FROM a WHERE len(b) = 4)
 SELECT id, round(CASE WHEN b[3] * b[4] + 90000.0 - i > 0 THEN i / (b[3] * b[4] + 90000.0 - i) ELSE 0 END, 6) AS iou FROM n""")

@@ -5,6 +5,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from millrace.functions import arrays
 from millrace.operators import balance, joins
 from millrace.queries_core import QUERIES
 from tests.conftest import DATA
@@ -45,3 +46,21 @@ def test_mask_areas_of_every_shape(spark, tmp_path):
     assert got == {(0, 0): 6, (0, 1): 2, (1, 0): 6, (2, 1): 6, (3, 0): 6, (4, 0): 5, (5, 0): 1, (6, 0): 0}
     union = {r.parent_id: r.area for r in QUERIES["mask_union_areas_whole"](spark, str(tmp_path)).collect()}
     assert union == {0: 7, 1: 6, 2: 6, 3: 6, 4: 5, 5: 1, 6: 0}  # of 0: pixels 1-2 and 6-9 with 2-3
+
+
+def test_sequences_are_taken_whole(spark, tmp_path):
+    ids = [[3, 1, 1, 3] * 2_000 + [151655, 3, 3], [1], [3] * 30 + [151655] + [1] * 70]
+    spark.createDataFrame([(i, None, None, x) for i, x in enumerate(ids)], "conv_id bigint, image string, conversations string, input_ids array<bigint>").write.parquet(str(tmp_path / "conversations.parquet"))
+    of = lambda name, c: {r.conv_id: r[c] for r in QUERIES[name](spark, str(tmp_path)).collect()}
+    bits = [[int(x % 3 == 0) for x in s] for s in ids]
+    runs = of("rle_encode_whole", "runs")
+    assert {i: [b for k, n in enumerate(r) for b in [k % 2] * n] for i, r in runs.items()} == dict(enumerate(bits)) and all(0 not in r[1:] for r in runs.values())
+    ends = [s.index(151655) if 151655 in s else len(s) for s in ids]
+    assert of("response_mask_whole", "mask") == {i: [int(k <= ends[i]) for k in range(len(s))] for i, s in enumerate(ids)}
+    odd = [(sum(x & (k % 2) for k, x in enumerate(b)), sum(x | (k % 2) for k, x in enumerate(b))) for b in bits]
+    assert of("mask_iou_whole", "iou") == {i: round(a / u, 6) if u else 0.0 for i, (a, u) in enumerate(odd)}
+
+
+def test_run_lengths_edges(spark):
+    df = spark.createDataFrame([(0, []), (1, [0]), (2, [1]), (3, [1, 1, 0]), (4, None)], "i int, b array<int>")
+    assert {r.i: r.x for r in df.select("i", arrays.run_lengths(F.col("b")).alias("x")).collect()} == {0: [0], 1: [1], 2: [0, 1], 3: [0, 2, 1], 4: None}
