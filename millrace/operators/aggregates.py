@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,14 +76,41 @@ def segmentation_metrics(cases: DataFrame) -> DataFrame:
     )
 
 
+def _moments(vector: str):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, mean, dev = 0, None, None
+        for b in batches:
+            rows = [v for v in b[vector] if v is not None]
+            if not rows:
+                continue
+            x = np.stack(rows).astype("float64")
+            k, m = len(x), x.mean(axis=0)
+            add = (x - m).T @ (x - m)
+            if mean is None:
+                n, mean, dev = k, m, add
+                continue
+            gap = m - mean
+            dev += add + np.outer(gap, gap) * (n * k / (n + k))
+            mean, n = mean + gap * (k / (n + k)), n + k
+        if mean is not None:
+            i, j = np.triu_indices(len(mean))
+            yield pd.DataFrame({"i": i, "j": j, "n": n, "x": mean[i], "y": mean[j], "c": dev[i, j]})
+
+    return run
+
+
 def feature_statistics(df: DataFrame, vector: str) -> DataFrame:
-    """``i, j, mean_i, mean_j, cov``: sample covariance of every pair of dimensions, built inside the row (no self join)."""
-    v = F.col(vector)
-    pairs = F.flatten(
-        F.transform(F.sequence(F.lit(0), F.size(v) - 1), lambda i: F.transform(F.sequence(i, F.size(v) - 1), lambda j: F.struct(
-            i.alias("i"), j.alias("j"), F.get(v, i).cast("double").alias("x"), F.get(v, j).cast("double").alias("y"))))
+    """``i, j, mean_i, mean_j, cov``: sample covariance of every pair of dimensions of vectors of one length.
+
+    A task sends its count, means and products of deviations once; no pair is written out per row.
+    """
+    parts = df.select(vector).mapInPandas(_moments(vector), "i int, j int, n bigint, x double, y double, c double")
+    n = F.sum("n")
+    per = parts.groupBy("i", "j").agg(
+        n.alias("n"), (F.sum(F.col("n") * F.col("x")) / n).alias("mean_i"), (F.sum(F.col("n") * F.col("y")) / n).alias("mean_j"), F.collect_list(F.struct("n", "x", "y", "c")).alias("p")
     )
-    return df.select(F.inline(pairs)).groupBy("i", "j").agg(F.avg("x").alias("mean_i"), F.avg("y").alias("mean_j"), F.covar_samp("x", "y").alias("cov"))
+    dev = F.aggregate("p", F.lit(0.0), lambda s, t: s + t["c"] + t["n"] * (t["x"] - F.col("mean_i")) * (t["y"] - F.col("mean_j")))
+    return per.select("i", "j", "mean_i", "mean_j", F.when(F.col("n") > 1, dev / (F.col("n") - 1)).alias("cov"))
 
 
 def frechet_distance(mean1: np.ndarray, cov1: np.ndarray, mean2: np.ndarray, cov2: np.ndarray, eps: float = 1e-6) -> float:

@@ -165,6 +165,14 @@ def covariance_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.feature_statistics(df, "v").select("i", "j", F.round("mean_i", 6).alias("mean_i"), F.round("cov", 6).alias("cov"))
 
 
+@query("""
+WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS d FROM embeddings)
+SELECT a.d::INT AS i, b.d::INT AS j, round(avg(a.x), 6) AS mean_i, round(covar_samp(a.x, b.x), 6) AS cov FROM e a JOIN e b ON a.vec_id = b.vec_id AND a.d <= b.d GROUP BY ALL""")
+def covariance_stats_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = aggregates.feature_statistics(table(spark, sf_dir, "embeddings"), "embedding")
+    return out.select("i", "j", F.round("mean_i", 6).alias("mean_i"), F.round("cov", 6).alias("cov"))
+
+
 @query("""
 SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n = 1""")
 def keep_last(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,6 +187,14 @@ def codebook_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("label", "n", F.posexplode("mean").alias("dim", "m")).select("label", (F.col("dim") + 1).alias("dim"), "n", F.round("m", 6).alias("m"))
 
 
+@query("""
+WITH f AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS d FROM embeddings)
+SELECT label, d::INT AS dim, count(*) AS n, round(avg(x), 6) AS m FROM f GROUP BY ALL""")
+def codebook_update_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = aggregates.codebook_update(table(spark, sf_dir, "embeddings").select("label", "embedding"), "label", "embedding")
+    return out.select("label", "n", F.posexplode("mean").alias("dim", "m")).select("label", (F.col("dim") + 1).alias("dim"), "n", F.round("m", 6).alias("m"))
+
+
 @query("""
 WITH s AS (SELECT vec_id, label % 10 AS y, unnest(embedding[1:10]) AS x, generate_subscripts(embedding[1:10], 1) - 1 AS i FROM embeddings),
 r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, i) AS n FROM s)

@@ -3,10 +3,11 @@
 import datetime as dt
 import json
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from millrace.functions import arrays
-from millrace.operators import balance, joins
+from millrace.operators import aggregates, balance, joins
 from millrace.queries_core import QUERIES
 from tests.conftest import DATA
 
@@ -64,3 +65,20 @@ def test_sequences_are_taken_whole(spark, tmp_path):
 def test_run_lengths_edges(spark):
     df = spark.createDataFrame([(0, []), (1, [0]), (2, [1]), (3, [1, 1, 0]), (4, None)], "i int, b array<int>")
     assert {r.i: r.x for r in df.select("i", arrays.run_lengths(F.col("b")).alias("x")).collect()} == {0: [0], 1: [1], 2: [0, 1], 3: [0, 2, 1], 4: None}
+
+
+def test_embeddings_have_every_dimension(spark):
+    e = rows_of(spark, "embeddings")
+    d = len(e.first().embedding)
+    got = {(r.i, r.j): r.cov for r in QUERIES["covariance_stats_whole"](spark, str(DATA)).collect()}
+    cov = np.cov(np.array([r.embedding for r in e.collect()], dtype=float).T)
+    assert len(got) == d * (d + 1) // 2 and all(abs(cov[k] - v) < 1e-6 for k, v in got.items())
+    codes = QUERIES["codebook_update_whole"](spark, str(DATA))
+    assert codes.count() == d * e.select("label").distinct().count()
+
+
+def test_covariance_far_from_zero(spark):
+    x = np.random.default_rng(5).normal(1e7, 1.0, (500, 3))
+    df = spark.createDataFrame([(v.tolist(),) for v in x], "v array<double>").repartition(7)
+    got = {(r.i, r.j): r.cov for r in aggregates.feature_statistics(df, "v").collect()}
+    assert all(abs(np.cov(x.T)[k] - v) < 1e-6 for k, v in got.items())
