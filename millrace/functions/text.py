@@ -16,6 +16,20 @@ SECOND_WINS = r"(?is)((edited )?image\s*2|second image).{0,24}\b(better|best|win
 MESSAGES = "array<struct<from:string,value:string>>"
 
 
+_SENTINEL = "json-value-ends-here-7f3a91c5"
+
+
+def parse_json(text: Column) -> Column:
+    """One JSON value as a variant; null where the text is damaged or goes on after the value.
+
+    Spark's parser ignores what follows a first value.  Here the text stands
+    before a sentinel in a list, so only a text of exactly one value reaches it.
+    """
+    held = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_SENTINEL}"]')))
+    alone = ~text.contains(_SENTINEL) & (F.try_variant_get(held, "$[1]", "string") == _SENTINEL)
+    return F.when(alone, F.try_variant_get(held, "$[0]", "variant"))
+
+
 def word_count(text: Column) -> Column:
     """Blank-separated words; none in null or blank text."""
     t = F.trim(F.regexp_replace(text, r"(?U)\s+", " "))

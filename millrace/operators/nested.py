@@ -8,8 +8,8 @@ Python is involved, so one annotation with many masks costs one row's work.
 Defined results
 ---------------
 * null, blank and empty values have no child; ``{}``, ``[]``, ``[[]]`` neither;
-* text that is not JSON gives one child ``unreadable`` at 0;
-* JSON strings holding JSON are read through (up to ``UNWRAP`` times);
+* text that is not one JSON value (or has more behind it) gives one child ``unreadable`` at 0;
+* JSON strings holding JSON are read through and lists in lists are opened, however deep they are;
 * repeated keys count once (the newest row, ties by content), null keys are dropped;
 * extra columns are ignored.
 """
@@ -19,24 +19,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-UNWRAP = 2
-DEPTH = 2
+from millrace.functions.text import parse_json
+
+STEPS = 2  # levels opened by plain projections; deeper rows go on in a loop of their own
 _NUMBER = r"(BIGINT|DOUBLE|FLOAT|DECIMAL\([0-9,]+\))"
 _BLANKS = " \t\r\n"
+_ITEM = "struct<v:variant,t:string>"
 
 
 def _type(v: Column) -> Column:
     return F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
 
 
-def _parse(text: Column) -> Column:
-    """JSON text as a variant, null where it is damaged (the parser itself ignores what follows a first value)."""
-    body = F.trim(text, F.lit(_BLANKS))
-    first, last = F.left(body, F.lit(1)), F.right(body, F.lit(1))
-    closed = F.when(first == "[", last == "]").when(first == "{", last == "}").when(first == '"', last == '"').otherwise(True)
-    return F.when(closed, F.try_parse_json(text))
-
-
 def _typed(v: Column) -> Column:
     return F.struct(v.alias("v"), _type(v).alias("t"))
 
@@ -55,36 +49,60 @@ def _leaf(x: Column) -> Column:
 
 def _elements(x: Column) -> Column:
     """The elements of a list with their types; of a leaf, itself; of a JSON string, what it holds."""
-    held = _parse(F.try_variant_get(x["v"], "$", "string"))
+    held = parse_json(F.try_variant_get(x["v"], "$", "string"))
     return (
         F.when(_leaf(x), F.array(x))
         .when(x["t"].startswith("ARRAY<"), F.transform(F.try_variant_get(x["v"], "$", "array<variant>"), _typed))
         .when(x["t"] == "STRING", F.array(_typed(held)))
-        .otherwise(F.array().cast("array<struct<v:variant,t:string>>"))
+        .otherwise(F.array())
+        .cast(f"array<{_ITEM}>")
     )
 
 
+def _open(items: Column) -> Column:
+    return F.flatten(F.transform(items, _elements)).cast(f"array<{_ITEM}>")
+
+
+def _closed(items: Column) -> Column:
+    return ~F.exists(items, lambda x: ~_leaf(x))
+
+
+def _to_the_end(items: Column, text: Column) -> Column:
+    """Opened until only leaves are left; every level takes a character of the text, so its length bounds the loop."""
+    step = lambda acc, _: F.when(acc["done"], acc).otherwise(F.struct(_open(acc["items"]).alias("items"), _closed(_open(acc["items"])).alias("done")))
+    state = f"struct<items:array<{_ITEM}>,done:boolean>"
+    start = F.struct(items.alias("items"), F.lit(False).alias("done")).cast(state)
+    return F.aggregate(F.sequence(F.lit(1), F.length(text)), start, lambda acc, n: step(acc, n).cast(state), lambda acc: acc["items"])
+
+
+def _unwrap(v: Column) -> Column:
+    return F.when(_type(v) == "STRING", parse_json(F.try_variant_get(v, "$", "string"))).otherwise(v)
+
+
 def parsed(annotations: DataFrame) -> DataFrame:
     """``id, ingested_at, counts, damaged, size, items``: the leaves of ``segmentation`` with their types.
 
     Each step is a projection of its own, so every text is parsed and every
-    value's type is told once, not once per use.
+    value's type is told once, not once per use.  Rows deeper than ``STEPS``
+    levels take the loop, which no other row enters.
     """
-    df = annotations.select("id", "ingested_at", "segmentation", "counts", _parse(F.col("segmentation")).alias("root"))
-    for _ in range(UNWRAP):
+    df = annotations.select("id", "ingested_at", "segmentation", "counts", parse_json(F.col("segmentation")).alias("root"))
+    for _ in range(STEPS):
         df = df.withColumn("t", _type(F.col("root")))
-        held = _parse(F.try_variant_get("root", "$", "string"))
+        held = parse_json(F.try_variant_get("root", "$", "string"))
         df = df.withColumn("root", F.when(F.col("t") == "STRING", held).otherwise(F.col("root")))
+    # every encoding doubles the escapes before the innermost quote: a text of less than 2^31 characters has at most 32
+    encoded = F.aggregate(F.sequence(F.lit(1), F.lit(32)), F.col("root"), lambda v, _: _unwrap(v))
+    df = df.withColumn("root", F.when(_type(F.col("root")) == "STRING", encoded).otherwise(F.col("root")))
     df = df.withColumn("x", _typed(F.col("root")))
     blank = F.col("segmentation").isNull() | (F.trim("segmentation", F.lit(_BLANKS)) == "")
     df = df.select(
-        "id", "ingested_at", "counts", (~blank & F.col("root").isNull()).alias("damaged"),
+        "id", "ingested_at", "counts", "segmentation", (~blank & F.col("root").isNull()).alias("damaged"),
         F.when(F.col("x.t").startswith("OBJECT<"), F.try_variant_get("root", "$.size", "array<int>")).alias("size"), _elements(F.col("x")).alias("items"),
     )
-    for _ in range(DEPTH):
-        deeper = F.exists("items", lambda x: ~_leaf(x))
-        df = df.withColumn("items", F.when(deeper, F.flatten(F.transform("items", _elements))).otherwise(F.col("items")))
-    return df
+    for _ in range(STEPS):
+        df = df.withColumn("items", F.when(_closed(F.col("items")), F.col("items")).otherwise(_open(F.col("items"))))
+    return df.withColumn("items", F.when(_closed(F.col("items")), F.col("items")).otherwise(_to_the_end(F.col("items"), F.col("segmentation")))).drop("segmentation")
 
 
 _RUNS = r"^\s*\[[-+0-9.eE,\s]*[0-9][-+0-9.eE,\s]*\]\s*$"

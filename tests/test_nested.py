@@ -99,3 +99,17 @@ def test_sentences(spark):
     df = spark.createDataFrame([(1, [(10, None, None), (11, "a b", ["a", "b"])], T0), (1, [(10, None, None), (11, "a b", ["a", "b"])], T0), (2, None, T0), (3, [], T0)], ddl)
     assert sorted((r.child_pos, r.sent, r.n_tokens) for r in nested.sentences(df).collect()) == [(0, None, 0), (1, "a b", 2)]
     assert sorted((r.sent_pos, r.tok_pos, r.token) for r in nested.tokens(df).collect()) == [(1, 0, "a"), (1, 1, "b")]
+
+
+def test_any_depth(spark):
+    ring, mask = [1, 2, 3, 4, 5, 6], {"counts": "ab"}
+    inside = lambda n, x: x if n == 0 else inside(n - 1, [x])
+    coded = lambda n, x: json.dumps(x) if n == 0 else json.dumps(coded(n - 1, x))
+    rows = [(json.dumps(inside(n, ring)), None) for n in (1, 4, 5, 9, 60)] + [(coded(n, [ring, mask]), None) for n in (1, 2, 3, 6)]
+    rows += [(json.dumps([ring, [mask, [[[[mask]]], [ring]]]]), None), (json.dumps([coded(3, [[[[ring]]]])]), None)]
+    assert kinds(spark, rows) == {i: brute(*r) for i, r in enumerate(rows)}
+
+
+def test_more_behind_a_value_is_unreadable(spark):
+    texts = ["[[1,2,3,4,5,6]] [7,8]", '{"counts":"a"} {"x":1}', "12 abc", "[1,2,3,4,5,6],[1]", "1] [2", '1} {"a":2', '{"counts":"a"}}', '[[1,2,3,4,5,6]],"x"', json.dumps("[1,2,3,4,5,6] x")]
+    assert kinds(spark, [(t, "[1, 2]") for t in texts]) == {i: ["unreadable"] for i in range(len(texts))}

@@ -1,7 +1,7 @@
 import datetime as dt
 import random
 
-from millrace.operators.orphans import Link, orphan_report, orphans
+from millrace.operators.orphans import Link, apply_batch, current_orphans, orphan_report, orphans
 
 D = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(days=n)
 SRC = "sid bigint, ref array<bigint>, ingested_at timestamp, state string, target string, alive string, salt int"
@@ -39,3 +39,33 @@ def test_brute_force_with_hot_key(spark):
         if state:
             want.append((i, str(k), state))
     assert sorted((r.src_id, r.target, r.state) for r in run(spark, src, dst).collect()) == sorted(want)
+
+
+def test_batches_in_any_division_leave_the_same_state(spark):
+    rng = random.Random(7)
+    src = [(rng.randint(0, 40), [rng.choice([-1, 0, *range(12)]) for _ in range(rng.randint(0, 3))], D(rng.randint(0, 20))) for _ in range(120)]
+    src = list({(k, t): (k, v, t) for k, v, t in src}.values())
+    dst = list({(k, t): (k, t, g) for k, t, g in ((rng.randint(0, 9), D(rng.randint(0, 20)), rng.choice([True, False, None])) for _ in range(40))}.values())
+    links = lambda a, b: [Link("s", spark.createDataFrame([(*r, "a", "b", "c", 1) for r in a], SRC), "sid", "ref", "d", spark.createDataFrame([(*r, "x") for r in b], DST), "id", none=-1)]
+    rows = lambda df: sorted(map(str, df.collect()))
+    whole = apply_batch(None, links(src, dst))
+    want, keys = rows(current_orphans(whole)), rows(whole.keys.select("target", "refs", "alive", "newest", "first_at"))
+    for parts in (2, 3):
+        rng.shuffle(src)
+        rng.shuffle(dst)
+        state = None
+        for k in range(parts):
+            state = apply_batch(state, links(src[k::parts], dst[k::parts]))
+        assert rows(current_orphans(state)) == want
+        # a key that lost its last reference stays with a count of zero
+        assert [r for r in rows(state.keys.select("target", "refs", "alive", "newest", "first_at")) if "refs=0" not in r or "newest=None" not in r] == keys
+
+
+def test_counts_go_down(spark):
+    link = lambda a, b: [Link("s", spark.createDataFrame([(*r, "a", "b", "c", 1) for r in a], SRC), "sid", "ref", "d", spark.createDataFrame([(*r, "x") for r in b], DST), "id", none=-1)]
+    counts = lambda s: {r.target: (r.refs, r.alive) for r in s.keys.collect()}
+    one = apply_batch(None, link([(1, [1, 2], D(5))], [(1, D(1), False), (2, D(1), False)]))
+    assert counts(one) == {"1": (1, 1), "2": (1, 1)}
+    two = apply_batch(one, link([(1, [2], D(4))], [(1, D(0), False), (2, D(2), True)]))  # an earlier row names 2 only; 2 is deleted
+    assert counts(two) == {"1": (0, 1), "2": (1, 0)} and [r.state for r in current_orphans(two).collect()] == ["deleted"]
+    assert counts(apply_batch(two, link([], [(2, D(3), None)]))) == {"1": (0, 1), "2": (1, 1)}
