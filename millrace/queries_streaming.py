@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import arrays
 from millrace.registry import query
-from millrace.runtime import shared_dir, table
+from millrace.runtime import stage_dir, table
 from millrace.streaming import incremental
 
 
@@ -20,7 +20,7 @@ def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def _settled(stream: DataFrame, mode: str) -> DataFrame:
     """Run a stream over all there is and read the state after the last batch."""
     spark = stream.sparkSession
-    at = f"{shared_dir(spark)}/millrace/stream-{uuid.uuid4().hex}"
+    at = f"{stage_dir(spark)}/stream-{uuid.uuid4().hex}"
     incremental.for_each_batch(stream, lambda df, n: df.write.mode("overwrite").parquet(f"{at}/out"), f"{at}/checkpoint", mode).awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{at}/out")
 

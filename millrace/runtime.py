@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
 import uuid
@@ -34,14 +35,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share.
+    """The folder all executors share, as the cluster names it in ``spark.checkpoint.dir``.
 
-    A cluster names it in ``spark.checkpoint.dir``.  Only where that is unset
-    (tests on one machine) a temporary folder is made and kept for the session.
+    Only where all executors are threads of one machine (tests) may it be unset: a
+    temporary folder is made then.  On a cluster that is an error.
     """
     told = spark.conf.get("spark.checkpoint.dir", None)
     if told:
         return told.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
     global _local
     if _local is None:
         _local = "file://" + tempfile.mkdtemp(prefix="millrace-")
@@ -51,6 +54,34 @@ def shared_dir(spark: SparkSession) -> str:
 _local: str | None = None
 
 
+def stage_dir(spark: SparkSession) -> str:
+    """The folder of this application's stages."""
+    at = f"{shared_dir(spark)}/millrace/{spark.sparkContext.applicationId}"
+    if not _ending:
+        atexit.register(release, spark)
+        _ending.append(at)
+    return at
+
+
+_ending: list[str] = []
+
+
+def hadoop_path(spark: SparkSession, path: str):
+    """(file system, path) of any URI Spark can read."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the stages of this application; results that read them must have been consumed.  Runs by itself at exit."""
+    try:
+        fs, at = hadoop_path(spark, f"{shared_dir(spark)}/millrace/{spark.sparkContext.applicationId}")
+        fs.delete(at, True)
+    except Exception:  # noqa: BLE001 - the session is gone; its folder is left to the cluster's own cleaning
+        return
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as parquet in the shared folder and read it back.
 
@@ -58,7 +89,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     ``checkpoint()`` runs the last stage once and stores columns compressed.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/millrace/{label}-{uuid.uuid4().hex}"
+    path = f"{stage_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

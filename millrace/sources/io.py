@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import json
-import os
 from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.text import extension, stem
+from millrace.runtime import hadoop_path
 
 FORMATS = {"json": ("json", {"multiLine": "true"}), "jsonl": ("json", {}), "csv": ("csv", {"header": "true", "inferSchema": "true", "multiLine": "true", "escape": '"'}), "parquet": ("parquet", {})}
 
@@ -32,8 +32,9 @@ def read_metadata(spark: SparkSession, path: str, schema=None) -> DataFrame:
 def read_split(spark: SparkSession, path_at_split: str, default: str = "train") -> DataFrame:
     """``path@split``: the rows of one split; a directory is read by the suffix of its first file."""
     path, _, asked = path_at_split.partition("@")
-    if os.path.isdir(path):
-        names = sorted(n for n in os.listdir(path) if not n.startswith((".", "_")))
+    fs, at = hadoop_path(spark, path)
+    if fs.exists(at) and fs.getFileStatus(at).isDirectory():
+        names = sorted(n for n in (f.getPath().getName() for f in fs.listStatus(at)) if not n.startswith((".", "_")))
         fmt, options = FORMATS.get(_suffix(names[0]) if names else "parquet", FORMATS["csv"])
         df = spark.read.format(fmt).options(**options).load(path)
     else:
@@ -147,17 +148,12 @@ def write_shards(df: DataFrame, path: str, rows: int = 10_000) -> None:
 def resume_write(df: DataFrame, path: str, key: str) -> int:
     """Append the rows that have no output yet; returns how many were written."""
     spark = df.sparkSession
-    there = os.path.isdir(path) if "://" not in path else True
-    todo = df
-    if there:
-        try:
-            todo = df.join(spark.read.parquet(path).select(key).distinct(), key, "left_anti")
-        except Exception as e:  # noqa: BLE001 - nothing written yet
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-    before = spark.read.parquet(path).count() if there and todo is not df else 0
-    todo.write.mode("append").parquet(path)
-    return spark.read.parquet(path).count() - before
+    fs, at = hadoop_path(spark, path)
+    parts = [f for f in fs.listStatus(at) if f.getPath().getName().endswith(".parquet")] if fs.exists(at) else []
+    todo = df.join(spark.read.parquet(path).select(key).distinct(), key, "left_anti") if parts else df
+    seen = Observation()
+    todo.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(path)
+    return seen.get["n"]
 
 
 def append_metrics(spark: SparkSession, path: str, step: int, values: dict[str, float]) -> None:
