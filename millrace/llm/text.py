@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import html
 import re
 import unicodedata
@@ -11,12 +12,26 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 _WORD = re.compile(r"[^\W_]+")
 _TAG = re.compile(r"<\|[^<>|]*\|>|</?[A-Za-z][^<>]*>")
 #: Words that carry no attribute, number, position, relation or object.
 FUNCTION_WORDS = frozenset("the a an of on at in to with by for and is are that which this".split())
 
 
+@lru_cache(maxsize=4)
+def public_words(path: str = TOKENIZER) -> frozenset[str]:
+    """The words that are one piece of a public vocabulary, in lower case: common words, the same at every size of the tables."""
+    out = set()
+    with open(path, "rb") as f:
+        for line in f:
+            if line.strip():
+                piece = base64.b64decode(line.split()[0])
+                if piece[:1] == b" " and piece[1:].isalpha():
+                    out.add(piece[1:].decode("ascii", "ignore").lower())
+    return frozenset(out - {""})
+
+
 @lru_cache(maxsize=1)
 def _format_marks() -> dict[int, None]:
     import sys
