@@ -17,6 +17,8 @@ _WORD = re.compile(r"[^\W_]+")
 _TAG = re.compile(r"<\|[^<>|]*\|>|</?[A-Za-z][^<>]*>")
 #: Words that carry no attribute, number, position, relation or object.
 FUNCTION_WORDS = frozenset("the a an of on at in to with by for and is are that which this".split())
+#: Those of them that name a relation: they may be left out, but not exchanged.
+RELATION_WORDS = frozenset("of on at in to with by for".split())
 
 
 @lru_cache(maxsize=4)
@@ -78,23 +80,27 @@ def slips(word: str) -> set[str]:
     return out - {word}
 
 
-def frequent_words(tokens: DataFrame, column: str, share: float = 2e-4, least: int = 8) -> dict[str, int]:
-    """Words in at least ``share`` of the rows (and ``least`` rows), with their row counts.
-
-    Counted over all rows.  The list that reaches the driver is bounded: rows
-    hold a bounded mean number of distinct words ``m``, so at most ``m / share``
-    words can pass, whatever the size of the corpus.
-    """
-    n = tokens.count()
-    bar = max(least, int(share * n))
-    rows = (
-        tokens.select(F.explode(F.array_distinct(column)).alias("w"))
-        .groupBy("w")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") >= bar)
-        .collect()
-    )
-    return {r["w"]: r["n"] for r in rows}
+def edits_within(a: str, b: str, most: int) -> bool:
+    """Whether ``a`` becomes ``b`` by at most ``most`` edits (a letter lost, added, exchanged, two neighbours swapped); banded dynamic programming."""
+    n, m = len(a), len(b)
+    if abs(n - m) > most:
+        return False
+    far = most + 1
+    older, old = {}, {j: j for j in range(min(m, most) + 1)}
+    for i in range(1, n + 1):
+        new = {}
+        for j in range(max(0, i - most), min(m, i + most) + 1):
+            if j == 0:
+                new[j] = i
+                continue
+            v = min(old.get(j - 1, far) + (a[i - 1] != b[j - 1]), old.get(j, far) + 1, new.get(j - 1, far) + 1)
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                v = min(v, older.get(j - 2, far) + 1)
+            new[j] = v
+        if min(new.values()) > most:
+            return False
+        older, old = old, new
+    return old.get(m, far) <= most
 
 
 def eval_split(split: Column) -> Column:
