@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 import tempfile
 import uuid
 from collections import Counter
@@ -30,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +39,8 @@ from pyspark.sql import functions as F
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the public text splitter of this family of byte-level vocabularies.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The same splitter for texts in which only ASCII characters stand.
+ASCII_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?[A-Za-z]+| ?[0-9]+| ?[^ \t\n\r\x0b\x0cA-Za-z0-9]+|[ \t\n\r\x0b\x0c]+(?![^ \t\n\r\x0b\x0c])|[ \t\n\r\x0b\x0c]+"
 LEXICON_WORDS = 50_000
 
 
@@ -50,7 +54,10 @@ class Merger:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.enc = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.split = regex.compile(PATTERN).findall
+        self._any, self._ascii = regex.compile(PATTERN).findall, re.compile(ASCII_PATTERN).findall
+
+    def split(self, text: str) -> list[str]:
+        return self._ascii(text) if text.isascii() else self._any(text)
 
     def ids(self, word: str) -> list[int]:
         return self.enc._encode_single_piece(word)
@@ -184,24 +191,65 @@ def build(documents: DataFrame, tokenizer: str = TOKENIZER, size: int = LEXICON_
     return name
 
 
-def encode(documents: DataFrame, tokenizer: str = TOKENIZER, size: int = LEXICON_WORDS, key: str = "doc_id", lengths: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``key, ids`` of every document, or ``key, n_tokens`` with ``lengths``; the columns of ``keep`` are carried along."""
+def _gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The slices ``flat[start : start + size]`` one after the other."""
+    total = int(size.sum())
+    ends = np.cumsum(size)
+    return flat[np.arange(total) + np.repeat(start - (ends - size), size)] if total else flat[:0]
+
+
+def encode(documents: DataFrame, tokenizer: str = TOKENIZER, size: int = LEXICON_WORDS, key: str = "doc_id") -> DataFrame:
+    """``key, ids`` of every document."""
     name = build(documents, tokenizer, size)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merge, lexicon = Merger(tokenizer), Lexicon(SparkFiles.get(name))
         for batch in batches:
-            pieces = [merge.split(t) if t else [] for t in batch["text"]]
-            distinct = list(dict.fromkeys(w for p in pieces for w in p))
-            ranks = lexicon.ranks([w.encode() for w in distinct])
-            a, b = lexicon.offset[np.maximum(ranks, 0)], lexicon.offset[np.minimum(ranks + 1, len(lexicon.offset) - 1)]
-            ids = lexicon.ids
-            if lengths:
-                size_of = {w: int(y - x) if r >= 0 else len(merge.ids(w)) for w, r, x, y in zip(distinct, ranks, a, b, strict=True)}
-                yield pd.DataFrame({key: batch[key], **{k: batch[k] for k in keep}, "n_tokens": [sum(size_of[w] for w in p) for p in pieces]})
-            else:
-                of = {w: ids[x:y].tolist() if r >= 0 else merge.ids(w) for w, r, x, y in zip(distinct, ranks, a, b, strict=True)}
-                yield pd.DataFrame({key: batch[key], **{k: batch[k] for k in keep}, "ids": [[i for w in p for i in of[w]] for p in pieces]})
+            code_of: dict[str, int] = {}
+            pieces = [merge.split(t) if t else [] for t in batch.column(1).to_pylist()]
+            codes = np.array([code_of.setdefault(w, len(code_of)) for p in pieces for w in p], dtype=np.int64)
+            words = list(code_of)
+            ranks = lexicon.ranks([w.encode() for w in words])
+            merged = [merge.ids(words[i]) for i in np.flatnonzero(ranks < 0)]  # the words the lexicon lacks
+            known = ranks >= 0
+            count = np.zeros(len(words), dtype=np.int64)
+            count[known] = lexicon.offset[ranks[known] + 1] - lexicon.offset[ranks[known]]
+            count[~known] = [len(m) for m in merged]
+            start = np.zeros(len(words), dtype=np.int64)
+            start[known] = lexicon.offset[ranks[known]]
+            start[~known] = len(lexicon.ids) + np.concatenate(([0], np.cumsum(count[~known])))[:-1]
+            table = np.concatenate([lexicon.ids, np.array([i for m in merged for i in m], dtype=np.int64)])
+            ids = _gather(table, start[codes], count[codes])
+            upto = np.concatenate(([0], np.cumsum(count[codes])))
+            ends = np.concatenate(([0], np.cumsum([len(p) for p in pieces]))).astype(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(upto[ends].astype(np.int32)), pa.array(ids.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], [key, "ids"])
+
+    return documents.select(key, "text").mapInArrow(run, f"{key} {documents.schema[key].dataType.simpleString()}, ids array<int>")
+
+
+def sizes(documents: DataFrame, tokenizer: str = TOKENIZER, key: str = "doc_id", keep: tuple[str, ...] = (), held: int = 1 << 18) -> DataFrame:
+    """``key, n_tokens`` of every document in one pass; the columns of ``keep`` are carried along.
+
+    Each worker remembers the sizes of up to ``held`` words and starts anew beyond.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        merge = Merger(tokenizer)
+        size_of: dict[str, int] = {}
+        for batch in batches:
+            out = []
+            for text in batch.column(batch.num_columns - 1).to_pylist():
+                n = 0
+                for w in merge.split(text) if text else ():
+                    k = size_of.get(w)
+                    if k is None:
+                        k = size_of[w] = len(merge.ids(w))
+                    n += k
+                out.append(n)
+                if len(size_of) > held:
+                    size_of.clear()
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns - 1)), pa.array(out, type=pa.int64())], [key, *keep, "n_tokens"])
 
     kinds = ", ".join(f"{k} {documents.schema[k].dataType.simpleString()}" for k in (key, *keep))
-    return documents.select(key, *keep, "text").mapInPandas(run, f"{kinds}, " + ("n_tokens bigint" if lengths else "ids array<int>"))
+    return documents.select(key, *keep, "text").mapInArrow(run, f"{kinds}, n_tokens bigint")

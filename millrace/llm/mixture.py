@@ -63,8 +63,8 @@ def copies(documents: DataFrame, targets: DataFrame, tokenizer: str = lexicon.TO
     if not caps:
         return documents.where(F.lit(False)).select("doc_id", "source", F.lit(0).cast("bigint").alias("n_tokens"), F.lit(0).alias("copy"), F.lit(0.0).alias("rate"))
     listed = documents.where(F.col("doc_id").isNotNull() & F.col("source").isin(*caps))
-    sized = lexicon.encode(listed, tokenizer, lengths=True, keep=("source",)).where(F.col("n_tokens") > 0)
-    sized = materialize(sized, "p8-tokens")
+    # filtered after it is written: a filter on a Python column would be part of its stage only
+    sized = materialize(lexicon.sizes(listed, tokenizer, keep=("source",)), "p8-tokens").where(F.col("n_tokens") > 0)
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
     cap = F.element_at(F.create_map(*[x for k, v in caps.items() for x in (F.lit(k), F.lit(v))]), F.col("source"))
     rated = sized.select("doc_id", "source", "n_tokens", F.posexplode(_rates(u, cap)).alias("copy", "rate"))

@@ -28,12 +28,12 @@ def test_ids_equal_the_tokenizer(spark, size):
 
     t = Tokenizer.from_file("/opt/tokenizers/byte_bpe_50k.json")
     t.encode_special_tokens = True
-    odd = [(-1, None), (-2, ""), (-3, " \n\t "), (-4, "<|endoftext|>"), (-5, "a" * 5000), (-6, "中" * 3000), (-7, "​ก 👩‍🚀"), (-8, "don't  stop\r\n\r\n 12345")]
+    odd = [(-1, None), (-2, ""), (-3, " \n\t "), (-4, "<|endoftext|>"), (-5, "a" * 5000), (-6, "中" * 3000), (-7, "​ก 👩‍🚀"), (-8, "don't  stop\r\n\r\n 12345"), (-9, "a\x1cb \x1c c\x1f\x85 \x0b d  "), (-10, "x² ½ Ⅷ _a_1 't  's\t\t")]
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame(odd, "doc_id bigint, text string"))
     got = {r.doc_id: r.ids for r in lexicon.encode(docs, size=size).collect()}
     want = {r.doc_id: t.encode(r.text or "", add_special_tokens=False).ids for r in docs.collect()}
     assert got == want
-    assert {r.doc_id: r.n_tokens for r in lexicon.encode(docs, size=size, lengths=True).collect()} == {k: len(v) for k, v in want.items()}
+    assert {r.doc_id: r.n_tokens for r in lexicon.sizes(docs, held=size or 1).collect()} == {k: len(v) for k, v in want.items()}
 
 
 def test_empty_table(spark):
