@@ -13,9 +13,14 @@ sequence of whole spans with the best total score.  A span is scored jointly by
   that opens the span is followed by its speaker, one after a colon ends it);
 * its length: a lone word before an ellipsis is no sentence.
 
+The program is exact: every earlier cut is a possible start of a span.  What a
+span gains or loses is constant over ranges of starts (before or after the
+quotation that it closes) but for spans of a few characters, so a running best
+stands for a range and the cost stays linear in the text.
+
 Opening and closing words are counted over all documents (combined per batch
-before the shuffle); a word must occur in a share of them, so the tables that
-reach the driver are bounded by tokens-per-document / share.
+before the shuffle); the commonest ``MODEL_WORDS`` of them form the model, which
+bounds what reaches the driver at every size of the corpus.
 
 Defined results: null and blank texts have no unit; offsets are code points of
 the text as stored; outer blanks and byte-order marks belong to no unit.
@@ -26,17 +31,19 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SHARE, LEAST = 2e-4, 3
-MAX_SPAN = 200  # candidates one span may pass over
+MODEL_WORDS = 100_000
+_SHORT = 16  # a span of at most so many characters is looked at as a whole
 #: Abbreviations that do not end a sentence, and those that may.
 NEVER = frozenset(
     "mr mrs ms dr prof st vs e.g i.e fig figs sec no nos approx incl p pp ch vol eq ed eds cf al messrs sr jr hon rev gen col capt "
@@ -57,7 +64,6 @@ _NUMBER = re.compile(r"[ \t　\xa0﻿]*(\d{1,4})[.)][ \t\xa0]+")
 _LINE = re.compile(_BREAK)
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 _LEAD = " \t\r\n　\xa0\"'“”„«»‹›「『（(¿¡‘’[*-•—–"
-_PAIR_REACH = 400
 #: Words before an ordinal number.
 _ORDINAL = re.compile(r"(?<!\w)(?:am|der|die|das|den|dem|des|vom|zum|zur|im|beim|ab|bis|seit|jeder|jede|jedes)\s+\d+\Z", re.I)
 _PAIRED = re.compile("[" + re.escape("".join(sorted({*_OPEN, *_CLOSE}))) + "]")
@@ -142,16 +148,23 @@ def _items(text: str, start: int, end: int) -> Iterator[tuple[int, int, bool]]:
 
 
 def _pairs(text: str, start: int, end: int) -> dict[int, int]:
-    """Closing position -> opening position of quotes and brackets."""
+    """Closing position -> opening position of quotes and brackets.
+
+    A straight quote after a blank and before none always opens; one that is open
+    already was never closed and is dropped, so a lone mark encloses nothing.
+    """
     stack: list[tuple[str, int]] = []
     out: dict[int, int] = {}
     for m in _PAIRED.finditer(text, start, end):
         i, c = m.start(), m[0]
+        if c == '"' and i + 1 < end and (i == start or text[i - 1].isspace()) and not text[i + 1].isspace():
+            stack = [x for x in stack if x[0] != '"']
+            stack.append((c, i))
+            continue
         for k in range(len(stack) - 1, -1, -1):
             o, p = stack[k]
             if (c == '"' and o == '"') or (c in _OPEN.get(o, "") and c != '"'):
-                if i - p <= _PAIR_REACH:
-                    out[i] = p
+                out[i] = p
                 del stack[k:]
                 break
         else:
@@ -160,6 +173,20 @@ def _pairs(text: str, start: int, end: int) -> dict[int, int]:
     return out
 
 
+class _Nesting:
+    """Answers in logarithmic time whether a place lies within a pair."""
+
+    def __init__(self, pairs: dict[int, int]) -> None:
+        both = sorted((o, c) for c, o in pairs.items())
+        self.opens = [o for o, _ in both]
+        self.reach = list(accumulate((c for _, c in both), max))
+
+    def reaches(self, at: int) -> int:
+        """The farthest closing place of the pairs that open before ``at``."""
+        k = bisect_left(self.opens, at)
+        return self.reach[k - 1] if k else -1
+
+
 @dataclass
 class Model:
     """Corpus counts of words that open texts, stand inside, and of tokens with a full stop at the end of texts or inside."""
@@ -202,14 +229,11 @@ class _Cut:
 
 def _cuts(text: str, start: int, end: int, model: Model) -> list[_Cut]:
     pairs = _pairs(text, start, end)
-    inside: list[tuple[int, int]] = sorted((o, c) for c, o in pairs.items())
+    nesting = _Nesting(pairs)
     block = text[start:end]
     lower = block == block.lower()
     out: list[_Cut] = []
 
-    def enclosed(at: int) -> bool:
-        return any(o < at <= c for o, c in inside)
-
     for m in _CLUSTER.finditer(text, start, end):
         mark, e = m[0], m.end()
         quote = bracket = -1
@@ -303,10 +327,9 @@ def _cuts(text: str, start: int, end: int, model: Model) -> list[_Cut]:
                 s += 1.5
             if not head.isalnum() and c not in "“„«「\"(（":
                 s -= 4.0
-        if enclosed(e - 1) and not any(cl == e - 1 for cl in pairs):
-            s -= 9.0
-        elif any(o < e - 1 < cl for o, cl in inside):
-            s -= 9.0
+        reach = nesting.reaches(e - 1)
+        if reach > e - 1 or reach == e - 1 and e - 1 not in pairs:
+            s -= 9.0  # within a quotation or bracket
         out.append(_Cut(e, nxt, s, quote, bracket if lower else -1))
 
     if _THAI.search(block):
@@ -318,7 +341,7 @@ def _cuts(text: str, start: int, end: int, model: Model) -> list[_Cut]:
             p, n = text[a - 1], text[b]
             edge = lambda ch: ch.isdigit() or (ch.isalpha() and unicodedata.name(ch, "").startswith("LATIN"))
             if (_is_thai(p) or _is_thai(n)) and not edge(p) and not edge(n) and p not in "([“\"«" and n not in ")]”»":
-                out.append(_Cut(a, b, 4.0 - (9.0 if any(o < a <= c for o, c in inside) else 0.0)))
+                out.append(_Cut(a, b, 4.0 - (9.0 if nesting.reaches(a) >= a else 0.0)))
         out.sort(key=lambda x: x.end)
     return out
 
@@ -327,15 +350,15 @@ def _span(text: str, a: int, cut: _Cut) -> float:
     """What a cut gains or loses by where its span began."""
     s = 0.0
     if cut.quote >= 0:
-        lead = text[a : cut.quote]
-        if not lead.strip():
+        lead = _last_word(text, a, cut.quote)
+        if lead <= a:
             s -= 0.0 if text[cut.next] in "“„«「\"" or text[cut.next].isupper() else 4.0  # the quotation opens the span: its speaker follows
-        elif lead.rstrip()[-1] in ":：":
+        elif text[lead - 1] in ":：":
             s += 2.5 if not text[cut.next].islower() else 0.0
-    if cut.bracket > a and text[a : cut.bracket].strip():
+    if cut.bracket > a and _last_word(text, a, cut.bracket) > a:
         s -= 5.0  # a remark within a sentence
-    body = text[a : cut.end]
-    if len(body) <= 16:
+    if cut.end - a <= _SHORT:
+        body = text[a : cut.end]
         n = len(_WORD.findall(body))
         if n <= 1 and (body.rstrip().endswith("…") or body.endswith("..")):
             s -= 6.0 if not (_is_cjk(body[0]) and len(body) > 4) else 0.0
@@ -344,6 +367,36 @@ def _span(text: str, a: int, cut: _Cut) -> float:
     return s
 
 
+def _last_word(text: str, start: int, at: int) -> int:
+    """The place behind the last character before ``at`` that is not blank."""
+    while at > start and text[at - 1].isspace():
+        at -= 1
+    return at
+
+
+def _best(text: str, begins: list[int], cuts: list[_Cut]) -> tuple[list[float], list[int]]:
+    """Best score of a division that ends at each cut (0: the start of the block) and the cut before it."""
+    best, back = [0.0] + [-math.inf] * len(cuts), [0] * (len(cuts) + 1)
+    first = [0] * (len(cuts) + 1)  # where the running best of all starts so far stands
+    for j, cut in enumerate(cuts, 1):
+        far = bisect_left(begins, cut.end - _SHORT, 0, j)  # spans from these are longer than _SHORT
+        marks = {_last_word(text, begins[0], q) for q in (cut.quote, cut.bracket) if q >= 0}
+        edges = [0, *sorted(k for k in (bisect_left(begins, m, 0, far) for m in marks) if 0 < k < far), far]
+        for a, b in zip(edges, edges[1:]):
+            if a < b:
+                i = first[b - 1] if a == 0 else max(range(a, b), key=best.__getitem__)
+                v = best[i] + cut.score + _span(text, begins[i], cut)
+                if v > best[j]:
+                    best[j], back[j] = v, i
+        for i in range(far, j):
+            if begins[i] < cut.end:
+                v = best[i] + cut.score + _span(text, begins[i], cut)
+                if v > best[j]:
+                    best[j], back[j] = v, i
+        first[j] = j if best[j] > best[first[j - 1]] else first[j - 1]
+    return best, back
+
+
 def spans(text: str | None, model: Model) -> list[tuple[int, int]]:
     """``start, end`` of every unit of a text."""
     out: list[tuple[int, int]] = []
@@ -360,15 +413,7 @@ def spans(text: str | None, model: Model) -> list[tuple[int, int]]:
         if not cuts:
             out.append((start, end))
             continue
-        # best[j]: best score of a division of the text before cut j that ends there
-        begins = [start] + [c.next for c in cuts]
-        best, back = [0.0] + [-math.inf] * len(cuts), [0] * (len(cuts) + 1)
-        for j, cut in enumerate(cuts, 1):
-            for i in range(max(0, j - MAX_SPAN), j):
-                if begins[i] < cut.end:
-                    v = best[i] + cut.score + _span(text, begins[i], cut)
-                    if v > best[j]:
-                        best[j], back[j] = v, i
+        best, back = _best(text, [start] + [c.next for c in cuts], cuts)
         j = max(range(len(best)), key=lambda k: best[k])
         ends: list[int] = []
         while j:
@@ -403,8 +448,8 @@ def _count(text: str, c: Counter) -> None:
                 c[("f" if n == len(tokens) - 1 else "t") + _DIGITS.sub("0", _clean(t[:-1].lstrip("([\"“„«")))] += 1
 
 
-def learn(documents: DataFrame, share: float = SHARE, least: int = LEAST) -> Model:
-    """The counts of all documents; only words above a share of them reach the driver."""
+def learn(documents: DataFrame, size: int = MODEL_WORDS) -> Model:
+    """The counts of all documents; the commonest ``size`` words reach the driver."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -415,9 +460,8 @@ def learn(documents: DataFrame, share: float = SHARE, least: int = LEAST) -> Mod
             if c:
                 yield pd.DataFrame({"w": list(c.keys()), "n": list(c.values())})
 
-    n = documents.count()
-    bar = max(least, int(share * n))
-    rows = documents.select("text").mapInPandas(count, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n")).where(F.col("n") >= bar).collect()
+    counted = documents.select("text").mapInPandas(count, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
+    rows = counted.orderBy(F.desc("n"), "w").limit(size).collect()
     part = lambda k: {r["w"][1:]: r["n"] for r in rows if r["w"][0] == k}
     return Model(part("s"), part("i"), part("f"), part("t"))
 
