@@ -40,14 +40,52 @@ def first_index(a: Column, value: Column) -> Column:
     return F.coalesce(F.array_position(a, value), F.lit(0)) - 1
 
 
-def label_spans(ids: Column, begin: int, end: int, ignore: int = -100) -> Column:
-    """Ids between a begin and an end token (the end included) stay, all others become ``ignore``."""
-    start = F.struct(F.lit(False).alias("on"), F.array().cast("array<bigint>").alias("out"))
-    step = lambda acc, x: F.struct(
-        F.when(x == begin, True).when(x == end, False).otherwise(acc["on"]).alias("on"),
-        F.concat(acc["out"], F.array(F.when(acc["on"] & (x != begin), x).otherwise(F.lit(ignore)).cast("bigint"))).alias("out"),
-    )
-    return F.aggregate(ids, start, step, lambda acc: acc["out"])
+def _labelled(ids: Column, spans: Column, ignore: int) -> Column:
+    """``ids`` within the half-open ``spans`` (in order, apart), ``ignore`` elsewhere; linear in the length."""
+    n = F.size(ids)
+    fill = lambda k: F.array_repeat(F.lit(ignore).cast("bigint"), F.greatest(k, F.lit(0)).cast("int"))
+    cut = lambda a, b: F.slice(ids.cast("array<bigint>"), (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int"))
+    before = F.concat(F.array(F.lit(0)), F.transform(spans, lambda s: s["b"]))
+    parts = F.transform(spans, lambda s, i: F.concat(fill(s["a"] - F.get(before, i)), cut(s["a"], s["b"])))
+    return F.when(ids.isNotNull(), F.concat(F.flatten(parts), fill(n - F.coalesce(F.element_at(before, -1), F.lit(0)))))
+
+
+def label_spans(ids: Column, header: list[int], end: int, skip: int = 0, after: int = 1, closed: bool = True, ignore: int = -100) -> Column:
+    """Labels of answers: the ids from behind a ``header`` (and ``skip`` more) to its ``end`` token and ``after - 1`` more stay, others become ``ignore``.
+
+    A header within an answer does not count.  A header without an end gives no labels
+    (and, where ``closed``, ends the search).
+    """
+    h, n = len(header), F.size(ids)
+    window = lambda i: F.slice(ids, (i + 1).cast("int"), F.lit(h)).cast("array<bigint>") == F.array(*[F.lit(x).cast("bigint") for x in header])
+    heads = F.array_compact(F.transform(ids, lambda x, i: F.when((x == header[0]) & (i + h <= n) & window(i), i)))
+    ends = F.array_compact(F.transform(ids, lambda x, i: F.when(x == end, i)))
+    kind = "struct<at:int,done:boolean,out:array<struct<a:int,b:int>>>"
+    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("done"), F.array().alias("out")).cast(kind)
+
+    def step(acc: Column, i: Column) -> Column:
+        first = i + h + skip
+        stop = F.array_min(F.filter(ends, lambda e: e >= first))
+        held = F.struct((stop + after).alias("at"), F.lit(False).alias("done"), F.concat(acc["out"], F.array(F.struct(first.alias("a"), F.least(stop + after, n).alias("b")))).alias("out")).cast(kind)
+        lost = F.struct(acc["at"], F.lit(closed).alias("done"), acc["out"]).cast(kind)
+        return F.when(acc["done"] | (i < acc["at"]), acc).when(stop.isNotNull(), held).otherwise(lost)
+
+    return _labelled(ids, F.aggregate(heads, start, step, lambda acc: acc["out"]), ignore)
+
+
+#: The tokens that open and close an answer in the two chat layouts.
+FOUR_TOKEN_HEADER, FOUR_TOKEN_END = [128006, 78191, 128007, 271], 128009
+ONE_TOKEN_HEADER, ONE_TOKEN_END = [77091], 151645
+
+
+def header_labels(ids: Column) -> Column:
+    """Answers behind the four-token header, their end token included."""
+    return label_spans(ids, FOUR_TOKEN_HEADER, FOUR_TOKEN_END)
+
+
+def role_labels(ids: Column) -> Column:
+    """Answers two places behind the role token, their end token and the one after it included."""
+    return label_spans(ids, ONE_TOKEN_HEADER, ONE_TOKEN_END, skip=1, after=2, closed=False)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -170,19 +208,19 @@ def grid_positions(segments: Column, merge: int = 2) -> Column:
     ``t`` frames has one position per merged patch, offset by where it starts;
     what follows goes on after the largest position so far.
     """
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<t:int,h:int,w:int>>").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        h, w = F.floor(s["h"] / merge).cast("int"), F.floor(s["w"] / merge).cast("int")
-        grid = F.transform(
-            F.sequence(F.lit(0), s["t"] * h * w - 1),
-            lambda k: F.struct((acc["at"] + F.floor(k / (h * w))).cast("int").alias("t"), (acc["at"] + F.floor(k / w) % h).cast("int").alias("h"), (acc["at"] + k % w).cast("int").alias("w")),
-        )
-        text = F.transform(F.sequence(F.lit(0), s["n"] - 1), lambda k: F.struct((acc["at"] + k).cast("int").alias("t"), (acc["at"] + k).cast("int").alias("h"), (acc["at"] + k).cast("int").alias("w")))
-        none = F.array().cast("array<struct<t:int,h:int,w:int>>")
-        is_grid = s["t"].isNotNull() & (s["t"] > 0)
-        here = F.when(is_grid, F.when(h * w > 0, grid).otherwise(none)).when(s["n"] > 0, text).otherwise(none)
-        after = F.when(is_grid, acc["at"] + F.greatest(s["t"], h, w)).otherwise(acc["at"] + F.coalesce(s["n"], F.lit(0)))
-        return F.struct(after.cast("int").alias("at"), F.concat(acc["out"], here).alias("out"))
-
-    return F.aggregate(segments, start, step, lambda acc: acc["out"])
+    axes = "array<struct<t:int,h:int,w:int>>"
+    is_grid = lambda s: s["t"].isNotNull() & (s["t"] > 0)
+    side = lambda c: F.floor(c / merge).cast("int")
+    room = lambda s: F.when(is_grid(s), F.greatest(s["t"], side(s["h"]), side(s["w"]))).otherwise(F.coalesce(s["n"], F.lit(0)))
+    # where every segment starts: one number a segment, then all positions at once
+    starts = F.aggregate(segments, F.array(F.lit(0)), lambda acc, s: F.concat(acc, F.array((F.element_at(acc, -1) + room(s)).cast("int"))))
+
+    def of(s: Column, i: Column) -> Column:
+        at, h, w = F.get(starts, i), side(s["h"]), side(s["w"])
+        three = lambda t, y, x: F.struct((at + t).cast("int").alias("t"), (at + y).cast("int").alias("h"), (at + x).cast("int").alias("w"))
+        grid = F.transform(F.sequence(F.lit(0), s["t"] * h * w - 1), lambda k: three(F.floor(k / (h * w)), F.floor(k / w) % h, k % w))
+        words = F.transform(F.sequence(F.lit(0), s["n"] - 1), lambda k: three(k, k, k))
+        none = F.array().cast(axes)
+        return F.when(is_grid(s), F.when(h * w > 0, grid).otherwise(none)).when(s["n"] > 0, words).otherwise(none)
+
+    return F.flatten(F.transform(segments, of))

@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 
 def encode_counts(counts: list[int]) -> str:
@@ -90,27 +90,77 @@ def area(runs: Column) -> Column:
     return F.aggregate(F.transform(runs, lambda c, i: F.when(i % 2 == 1, c).otherwise(0).cast("bigint")), F.lit(0).cast("bigint"), lambda s, x: s + x)
 
 
-def intervals(runs: Column) -> Column:
-    """``array<struct<a, b>>`` of the set runs as half-open pixel ranges."""
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit(0).alias("i"), F.array().cast("array<struct<a:bigint,b:bigint>>").alias("out"))
-    step = lambda acc, c: F.struct(
-        (acc["at"] + c).cast("bigint").alias("at"), (acc["i"] + 1).alias("i"),
-        F.when((acc["i"] % 2 == 1) & (c > 0), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("a"), (acc["at"] + c).cast("bigint").alias("b"))))).otherwise(acc["out"]).alias("out"),
-    )
-    return F.aggregate(runs, start, step, lambda acc: acc["out"])
+def _edges(runs) -> np.ndarray:
+    return np.concatenate(([0], np.cumsum(np.asarray(runs, dtype=np.int64))))
 
 
-def overlap(a: Column, b: Column) -> Column:
-    """Pixels two masks (as ``intervals``) share."""
-    per = F.transform(a, lambda x: F.aggregate(F.transform(b, lambda y: F.greatest(F.least(x["b"], y["b"]) - F.greatest(x["a"], y["a"]), F.lit(0).cast("bigint"))), F.lit(0).cast("bigint"), lambda s, v: s + v))
-    return F.aggregate(per, F.lit(0).cast("bigint"), lambda s, v: s + v)
+def _ranges(runs) -> list[tuple[int, int]]:
+    """The set runs as half-open pixel ranges."""
+    e = _edges(runs)
+    pairs = [(int(x), int(y)) for x, y in zip(e[1:-1:2], e[2::2], strict=True)]
+    return [(x, y) for x, y in pairs if y > x]
 
 
-def iou(a: Column, b: Column) -> Column:
-    """IoU of two run-length masks; 0 where both are empty."""
-    both = overlap(intervals(a), intervals(b))
-    union = area(a) + area(b) - both
-    return F.when(union > 0, both / union).otherwise(0.0)
+@F.pandas_udf(ArrayType(StructType([StructField("a", LongType()), StructField("b", LongType())])))
+def intervals(runs: pd.Series) -> pd.Series:
+    return runs.map(lambda r: None if r is None else [{"a": x, "b": y} for x, y in _ranges(r)])
+
+
+def shared_pixels(a, b) -> int:
+    """Pixels two masks share: the set pixels of ``b`` before each end of a set run of ``a``."""
+    ea, eb = _edges(a), _edges(b)
+    if len(ea) < 3 or len(eb) < 3:
+        return 0
+    upto = np.concatenate(([0], np.cumsum(np.where(np.arange(len(b)) % 2 == 1, np.asarray(b, dtype=np.int64), 0))))
+    before = lambda x: np.interp(x, eb, upto)  # noqa: E731 - piecewise linear, exact at whole numbers
+    k = (len(ea) - 1) // 2
+    return int(round(float((before(ea[2 : 2 * k + 1 : 2]) - before(ea[1 : 2 * k : 2])).sum())))
+
+
+def pixels(runs) -> int:
+    return int(np.asarray(runs, dtype=np.int64)[1::2].sum())
+
+
+def iou_matrix(truth, predicted, eps: float = 1e-7) -> np.ndarray:
+    """IoU of every mask of one list with every mask of another, within [0, 1]."""
+    out = np.zeros((len(truth), len(predicted)))
+    area_t, area_p = [pixels(t) for t in truth], [pixels(p) for p in predicted]
+    for i, t in enumerate(truth):
+        for j, p in enumerate(predicted):
+            both = shared_pixels(t, p)
+            out[i, j] = both / (area_t[i] + area_p[j] - both + eps)
+    return np.clip(out, 0.0, 1.0)
+
+
+@F.pandas_udf(DoubleType())
+def iou(a: pd.Series, b: pd.Series) -> pd.Series:
+    """IoU of two run-length masks; 0 where both are empty, null where one is null."""
+    out = []
+    for x, y in zip(a, b, strict=True):
+        if x is None or y is None:
+            out.append(None)
+            continue
+        both = shared_pixels(x, y)
+        union = pixels(x) + pixels(y) - both
+        out.append(both / union if union else 0.0)
+    return pd.Series(out, dtype=float)
+
+
+@F.pandas_udf(DoubleType())
+def matched_iou(truth: pd.Series, predicted: pd.Series) -> pd.Series:
+    """Sum of the IoUs of the best one-to-one matching of two lists of masks over the longer list; 1 where both are null, 0 where one is."""
+    from millrace.operators.balance import assign
+
+    out = []
+    for t, p in zip(truth, predicted, strict=True):
+        if t is None or p is None:
+            out.append(1.0 if t is None and p is None else 0.0)
+        elif not len(t) and not len(p):
+            out.append(1.0)
+        else:
+            m = iou_matrix(t, p)
+            out.append(sum(m[i, j] for i, j in assign(m)) / max(len(t), len(p)))
+    return pd.Series(out)
 
 
 def union_area(masks: DataFrame, key: str, runs: str) -> DataFrame:
@@ -121,15 +171,21 @@ def union_area(masks: DataFrame, key: str, runs: str) -> DataFrame:
     return flat.select(key, F.aggregate("r", start, step, lambda acc: acc["n"]).alias("area"))
 
 
-def drop_nested(masks: Column) -> Column:
-    """Masks (``array<struct<runs>>``) without those that lie wholly in a larger kept one; of equal ones the first stays."""
-    sized = F.transform(masks, lambda m, i: F.struct((-area(m["runs"])).alias("neg"), i.alias("i"), intervals(m["runs"]).alias("r"), m.alias("m")))
-    order = F.array_sort(sized)
-    start = F.array().cast("array<struct<neg:bigint,i:int,r:array<struct<a:bigint,b:bigint>>,runs:array<int>>>")
-    lean = F.transform(order, lambda s: F.struct(s["neg"].alias("neg"), s["i"].alias("i"), s["r"].alias("r"), s["m"]["runs"].cast("array<int>").alias("runs")))
+@F.pandas_udf(ArrayType(ArrayType(IntegerType())))
+def kept_masks(masks: pd.Series) -> pd.Series:
+    """Masks (lists of run lengths) without those that lie wholly in a larger kept one, largest first; of equal ones the first stays."""
+
+    def keep(ms):
+        kept: list = []
+        for m in sorted(ms, key=lambda x: -pixels(x)):  # a stable order
+            n = pixels(m)
+            if not (n and any(shared_pixels(m, k) == n for k in kept)):
+                kept.append(m)
+        return [np.asarray(k, dtype=np.int32) for k in kept]
 
-    def step(acc: Column, s: Column) -> Column:
-        nested = F.exists(acc, lambda k: (s["neg"] < 0) & (overlap(s["r"], k["r"]) == -s["neg"]))
-        return F.when(nested, acc).otherwise(F.concat(acc, F.array(s)))
+    return masks.map(lambda ms: None if ms is None else keep(ms))
 
-    return F.aggregate(lean, start, step, lambda acc: F.transform(acc, lambda k: k["runs"]))
+
+def drop_nested(masks: Column) -> Column:
+    """``kept_masks`` of ``array<struct<runs>>``."""
+    return kept_masks(F.transform(masks, lambda m: m["runs"].cast("array<int>")))

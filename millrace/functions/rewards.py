@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from millrace.functions.text import parse_json
 from millrace.registry import Registry
 
 REWARDS = Registry("reward")
@@ -13,6 +14,15 @@ MASK = r"(<\|mt_start\|><\|mt_\d{4}\|><\|mt_\d{4}\|><\|mt_end\|>)"
 TOKEN = r"(<\|[^|]*\|>)"
 GROUNDED = r"<\|object_ref_start\|>(.*?)\s*<\|object_ref_end\|>\s*(<\|mt_start\|>(?:<\|mt_\d+\|>){2}<\|mt_end\|>)"
 FILLER = "<|mt_9999|>"
+#: The marks and codes of masks; masks of too many codes, of one code with and without an end; a scene-graph triplet.
+SPECIAL = r"<\|mt_(start|end|\d{4})\|>"
+TOO_MANY = r"(<\|mt_start\|>)(<\|mt_\d+\|>)(<\|mt_\d+\|>)(?:<\|mt_\d+\|>)+<\|mt_end\|>"
+ONE_CLOSED = r"(<\|mt_start\|>)(<\|mt_\d+\|>)(<\|mt_end\|>)"
+ONE_OPEN = r"(<\|mt_start\|>)(<\|mt_\d+\|>)(?!<\|mt_)"
+TRIPLET_TEXT = (
+    r'(\{\s*"subject"\s*:\s*\{\s*"mask_2d"\s*:\s*"[^"]*"\s*,\s*"label"\s*:\s*"[^"]*"\s*\}\s*,\s*"predicate"\s*:\s*"[^"]*"\s*,'
+    r'\s*"object"\s*:\s*\{\s*"mask_2d"\s*:\s*"[^"]*"\s*,\s*"label"\s*:\s*"[^"]*"\s*\}\s*\})'
+)
 
 
 def code_ids(text: Column) -> Column:
@@ -30,16 +40,18 @@ def pair_ids(text: Column) -> Column:
 
 
 def strip_masks(text: Column) -> Column:
-    return F.regexp_replace(text, r"<\|mt_[^|]*\|>", "")
+    return F.regexp_replace(text, SPECIAL, "")
 
 
-def repair(text: Column) -> Column:
-    """Masks of more than two codes lose the rest, masks of one code get the filler, an end mark is added where it lacks."""
-    start, code, end = r"(<\|mt_start\|>)", r"(<\|mt_\d+\|>)", r"<\|mt_end\|>"
+def repair_short(text: Column) -> Column:
+    """Masks of one code get the filler, an end mark is added where it lacks."""
     filler = f"$1$2{FILLER}<|mt_end|>"
-    fewer = F.regexp_replace(text, rf"{start}{code}{code}(?:<\|mt_\d+\|>)+{end}", "$1$2$3<|mt_end|>")
-    closed = F.regexp_replace(fewer, rf"{start}{code}{end}", filler)
-    return F.regexp_replace(closed, rf"{start}{code}(?!<\|mt_)", filler)
+    return F.regexp_replace(F.regexp_replace(text, ONE_CLOSED, filler), ONE_OPEN, filler)
+
+
+def repair(text: Column) -> Column:
+    """Masks of more than two codes lose the rest, then as ``repair_short``."""
+    return repair_short(F.regexp_replace(text, TOO_MANY, "$1$2$3<|mt_end|>"))
 
 
 def think_and_answer(text: Column) -> tuple[Column, Column]:
@@ -116,35 +128,72 @@ TRIPLET = f"struct<subject:{_SIDE},predicate:string,object:{_SIDE}>"
 
 
 def triplets(text: Column) -> Column:
-    """Scene-graph objects found in a text, unparsable ones dropped."""
-    raw = F.regexp_extract_all(text, F.lit(r"(\{\s*\"subject\"\s*:\s*\{[^{}]*\}[^{}]*\{[^{}]*\}[^{}]*\})"), F.lit(1))
-    return F.filter(F.transform(raw, lambda t: F.from_json(t, TRIPLET)), lambda t: t["predicate"].isNotNull())
+    """``array<struct<raw, t>>``: scene-graph objects of a text, mask before label, as they stand and read; unreadable ones dropped."""
+    raw = F.regexp_extract_all(text, F.lit(TRIPLET_TEXT), F.lit(1))
+    read = F.transform(raw, lambda t: F.struct(t.alias("raw"), F.from_json(t, TRIPLET, {"mode": "PERMISSIVE"}).alias("t"), parse_json(t).isNotNull().alias("ok")))
+    return F.transform(F.filter(read, lambda t: t["ok"]), lambda t: F.struct(t["raw"], t["t"]))
 
 
 @REWARDS.register("psg")
 def scene_graph_reward(answer: Column, truth: Column) -> Column:
-    """Distinct triplets: 1 for the same, else half for the same labels plus a quarter of each graded mask; null without triplets."""
+    """Triplets of distinct text: 1 where the text stands in the truth, else half for the same labels plus a quarter of each graded mask; null where neither side has one."""
     p, t = triplets(answer), triplets(truth)
     name = lambda x: F.concat_ws("#", x["subject"]["label"], x["predicate"], x["object"]["label"])
 
     def against(x: Column, y: Column) -> Column:
         half = F.lit(0.5) + grade(x["subject"]["mask_2d"], y["subject"]["mask_2d"]) * 0.25 + grade(x["object"]["mask_2d"], y["object"]["mask_2d"]) * 0.25
-        return F.when(x == y, 1.0).when(name(x) == name(y), half).otherwise(0.0)
+        return F.when(name(x) == name(y), half).otherwise(0.0)
 
-    score = F.transform(F.array_distinct(p), lambda x: F.coalesce(F.array_max(F.transform(t, lambda y: against(x, y))), F.lit(0.0)))
+    known = F.transform(t, lambda y: y["raw"])
+    score = F.transform(
+        F.array_distinct(p), lambda x: F.when(F.array_contains(known, x["raw"]), 1.0).otherwise(F.coalesce(F.array_max(F.transform(t, lambda y: against(x["t"], y["t"]))), F.lit(0.0)))
+    )
     most = F.greatest(F.size(p), F.size(t))
     return F.when(most > 0, F.aggregate(score, F.lit(0.0), lambda a, x: a + x) / most)
 
 
-def score(source: Column, response: Column, truth: Column, rules: dict[str, str], format_weight: float = 0.1) -> Column:
-    """Overall reward by source: ``rules`` names the accuracy reward of each source; an unknown source is an error."""
-    answer = think_and_answer(response)[1]
-    acc = None
-    for src, rule in rules.items():
-        value = REWARDS[rule](answer, truth)
-        acc = F.when(source == src, value) if acc is None else acc.when(source == src, value)
-    acc = acc.otherwise(F.raise_error(F.concat(F.lit("no reward for source "), source)).cast("double"))
-    return acc * (1 - format_weight) + format_reward(response) * format_weight
+def scene_graph_fresh(text: Column, most: int = 2) -> Column:
+    """0 where a triplet stands more than ``most`` times in the same words, 1 else."""
+    raw = F.transform(triplets(text), lambda x: x["raw"])
+    often = F.exists(F.array_distinct(raw), lambda m: F.size(F.filter(raw, lambda x: x == m)) > most)
+    return F.when(often, 0.0).otherwise(1.0)
+
+
+#: The sources of every kind of reward.
+SOURCES = {
+    "thinking": ("thinking_res", "thinking_gres", "thinking_ver", "reasonseg"),
+    "grounded": ("glamm_gcg",),
+    "plain": ("padt_gcg", "dw_gcg", "res", "gres", "ver", "coconut_seg"),
+    "graph": ("psg",),
+}
+
+
+def score(source: Column, response: Column, truth: Column) -> Column:
+    """``struct<overall, format, accuracy, phrase_accuracy, no_repeat, think_no_repeat>``: the sum of the parts that count for a source.
+
+    Thinking sources: accuracy of the answer, format and both parts free of repeats;
+    grounded captions: masks, phrases, no repeats; plain ones and graphs: accuracy,
+    no repeats and a constant phrase score of 1.  Another source is an error.
+    """
+    think, answer = think_and_answer(response)
+    one, none = F.lit(1.0), F.lit(None).cast("double")
+    kinds = {
+        "thinking": (format_reward(response), mask_token_reward(answer, truth), none, non_repeat_reward(answer), non_repeat_reward(think)),
+        "grounded": (none, gcg_mask_reward(response, truth), gcg_phrase_reward(response, truth), non_repeat_reward(response), none),
+        "plain": (none, mask_token_reward(response, truth), one, non_repeat_reward(response), none),
+        "graph": (none, scene_graph_reward(response, truth), one, scene_graph_fresh(response), none),
+    }
+    names, out = ("format", "accuracy", "phrase_accuracy", "no_repeat", "think_no_repeat"), None
+    kind = "struct<overall:double,format:double,accuracy:double,phrase_accuracy:double,no_repeat:double,think_no_repeat:double>"
+    for family, parts in kinds.items():
+        counted = [c for c in parts if c is not none]
+        overall = counted[0]
+        for c in counted[1:]:
+            overall = overall + c
+        row = F.struct(overall.alias("overall"), *[c.alias(n) for c, n in zip(parts, names, strict=True)]).cast(kind)
+        test = source.isin(*SOURCES[family])
+        out = F.when(test, row) if out is None else out.when(test, row)
+    return out.otherwise(F.raise_error(F.concat(F.lit("no reward for source "), F.coalesce(source, F.lit("null")))).cast(kind))
 
 
 def mask_token_text(codes: Column, codebook: int = 256) -> Column:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 NUMBER = r"[-+]?\d*\.?\d+"
 SCORE_LIST = r'(?i)"?score"?\s*:\s*\[([^\]]+)\]'
 NAMED_PAIR = rf"(?is)image\s*1[^-+\d]*({NUMBER}).*?image\s*2[^-+\d]*({NUMBER})"
-PLAIN_PAIR = rf"(?is)scores?[^-+\d]*({NUMBER})[^\n\r\-+\d]+({NUMBER})"
+EDITED_PAIR = r"(?is)Edited\s*Image\s*1[^-+\d]*([-+]?\d*\.?\d+).*?Edited\s*Image\s*2[^-+\d]*([-+]?\d*\.?\d+)"
+PLAIN_PAIR = r"(?is)score(?:s)?[^-+\d]*([-+]?\d*\.?\d+)[^\n\r-+\d]+([-+]?\d*\.?\d+)"
 TIE = r"(?i)both images? (are )?(equally good|equal|tie)"
 FIRST_WINS = r"(?is)((edited )?image\s*1|first image).{0,24}\b(better|best|wins?|preferred|superior)\b"
 SECOND_WINS = r"(?is)((edited )?image\s*2|second image).{0,24}\b(better|best|wins?|preferred|superior)\b"
@@ -47,18 +48,31 @@ def signed_length(words: Column, image: Column) -> Column:
     return F.when(image.isNotNull(), words).otherwise(-words)
 
 
+def _kind(v: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
+
+
+def _message(v: Column, text: Column) -> Column:
+    """An object as it is, anything else as said by a human."""
+    said = F.struct(F.lit("human").alias("from"), text.alias("value"))
+    return F.when(_kind(v).startswith("OBJECT<"), F.try_variant_get(v, "$", "struct<from:string,value:string>")).otherwise(said)
+
+
 def normalise_messages(raw: Column) -> Column:
-    """JSON list, JSON object, JSON string or plain text -> list of messages; plain text is said by a human."""
-    v = F.try_parse_json(raw)
-    kind = F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
-    plain = F.array(F.struct(F.lit("human").alias("from"), raw.alias("value")))
+    """JSON list, JSON object, JSON string or plain text -> list of messages; what is no message is said by a human.
+
+    A list gives one message per element; text elements that hold a JSON object are
+    read.  Text that only begins with a JSON value stays whole.  Null has no message.
+    """
+    v = parse_json(raw)
+    kind = _kind(v)
+    text = F.coalesce(F.try_variant_get(v, "$", "string"), raw)
+    element = lambda x: F.when(_kind(x) == "STRING", _message(parse_json(F.try_variant_get(x, "$", "string")), F.try_variant_get(x, "$", "string"))).otherwise(_message(x, F.try_variant_get(x, "$", "string")))
     return (
         F.when(raw.isNull(), F.array().cast(MESSAGES))
-        .when(kind.startswith("ARRAY<OBJECT"), F.try_variant_get(v, "$", MESSAGES))
-        .when(kind == "ARRAY<VOID>", F.array().cast(MESSAGES))
-        .when(kind.startswith("OBJECT<"), F.array(F.try_variant_get(v, "$", "struct<from:string,value:string>")))
-        .when(kind == "STRING", F.array(F.struct(F.lit("human").alias("from"), F.try_variant_get(v, "$", "string").alias("value"))))
-        .otherwise(plain)
+        .when(v.isNull(), F.array(F.struct(F.lit("human").alias("from"), raw.alias("value"))))
+        .when(kind.startswith("ARRAY<"), F.transform(F.try_variant_get(v, "$", "array<variant>"), element))
+        .otherwise(F.array(_message(v, text)))
         .cast(MESSAGES)
     )
 
@@ -88,12 +102,22 @@ def interleave(prompt: Column, media: Column, mark: str = "<image>") -> Column:
     return F.when(ok, F.filter(parts, lambda p: (p["type"] == "image") | (p["value"] != ""))).otherwise(F.raise_error(F.lit("placeholders and media differ")))
 
 
+def json_answer(text: Column) -> Column:
+    """The JSON value of a model answer: what follows the last thought, whole, else from the first to the last brace; else null."""
+    tail = F.trim(F.substring_index(text, "</think>", -1), F.lit(" \t\r\n\f\x0b"))
+    return F.coalesce(parse_json(tail), parse_json(F.regexp_extract(tail, r"(?s)\{.*\}", 0)))
+
+
 def json_object(text: Column) -> Column:
-    """The JSON object of a model answer: after the thought, whole or from the first to the last brace; else null."""
-    tail = F.substring_index(text, "</think>", -1)
-    whole, braced = F.try_parse_json(F.trim(tail)), F.try_parse_json(F.regexp_extract(tail, r"(?s)\{.*\}", 0))
-    is_obj = lambda v: F.coalesce(F.schema_of_variant(v), F.lit("VOID")).startswith("OBJECT<")
-    return F.when(is_obj(whole), whole).when(is_obj(braced), braced)
+    """As ``json_answer``, objects only."""
+    v = json_answer(text)
+    return F.when(_kind(v).startswith("OBJECT<"), v)
+
+
+def braced_json(text: Column) -> Column:
+    """The text from the first to the last brace as JSON, with single quotes read as double ones where it is none; else null."""
+    body = F.regexp_extract(text, r"(?s)\{.*\}", 0)
+    return F.coalesce(parse_json(body), parse_json(F.replace(body, F.lit("'"), F.lit('"'))))
 
 
 def fenced_json(text: Column) -> Column:
@@ -102,6 +126,51 @@ def fenced_json(text: Column) -> Column:
     return json_object(F.when(inner != "", inner).otherwise(text))
 
 
+def pointwise_scores(text: Column) -> Column:
+    """``struct<editing_success, overediting, score, reasoning>`` of a judge answer: the list under ``score``, else the first list after the word."""
+    v = braced_json(text)
+    listed = F.transform(F.try_variant_get(v, "$.score", "array<variant>"), coerce_float)
+    given = F.filter(F.coalesce(listed, F.array().cast("array<double>")), lambda x: x.isNotNull())
+    both = F.when(F.size(given) > 0, given).otherwise(score_list(text))
+    a, b = F.get(both, F.lit(0)), F.get(both, F.lit(1))
+    return F.struct(a.alias("editing_success"), b.alias("overediting"), mean_of(a, b).alias("score"), F.try_variant_get(v, "$.reasoning", "string").alias("reasoning"))
+
+
+#: The tasks of the edit judge.
+JUDGE_TASKS = ("edit_pointwise_score", "edit_pairwise_score", "edit_pairwise_rank")
+
+
+def judge_output(text: Column, task: Column) -> Column:
+    """``struct<editing_success, overediting, score, reasoning, image_1_score, image_2_score, winner>`` by task; another task is an error."""
+    point, pair = pointwise_scores(text), pairwise_scores(text)
+    none = lambda t: F.lit(None).cast(t)
+    kind = "struct<editing_success:double,overediting:double,score:double,reasoning:string,image_1_score:double,image_2_score:double,winner:string>"
+    at = lambda *c: F.struct(*c).cast(kind)
+    return (
+        F.when(task == JUDGE_TASKS[0], at(point["editing_success"], point["overediting"], point["score"], point["reasoning"], none("double"), none("double"), none("string")))
+        .when(task == JUDGE_TASKS[1], at(none("double"), none("double"), none("double"), none("string"), F.get(pair, F.lit(0)), F.get(pair, F.lit(1)), none("string")))
+        .when(task == JUDGE_TASKS[2], at(none("double"), none("double"), none("double"), none("string"), none("double"), none("double"), winner(text)))
+        .otherwise(F.raise_error(F.concat(F.lit("unknown task "), F.coalesce(task, F.lit("null")))).cast(kind))
+    )
+
+
+def winner_number(verdict: Column) -> Column:
+    """A verdict as 0 (tie or none), 1 or 2."""
+    w = F.lower(verdict)
+    one, two = w.contains("image 1"), w.contains("image 2")
+    tie = w.contains("equally") | w.contains("tie") | (one & two)
+    return F.coalesce(F.when(tie, 0).when(one | w.contains("first image"), 1).when(two | w.contains("second image"), 2), F.lit(0))
+
+
+def primary_score(parsed: Column, task: Column) -> Column:
+    """The main scores of a parsed judge answer, as an array: one score, two scores of a pair, or the winner's number."""
+    return (
+        F.when(task == JUDGE_TASKS[2], F.array(winner_number(parsed["winner"]).cast("double")))
+        .when(task == JUDGE_TASKS[1], F.array(parsed["image_1_score"], parsed["image_2_score"]))
+        .otherwise(F.array(parsed["score"]))
+    )
+
+
 def first_number(text: Column) -> Column:
     return F.regexp_extract(text, f"({NUMBER})", 1).try_cast("double")
 
@@ -119,9 +188,10 @@ def score_list(text: Column) -> Column:
 
 
 def pair_scores(text: Column) -> Column:
-    """Two numbers said of image 1 and image 2, else two numbers after the word scores."""
+    """Two numbers said of image 1 and image 2, else two numbers after the word score, as the fixed patterns have them."""
     both = lambda p: F.array(F.regexp_extract(text, p, 1).try_cast("double"), F.regexp_extract(text, p, 2).try_cast("double"))
-    return F.when(text.rlike(NAMED_PAIR), both(NAMED_PAIR)).when(text.rlike(PLAIN_PAIR), both(PLAIN_PAIR)).otherwise(F.array().cast("array<double>"))
+    found = F.when(text.rlike(NAMED_PAIR), both(NAMED_PAIR)).when(text.rlike(EDITED_PAIR), both(EDITED_PAIR)).when(text.rlike(PLAIN_PAIR), both(PLAIN_PAIR))
+    return found.otherwise(F.array().cast("array<double>"))
 
 
 def pairwise_scores(text: Column) -> Column:
@@ -160,9 +230,26 @@ def map_score(raw: Column) -> Column:
 
 
 def dimensions(text: Column) -> Column:
-    """``a / b / c; ...`` as rows of (level1, level2, level3)."""
-    rows = F.filter(F.transform(F.split(text, ";"), lambda r: F.transform(F.split(r, "/"), lambda p: F.trim(p))), lambda p: F.size(p) == 3)
-    return F.transform(rows, lambda p: F.struct(p[0].alias("l1"), p[1].alias("l2"), p[2].alias("l3")))
+    """``a / b / c; ...`` as rows of (level1, level2, level3): two levels repeat the second, more than three keep the first three, one is no row."""
+    rows = F.filter(F.transform(F.split(text, ";"), lambda r: F.transform(F.split(r, "/"), lambda p: F.trim(p, F.lit(" \t\r\n")))), lambda p: F.size(p) >= 2)
+    return F.transform(rows, lambda p: F.struct(p[0].alias("l1"), p[1].alias("l2"), F.coalesce(F.get(p, F.lit(2)), p[1]).alias("l3")))
+
+
+#: The first-level dimensions of the bench.
+LEVEL1 = ("Quality", "Aesthetics", "Alignment", "Real-world Fidelity", "Creative Generation")
+
+
+def asked_dimensions(asked: Column) -> Column:
+    """First-level dimensions of a request: rows of levels, a comma list or one name; all where nothing is asked, an unknown one is an error."""
+    parts = (
+        F.when(asked.rlike("[/;]"), F.array_distinct(F.transform(dimensions(asked), lambda d: d["l1"])))
+        .when(asked.contains(","), F.filter(F.transform(F.split(asked, ","), lambda x: F.trim(x)), lambda x: x != ""))
+        .otherwise(F.array(asked))
+    )
+    every = F.array(*[F.lit(x) for x in LEVEL1])
+    dims = F.when(asked.isNull() | (F.size(parts) == 0), every).otherwise(parts)
+    wrong = F.filter(dims, lambda d: ~d.isin(*LEVEL1))
+    return F.when(F.size(wrong) > 0, F.raise_error(F.concat(F.lit("unsupported dimension "), F.get(wrong, F.lit(0)))).cast("array<string>")).otherwise(dims)
 
 
 def has_cjk(text: Column) -> Column:
@@ -203,10 +290,22 @@ def natural_key(name: Column) -> Column:
     return F.array_join(runs, "")
 
 
-def schema_fingerprint(df: DataFrame, name: str, shape: str) -> DataFrame:
-    """MD5 of the sorted ``name:shape`` list: one row."""
-    item = F.concat_ws(":", name, F.array_join(F.col(shape).cast("array<string>"), "_"))
-    return df.agg(F.md5(F.array_join(F.array_sort(F.collect_list(item)), ",")).alias("fingerprint"))
+def schema_key(df: DataFrame, name: str, shape: str, group: str | None = None, with_shape: bool = True) -> DataFrame:
+    """``[group,] key``: the sorted names and ``name:shape`` entries of a file's tensors as one text.
+
+    The result is one text per file by definition; with ``group`` (a file's name) every
+    file is put together in its own task.
+    """
+    entry = F.concat(F.col(name), F.lit(":"), F.array_join(F.col(shape).cast("array<string>"), "_"))
+    entries = df.select(*([group] if group else []), F.explode(F.array(F.col(name), entry) if with_shape else F.array(name)).alias("_e"))
+    text = F.array_join(F.array_sort(F.collect_list("_e")), ",").alias("key")
+    return entries.groupBy(group).agg(text) if group else entries.agg(text)
+
+
+def schema_fingerprint(df: DataFrame, name: str, shape: str, group: str | None = None, with_shape: bool = True) -> DataFrame:
+    """``[group,] fingerprint``: MD5 of ``schema_key``."""
+    key = schema_key(df, name, shape, group, with_shape)
+    return key.select(*([group] if group else []), F.md5("key").alias("fingerprint"))
 
 
 def sampling_rate(name: Column) -> Column:

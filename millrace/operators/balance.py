@@ -5,24 +5,67 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.scans import running_count
 
-def differencing(sizes: list[int], parts: int) -> list[list[int]]:
-    """Largest-differencing partition of a bounded list into ``parts`` index sets of near-equal sums."""
+
+def _members(tree) -> list[int]:
+    """The indices in a tree of pairs, in order."""
+    out, todo = [], [tree]
+    while todo:
+        t = todo.pop()
+        if isinstance(t, tuple):
+            todo += t
+        elif t is not None:
+            out.append(t)
+    return sorted(out)
+
+
+def differencing(sizes: list[int], parts: int, equal_size: bool = False) -> list[list[int]]:
+    """Largest-differencing partition of a bounded list into ``parts`` index sets of near-equal sums.
+
+    With ``equal_size`` every set has the same number of members (the list must divide).
+    Sets are linked, not copied, when two states are merged.
+    """
+    order = sorted(range(len(sizes)), key=lambda i: (sizes[i], i))
+    if equal_size and len(sizes) % parts:
+        raise ValueError(f"{len(sizes)} do not divide into {parts} equal sets")
+    groups = [order[i : i + parts] for i in range(0, len(order), parts)] if equal_size else [[i] for i in order]
     heap = []
-    for i, s in enumerate(sizes):
-        sums = [(s, [i])] + [(0, []) for _ in range(parts - 1)]
-        heapq.heappush(heap, (-s, i, sums))
-    serial = len(sizes)
+    for serial, g in enumerate(groups):
+        sums = sorted([(sizes[i], i) for i in g], reverse=True) + [(0, None)] * (parts - len(g))
+        heap.append((sums[-1][0] - sums[0][0], serial, sums))
+    heapq.heapify(heap)
+    serial = len(groups)
     while len(heap) > 1:
         (_, _, a), (_, _, b) = heapq.heappop(heap), heapq.heappop(heap)
-        joined = [(x[0] + y[0], x[1] + y[1]) for x, y in zip(a, reversed(b), strict=True)]
-        joined.sort(key=lambda p: (-p[0], p[1]))
-        heapq.heappush(heap, (-(joined[0][0] - joined[-1][0]), serial, joined))
+        joined = sorted([(x[0] + y[0], n, (x[1], y[1])) for n, (x, y) in enumerate(zip(a, reversed(b), strict=True))], key=lambda p: (-p[0], p[1]))
+        heapq.heappush(heap, (joined[-1][0] - joined[0][0], serial, [(v, t) for v, _, t in joined]))
         serial += 1
-    return [sorted(p[1]) for p in heap[0][2]] if heap else [[] for _ in range(parts)]
+    return [_members(t) for _, t in heap[0][2]] if heap else [[] for _ in range(parts)]
+
+
+def greedy(sizes: list[int], parts: int, equal_size: bool = False) -> list[list[int]]:
+    """Every item in turn to the set of least sum (the first of equal ones); with ``equal_size`` a bias keeps the numbers alike."""
+    bias = sum(sizes) + 1 if equal_size else 0
+    heap, out = [(0, k) for k in range(parts)], [[] for _ in range(parts)]
+    for i, s in enumerate(sizes):
+        total, k = heapq.heappop(heap)
+        out[k].append(i)
+        heapq.heappush(heap, (total + s + bias, k))
+    if equal_size and any(len(x) * parts != len(sizes) for x in out):
+        raise ValueError(f"{len(sizes)} do not divide into {parts} equal sets")
+    return out
+
+
+def _place(run, df: DataFrame, key: str, block: int, **columns: str) -> DataFrame:
+    blocks = max(1, -(-df.count() // block))
+    schema = df.schema
+    for name, kind in columns.items():
+        schema = schema.add(name, kind)
+    return df.withColumn("_block", F.pmod(F.xxhash64(key), F.lit(blocks))).groupBy("_block").applyInPandas(run, schema)
 
 
 def balance(df: DataFrame, size: str, parts: int, key: str, block: int = 4096) -> DataFrame:
@@ -32,23 +75,51 @@ def balance(df: DataFrame, size: str, parts: int, key: str, block: int = 4096) -
     partitioned in its own task by differencing and its parts, largest first, are
     dealt with a rotation so that the surplus of blocks does not add up.
     """
-    n = df.count()
-    blocks = max(1, -(-n // block))
 
     def run(pdf):
         pdf = pdf.sort_values([size, key], ascending=[False, True], ignore_index=True)
-        sets = differencing([int(x) for x in pdf[size]], parts)
+        sizes = [int(x) for x in pdf[size]]
         shift = int(pdf["_block"].iloc[0]) % parts
         part = np.zeros(len(pdf), dtype=np.int64)
-        for p, idx in enumerate(sorted(sets, key=lambda s: -sum(int(pdf[size].iloc[i]) for i in s))):
+        for p, idx in enumerate(sorted(differencing(sizes, parts), key=lambda s: -sum(sizes[i] for i in s))):
             part[idx] = (p + shift) % parts
         return pdf.drop(columns=["_block"]).assign(part=part)
 
-    return df.withColumn("_block", F.pmod(F.xxhash64(key), F.lit(blocks))).groupBy("_block").applyInPandas(run, df.schema.add("part", "long"))
+    return _place(run, df, key, block, part="long")
+
+
+def dynamic_batches(df: DataFrame, size: str, most: int, key: str, block: int = 4096) -> DataFrame:
+    """``block, micro`` for every row: micro-batches of near-equal sums, at most about ``most`` each, the heaviest (by squared sizes) first.
+
+    A block is one batch of bounded size.  A row larger than ``most`` is an error.
+    """
+
+    def run(pdf):
+        pdf = pdf.sort_values(key, ignore_index=True)
+        sizes = [int(x) for x in pdf[size]]
+        if sizes and max(sizes) > most:
+            raise ValueError(f"a row of {max(sizes)} is larger than {most}")
+        sets = differencing(sizes, micro_batches(len(sizes), sum(sizes), most))
+        micro = np.zeros(len(pdf), dtype=np.int64)
+        for p, idx in enumerate(sorted(sets, key=lambda s: (sum(sizes[i] ** 2 for i in s), min(s, default=0)), reverse=True)):
+            micro[idx] = p
+        return pdf.rename(columns={"_block": "block"}).assign(micro=micro)[[*[c for c in pdf.columns if c != "_block"], "block", "micro"]]
+
+    return _place(run, df, key, block, block="long", micro="long")
+
+
+def reverse_index(index: DataFrame) -> DataFrame:
+    """The inverse of a map ``pos, idx``."""
+    return index.select(F.col("idx").alias("pos"), F.col("pos").alias("idx"))
+
+
+def ceil_div(a: Column, b: Column) -> Column:
+    return F.ceil(a / b)
 
 
 def micro_batches(n: int, total: int, most: int) -> int:
-    return min(n, -(-total // most))
+    """Micro-batches a batch of ``n`` rows and ``total`` tokens needs."""
+    return max(1, min(n, -(-total // most)))
 
 
 def imbalance(df: DataFrame, part: str, size: str) -> DataFrame:
@@ -56,6 +127,14 @@ def imbalance(df: DataFrame, part: str, size: str) -> DataFrame:
     return per.agg(F.min("s").alias("least"), F.max("s").alias("most"), (F.max("s") - F.min("s")).alias("diff"))
 
 
+def imbalance_report(df: DataFrame, rid: str, part: str, size: str, n: int, parts: int) -> DataFrame:
+    """One row ``least, most, diff, balanced_least, balanced_most, mean``: consecutive batches before, parts after balancing."""
+    chunk = df.groupBy(F.floor(F.col(rid) / (n // parts)).alias("c")).agg(F.sum(size).alias("s"))
+    before = chunk.agg(F.min("s").alias("least"), F.max("s").alias("most"), (F.max("s") - F.min("s")).alias("diff"), (F.sum("s") / parts).alias("mean"))
+    after = df.groupBy(part).agg(F.sum(size).alias("s")).agg(F.min("s").alias("balanced_least"), F.max("s").alias("balanced_most"))
+    return before.join(F.broadcast(after), F.lit(True)).select("least", "most", "diff", "balanced_least", "balanced_most", "mean")  # one row each
+
+
 def exact_sample(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
     """Exactly ``n`` rows without replacement, the same at every run: the least hashes (distributed top-n)."""
     return df.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
@@ -76,10 +155,6 @@ def shard(rid: Column, n: int, parts: int) -> Column:
     return F.floor(rid / -(-n // parts)).cast("int")
 
 
-def rank_boxes(image: str, x: Column, y: Column) -> Column:
-    return F.row_number().over(Window.partitionBy(image).orderBy(x, y)) - 1
-
-
 def assign(weights: np.ndarray) -> list[tuple[int, int]]:
     """One-to-one assignment of greatest total weight (shortest augmenting paths on potentials)."""
     w = np.asarray(weights, dtype=float)
@@ -114,15 +189,17 @@ def assign(weights: np.ndarray) -> list[tuple[int, int]]:
     return sorted((b, a) if flip else (a, b) for a, b in pairs)
 
 
-def softmax(score: Column, *group: str) -> Column:
-    w = Window.partitionBy(*group)
-    top = F.max(score).over(w)
-    return F.exp(score - top) / F.sum(F.exp(score - top)).over(w)
-
+def rank_boxes(df: DataFrame, image: str, box: str, key: str, mode: str = "ltr-ttb") -> DataFrame:
+    """``df`` with ``rank`` from 0 of every box (x, y, width, height) within its image; null where there is no image.
 
-def rank_boxes(df: DataFrame, image: str, box: str, key: str) -> DataFrame:
-    """``rank`` from 0 of every box within its image by centre, x first; null where there is no image (each such row is its own group)."""
+    ``mode``: by centre, x first (``ltr-ttb``) or y first (``ttb-ltr``), or by the upper
+    left corner, y first (``tlbr``); ties by ``key``.  A distributed scan: an image with a
+    large share of all boxes is ranked by many tasks.
+    """
     b = lambda i: F.get(box, F.lit(i))
-    alone = F.when(F.col(image).isNull(), F.col(key))
-    n = F.row_number().over(Window.partitionBy(image, alone).orderBy(b(0) + b(2) / 2, b(1) + b(3) / 2, key))
-    return df.withColumn("rank", F.when(F.col(image).isNotNull(), n - 1))
+    x, y = b(0) + b(2) / 2, b(1) + b(3) / 2
+    orders = {"ltr-ttb": [x, y], "ttb-ltr": [y, x], "tlbr": [b(1), b(0)]}
+    if mode not in orders:
+        raise ValueError(f"unknown mode {mode!r}")
+    done = running_count(df, [image], [*orders[mode], F.col(key)], F.lit(1), "rank")
+    return done.withColumn("rank", F.when(F.col(image).isNotNull(), F.col("rank_before").cast("int"))).drop("rank_before")

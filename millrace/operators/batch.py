@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -81,6 +81,11 @@ def fold(df: DataFrame, size: int, column: str) -> DataFrame:
     return folded.select("row", F.transform("v", lambda s: s[column]).alias(column))
 
 
+def interleave_ranks(df: DataFrame, rank: str, step: str, ranks: int, n: int) -> DataFrame:
+    """Results that ``ranks`` workers gave in turn, back in the order of the data set and cut at its ``n`` rows."""
+    return df.withColumn(RID, (F.col(step) * ranks + F.col(rank)).cast("bigint")).where(F.col(RID) < n)
+
+
 def concat(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 
@@ -145,6 +150,59 @@ def unflatten_columns(df: DataFrame, sep: str = "/") -> DataFrame:
     return df.select(*[build(v, k) if isinstance(v, dict) else F.col(f"`{v}`").alias(k) for k, v in tree.items()])
 
 
+def from_columns(spark: SparkSession, columns: dict[str, list], schema: str) -> DataFrame:
+    """A batch from named lists of one length; lists of different lengths are an error."""
+    sizes = {k: len(v) for k, v in columns.items()}
+    if len(set(sizes.values())) > 1:
+        raise ValueError(f"lengths differ: {sizes}")
+    rows = list(zip(range(next(iter(sizes.values()), 0)), *columns.values(), strict=True))
+    return spark.createDataFrame(rows, f"{RID} bigint, {schema}")
+
+
+def check_lengths(df: DataFrame, *columns: str) -> DataFrame:
+    """The rows of a batch in which the array columns do not have one length: none in a sound batch."""
+    sizes = F.array_distinct(F.array(*[F.size(c) for c in columns]))
+    return df.where(F.size(sizes) > 1)
+
+
+def same_rows(a: DataFrame, b: DataFrame) -> bool:
+    """Whether two batches hold the same rows, repeats counted."""
+    return a.columns == b.columns and a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+def replicate_to_all(df: DataFrame, workers: int) -> DataFrame:
+    """Every row once for each worker."""
+    return df.withColumn("worker", F.explode(F.sequence(F.lit(0), F.lit(workers - 1))))
+
+
+def sequence_parts(df: DataFrame, column: str, parts: int, fill: Column) -> DataFrame:
+    """``df`` with ``part`` and its slice of an array padded to a multiple of ``parts``."""
+    n = F.size(column)
+    size = F.ceil(n / parts).cast("int")
+    padded = F.concat(F.col(column), F.array_repeat(fill, size * parts - n))
+    return df.withColumn("_s", padded).select("*", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")).withColumn(column, F.slice("_s", F.col("part") * size + 1, size)).drop("_s")
+
+
+def join_parts(df: DataFrame, key: str, column: str, length: str) -> DataFrame:
+    """The slices of ``sequence_parts`` put together again and cut at the old length."""
+    whole = df.groupBy(key, length).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part", column))), lambda s: s[column])).alias(column))
+    return whole.withColumn(column, F.slice(column, F.lit(1), F.col(length)))
+
+
+def within_length(df: DataFrame, column: str, most: int) -> DataFrame:
+    """Rows whose array has at most ``most`` elements; null arrays have none."""
+    return df.where(F.coalesce(F.size(F.col(column)), F.lit(0)) <= most)
+
+
+def route_by_type(df: DataFrame, column: str, routes: dict[str, Op], default: Op | None = None) -> DataFrame:
+    """The operator of a column's type name; another type without a default is an error."""
+    kind = df.schema[column].dataType.typeName()
+    op = routes.get(kind, default)
+    if op is None:
+        raise ValueError(f"no route for {kind}")
+    return df.withColumn(column, op(F.col(column)))
+
+
 def prefix_structs(df: DataFrame, *prefixes: str) -> DataFrame:
     """Columns of a common prefix gathered in one struct each."""
     out = df

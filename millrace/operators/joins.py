@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import arrays
 from millrace.functions.text import stem
+from millrace.operators.batch import RID, row_ids
+from millrace.operators.scans import running, running_count
 from millrace.runtime import bytes_of
 
 BROADCAST_LIMIT = 64 << 20
+BLOCK_CODES = 4096
 
 
 def refs_with_annotations(refs: DataFrame, annotations: DataFrame) -> DataFrame:
@@ -68,10 +73,14 @@ def nearest_code(df: DataFrame, codebook: DataFrame, vector: str = "embedding")
         book = codebook.agg(F.array_sort(F.collect_list(F.struct("code", "cvec"))).alias("_book"))
         near = F.array_min(F.transform("_book", lambda c: F.struct(F.round(arrays.squared_distance(F.col(vector), c["cvec"]), 9).alias("d"), c["code"].alias("code"))))
         return df.join(F.broadcast(book), F.lit(True)).withColumn("_n", near).drop("_book").withColumns({"code": F.col("_n.code"), "dist": F.col("_n.d")}).drop("_n")
-    blocks = codebook.groupBy(F.pmod(F.xxhash64("code"), F.lit(1024)).alias("_b")).agg(F.collect_list(F.struct("code", "cvec")).alias("_book"))
-    keyed = df.withColumn("_row", F.struct(*df.columns)).withColumn("_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(1023).cast("bigint"))))
-    best = keyed.join(blocks, "_b").select("_row", F.array_min(F.transform("_book", lambda c: F.struct(F.round(arrays.squared_distance(F.col(f"_row.{vector}"), c["cvec"]), 9).alias("d"), c["code"].alias("code")))).alias("_n"))
-    return best.groupBy("_row").agg(F.min("_n").alias("_n")).select("_row.*", F.col("_n.code").alias("code"), F.col("_n.d").alias("dist"))
+    blocks = max(1, -(-codebook.count() // BLOCK_CODES))
+    books = codebook.groupBy(F.pmod(F.xxhash64("code"), F.lit(blocks)).alias("_b")).agg(F.collect_list(F.struct("code", "cvec")).alias("_book"))
+    # only a row's number and vector meet every block; equal rows stay apart
+    rows = row_ids(df, F.xxhash64(*df.columns))
+    keyed = rows.select(RID, F.col(vector).alias("_x")).withColumn("_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
+    near = F.array_min(F.transform("_book", lambda c: F.struct(F.round(arrays.squared_distance(F.col("_x"), c["cvec"]), 9).alias("d"), c["code"].alias("code"))))
+    best = keyed.join(books, "_b").select(RID, near.alias("_n")).groupBy(RID).agg(F.min("_n").alias("_n"))
+    return rows.join(best, RID).withColumns({"code": F.col("_n.code"), "dist": F.col("_n.d")}).drop("_n", RID)
 
 
 def residual_codes(df: DataFrame, codebook: DataFrame, depth: int, vector: str = "embedding") -> DataFrame:
@@ -89,29 +98,106 @@ def residual_codes(df: DataFrame, codebook: DataFrame, depth: int, vector: str =
     return cur
 
 
-def top_similar(queries: DataFrame, items: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", block: int = 256) -> DataFrame:
-    """The ``k`` most similar items of every query, exactly.
+def _best_of_block(k: int, key_type: str):
+    """Arrow batches ``_b, q_id, q_vec, item_id, i_vec`` of one block -> the ``k`` best items of every query of the block."""
 
-    Queries meet the items block by block: each item is compared within its row
-    with a block of about ``block`` queries; the filter on the rank lets Spark keep
-    the best ``k`` per task and query before the shuffle.
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        q, i = pdf[pdf["i_vec"].isna()], pdf[pdf["q_vec"].isna()]
+        if not len(q) or not len(i):
+            return pd.DataFrame({"q_id": [], "item_id": [], "sim": []})
+        ids, items = q["q_id"].to_numpy(), i["item_id"].to_numpy()
+        sims = np.round(np.stack(list(q["q_vec"])).astype(float) @ np.stack(list(i["i_vec"])).astype(float).T, 6)
+        sims[ids[:, None] == items[None, :]] = -np.inf
+        out = []
+        for n in range(len(ids)):
+            top = np.lexsort((items, -sims[n]))[: k + 1]
+            top = top[sims[n][top] > -np.inf][:k]
+            out.append(pd.DataFrame({"q_id": ids[n], "item_id": items[top], "sim": sims[n][top]}))
+        return pd.concat(out, ignore_index=True)
+
+    return run
+
+
+def top_similar(queries: DataFrame, items: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", block: int = 256, chunk: int = 4096) -> DataFrame:
+    """The ``k`` most similar items of every query, exactly (ties to the lower id).
+
+    Blocks of about ``block`` queries meet chunks of about ``chunk`` items as one matrix
+    product each; a product sends only the ``k`` best of every query on.
     """
-    blocks = max(1, -(-queries.count() // block))
-    q = queries.select(F.col(key).alias("q_id"), F.col(vector).alias("q_vec")).withColumn("_b", F.pmod(F.xxhash64("q_id"), F.lit(blocks)))
-    grouped = q.groupBy("_b").agg(F.collect_list(F.struct("q_id", "q_vec")).alias("_q"))
-    spread = items.select(F.col(key).alias("item_id"), F.col(vector).alias("i_vec")).withColumn("_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
-    pairs = spread.join(grouped, "_b").select("item_id", F.inline(F.transform("_q", lambda x: F.struct(x["q_id"].alias("q_id"), F.round(arrays.dot(x["q_vec"], F.col("i_vec")), 6).alias("sim")))))
+    n_q, n_i = max(1, -(-queries.count() // block)), max(1, -(-items.count() // chunk))
+    kind, vec = items.schema[key].dataType.simpleString(), "array<double>"
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    none = lambda t: F.lit(None).cast(t)
+    left = queries.select(F.pmod(F.xxhash64(key), F.lit(n_q)).cast("int").alias("_q"), all_of(n_i).alias("_i"), F.col(key).alias("q_id"), F.col(vector).cast(vec).alias("q_vec"), none(kind).alias("item_id"), none(vec).alias("i_vec"))
+    right = items.select(all_of(n_q).alias("_q"), F.pmod(F.xxhash64(key), F.lit(n_i)).cast("int").alias("_i"), none(kind).alias("q_id"), none(vec).alias("q_vec"), F.col(key).alias("item_id"), F.col(vector).cast(vec).alias("i_vec"))
+    both = left.where(F.col("q_vec").isNotNull()).unionByName(right.where(F.col("i_vec").isNotNull()))
+    best = both.groupBy("_q", "_i").applyInPandas(_best_of_block(k, kind), f"q_id {kind}, item_id {kind}, sim double")
     order = Window.partitionBy("q_id").orderBy(F.desc("sim"), "item_id")
-    return pairs.where(F.col("q_id") != F.col("item_id")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def similarity_matrix(a: DataFrame, b: DataFrame, key: str, vector: str) -> DataFrame:
+    """``key, sims``: the cosine of every row with every row of the small side ``b`` (checked), in the order of its keys."""
+    if bytes_of(b) > BROADCAST_LIMIT:
+        raise ValueError("the second side is too large for a matrix in one row; use top_similar")
+    side = b.agg(F.transform(F.array_sort(F.collect_list(F.struct(key, vector))), lambda x: arrays.normalise(x[vector])).alias("_m"))
+    own = arrays.normalise(F.col(vector))
+    return a.join(F.broadcast(side), F.lit(True)).select(key, F.transform("_m", lambda v: arrays.dot(own, v)).alias("sims"))
+
+
+def paired_similarity(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """``pairs`` with the cosine of two vectors."""
+    return pairs.withColumn("sim", arrays.dot(arrays.normalise(F.col(a)), arrays.normalise(F.col(b))))
+
+
+def annotation_ids(annotations: DataFrame, refs: DataFrame, images: list | None = None, ref_ids: list | None = None) -> DataFrame:
+    """``id`` of the annotations of any of the images and of any of the refs; an empty list does not filter."""
+    out = annotations.where(F.col("image_id").isin(*images)) if images else annotations
+    if ref_ids:
+        named = refs.where(F.col("ref_id").isin(*ref_ids)).select(F.explode("ann_id").alias("id")).distinct()
+        out = out.join(named, "id", "left_semi")
+    return out.select("id").distinct()
+
+
+def image_ids(images: DataFrame, refs: DataFrame, ref_ids: list | None = None) -> DataFrame:
+    """``id`` of the images of the named refs, else of all images."""
+    return refs.where(F.col("ref_id").isin(*ref_ids)).select(F.col("image_id").alias("id")).distinct() if ref_ids else images.select("id").distinct()
+
+
+def evaluation_items(refs: DataFrame, images: DataFrame, split: str, folder: str) -> DataFrame:
+    """``ref_id, image, phrase, ann_ids, no_target``: one row per sentence of the refs of a split whose image is known."""
+    flat = refs.where(split_matches(F.col("split"), split)).select("ref_id", "image_id", "ann_id", F.explode("sentences").alias("s"))
+    known = images.where(F.col("file_name").isNotNull()).select(F.col("id").alias("image_id"), F.concat(F.lit(folder.rstrip("/") + "/"), "file_name").alias("image"))
+    return flat.join(known, "image_id").select("ref_id", "image", F.lower(F.trim("s.sent")).alias("phrase"), F.col("ann_id").alias("ann_ids"), (F.col("ann_id") == F.array(F.lit(-1).cast("bigint"))).alias("no_target"))
+
+
+def merge_checked(a: Column, b: Column) -> Column:
+    """Two maps as one; a key both have must have the same value."""
+    both = F.array_intersect(F.map_keys(a), F.map_keys(b))
+    wrong = F.filter(both, lambda k: ~F.element_at(a, k).eqNullSafe(F.element_at(b, k)))
+    more = F.map_filter(b, lambda k, _: ~F.array_contains(both, k))
+    return F.when(F.size(wrong) > 0, F.raise_error(F.concat(F.lit("values differ at "), F.get(wrong, F.lit(0)).cast("string"))).cast("map<string,string>")).otherwise(F.map_concat(a, more))
 
 
 def as_of(left: DataFrame, right: DataFrame, key: str, t_left: str, t_right: str, value: str) -> DataFrame:
-    """The latest right value at or before each left row: union and one window, no range join."""
-    both = left.select(key, F.col(t_left).alias("t"), F.lit(1).alias("_left"), F.struct(*left.columns).alias("_row"), F.lit(None).cast(right.schema[value].dataType).alias("_v")).unionByName(
-        right.select(key, F.col(t_right).alias("t"), F.lit(0).alias("_left"), F.lit(None).cast(left.schema).alias("_row"), F.col(value).alias("_v"))
+    """The latest right value (a number, nulls skipped) at or before each left row.
+
+    Union and a distributed scan that holds the last value, no range join and no group in one task.
+    """
+    none = lambda t: F.lit(None).cast(t)
+    both = left.select(key, F.col(t_left).alias("_t"), F.lit(1).alias("_left"), F.struct(*left.columns).alias("_row"), none("double").alias("_v")).unionByName(
+        right.where(F.col(value).isNotNull()).select(key, F.col(t_right).alias("_t"), F.lit(0).alias("_left"), none(left.schema).alias("_row"), F.col(value).cast("double").alias("_v"))
     )
-    w = Window.partitionBy(key).orderBy("t", "_left").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn(value, F.last("_v", ignorenulls=True).over(w)).where(F.col("_left") == 1).select("_row.*", F.col(value).alias(f"asof_{value}"))
+    here = F.col("_left") == 0
+    held = running(both, [key], ["_t", "_left"], F.when(here, F.col("_v")).otherwise(0.0), F.when(here, 0.0).otherwise(1.0), "_held")
+    seen = running_count(held.drop("_held_before"), [key], ["_t", "_left"], here.cast("int"), "_seen")
+    return seen.where(F.col("_left") == 1).select("_row.*", F.when(F.col("_seen") > 0, F.col("_held")).alias(f"asof_{value}"))
+
+
+def nearest_index(k: Column, rate: float, source_rate: Column, n: Column) -> Column:
+    """The source place nearest to place ``k`` at another rate, null behind the end."""
+    at = F.bround(k * source_rate / F.lit(rate)).cast("int")
+    return F.when(at < n, at)
 
 
 def merge_maps(df: DataFrame, key: str, order: str, values: str) -> DataFrame:

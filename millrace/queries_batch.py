@@ -66,16 +66,12 @@ def column_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batch.column_union(df, df.select("_rid", "n_name", (F.col("n_nationkey") * 2).alias("double_key"))).drop("_rid")
 
 
-@query("SELECT s_suppkey, s_name FROM supplier ORDER BY s_suppkey // 4, s_suppkey % 4 LIMIT 50")
-def interleave_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "supplier").orderBy(F.floor(F.col("s_suppkey") / 4), F.col("s_suppkey") % 4).limit(50).select("s_suppkey", "s_name")
-
 
-@query("SELECT s_suppkey, s_name, (row_number() OVER (ORDER BY s_suppkey // 4, s_suppkey % 4) - 1)::BIGINT AS pos FROM supplier")
-def interleave_ranks_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every row with its place; truncated to the size of the data set, not to a constant."""
-    df = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
-    return batch.row_ids(df, F.floor(F.col("s_suppkey") / 4), F.col("s_suppkey") % 4).select("s_suppkey", "s_name", F.col("_rid").alias("pos"))
+@query("SELECT s_suppkey, s_name, (s_suppkey // 4 * 4 + s_suppkey % 4)::BIGINT AS pos FROM supplier WHERE s_suppkey // 4 * 4 + s_suppkey % 4 < (SELECT count(*) FROM supplier)")
+def interleave_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of four ranks in the order of the data set, cut at its size."""
+    df = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", (F.col("s_suppkey") % 4).alias("rank"), F.floor(F.col("s_suppkey") / 4).alias("step"))
+    return batch.interleave_ranks(df, "rank", "step", 4, df.count()).select("s_suppkey", "s_name", F.col("_rid").alias("pos"))
 
 
 @query("SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1)::BIGINT AS pos FROM orders")
@@ -163,14 +159,9 @@ def as_of_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.as_of(left, e.where(F.col("event_type") == "view"), "user_id", "event_id", "event_id", "value").select("event_id", "asof_value")
 
 
-@query("SELECT event_type, list(event_id ORDER BY event_id) AS ids FROM events WHERE event_id % 50 < 2 GROUP BY event_type")
-def merge_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").where(F.col("event_id") % 50 < 2)
-    return joins.merge_maps(e.select("event_type", "event_id", F.array("event_id").alias("ids")), "event_type", "event_id", "ids")
-
 
 @query("SELECT event_type, (event_id // 4096)::BIGINT AS part, list(event_id ORDER BY event_id) AS ids FROM events GROUP BY ALL")
-def merge_maps_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def merge_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All events; an array holds at most the ids of one range of 4,096."""
     e = table(spark, sf_dir, "events").select("event_type", "event_id", F.array("event_id").alias("ids"))
     return joins.merge_map_parts(e, "event_type", "event_id", "ids", 4096)
@@ -225,25 +216,18 @@ def shard_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _nation(spark, sf_dir).select("n_nationkey", balance.shard(F.col("_rid"), 25, 8).alias("shard"))
 
 
-@query(f"SELECT id, (row_number() OVER (PARTITION BY image_id ORDER BY bbox[1] + bbox[3] / 2, bbox[2] + bbox[4] / 2, id) - 1)::INT AS rank FROM {_ANN1} WHERE len(bbox) = 4 AND image_id % 7 <> 0")
-def rank_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = lambda i: F.get("bbox", F.lit(i))
-    df = _anns(spark, sf_dir).where((F.size("bbox") == 4) & (F.col("image_id") % 7 != 0))
-    from pyspark.sql import Window
-
-    return df.select("id", (F.row_number().over(Window.partitionBy("image_id").orderBy(b(0) + b(2) / 2, b(1) + b(3) / 2, "id")) - 1).alias("rank"))
-
 
 @query(f"""
 SELECT id, CASE WHEN image_id IS NOT NULL THEN (row_number() OVER (PARTITION BY image_id ORDER BY bbox[1] + bbox[3] / 2, bbox[2] + bbox[4] / 2, id) - 1)::INT END AS rank FROM {_ANN1} WHERE len(bbox) = 4""")
-def rank_boxes_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def rank_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The boxes of all images; a box without image keeps its row and has no rank."""
     return balance.rank_boxes(_anns(spark, sf_dir).where(F.size("bbox") == 4), "image_id", "bbox", "id").select("id", "rank")
 
 
-@query("SELECT 100 AS n")
+@query()
 def exact_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return balance.exact_sample(table(spark, sf_dir, "orders").select("o_orderkey"), 100, "o_orderkey").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    """A hundred rows, the same at every run."""
+    return balance.exact_sample(table(spark, sf_dir, "orders").select("o_orderkey"), 100, "o_orderkey")
 
 
 @query("SELECT n_name, CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey / 100 ELSE 1.0 END::DOUBLE AS rate FROM nation WHERE n_nationkey > 9")

@@ -10,44 +10,18 @@ from millrace.operators import aggregates, batch, nested
 from millrace.registry import query
 from millrace.runtime import table
 
-_RUNS = """(SELECT parent_id, (n - 1)::INT AS child_pos, (x->'$.counts')::BIGINT[] AS runs FROM (
-  SELECT id AS parent_id, unnest(json_extract(j, '$[*]')) AS x, generate_subscripts(json_extract(j, '$[*]'), 1) AS n FROM (
-    SELECT id, any_value(segmentation)::JSON AS j FROM annotations WHERE id IS NOT NULL AND json_valid(segmentation) AND json_type(segmentation) = 'ARRAY' GROUP BY id)
-  WHERE json_type(j, '$[0]') = 'OBJECT') WHERE json_type(x, '$.counts') = 'ARRAY')"""
-
-
-def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Run-length masks that stand in a list of masks."""
-    ann = table(spark, sf_dir, "annotations").where(F.trim("segmentation").startswith("[{"))
-    return nested.masks(ann).where(F.col("kind") == "run_lengths").select("parent_id", "child_pos", "runs")
-
-
-@query(f"""SELECT parent_id, child_pos, list_sum(list_transform(runs, lambda c, i: CASE WHEN i % 2 = 0 THEN c ELSE 0 END))::BIGINT AS area FROM {_RUNS}""")
-def mask_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lists(spark, sf_dir).select("parent_id", "child_pos", masks.area(F.col("runs")).alias("area"))
-
-
-@query(f"""
-WITH r AS (SELECT parent_id, child_pos, runs, unnest(range(1, len(runs) + 1)) AS i FROM {_RUNS}),
-s AS (SELECT parent_id, child_pos, coalesce(list_sum(runs[1:i - 1]), 0)::BIGINT AS a, list_sum(runs[1:i])::BIGINT AS b FROM r WHERE i % 2 = 0 AND runs[i] > 0),
-e AS (SELECT parent_id, a, b, max(b) OVER (PARTITION BY parent_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM s)
-SELECT parent_id, sum(greatest(b - greatest(a, coalesce(seen, 0)), 0))::BIGINT AS area FROM e GROUP BY parent_id""")
-def mask_union_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return masks.union_area(_lists(spark, sf_dir), "parent_id", "runs").where(F.col("area") > 0)
-
-
 def _run_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Run-length masks wherever they stand: alone, in any list, as JSON inside JSON, in the column ``counts``."""
     return nested.masks(table(spark, sf_dir, "annotations")).where(F.col("kind") == "run_lengths").select("parent_id", "child_pos", "runs")
 
 
 @query()
-def mask_areas_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def mask_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run_lengths(spark, sf_dir).select("parent_id", "child_pos", masks.area(F.col("runs")).alias("area"))
 
 
 @query()
-def mask_union_areas_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def mask_union_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Empty masks keep their row with area 0."""
     return masks.union_area(_run_lengths(spark, sf_dir), "parent_id", "runs")
 
@@ -74,7 +48,7 @@ SELECT round(sum(i) / (sum(u) + 1e-10), 6) AS c_iou, round(sum(s / n * n) / sum(
 def multi_round_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, c = F.col("o_orderkey"), F.col("o_custkey")
     items = table(spark, sf_dir, "orders").select(c.alias("k"), (o % 50).alias("i"), F.when(o % 11 == 0, 0).otherwise(o % 50 + c % 60).alias("u"), (o % 5 != 0).alias("p"))
-    return aggregates.multi_round_metrics(items, "k", "i", "u", "p")
+    return aggregates.multi_round_metrics(items, "k", "i", "u", "p").select(F.round("c_iou", 6).alias("c_iou"), F.round("g_iou", 6).alias("g_iou"), "n_masks")
 
 
 @query("""SELECT n_nationkey, e.e::INT AS epoch, ((row_number() OVER (PARTITION BY e.e ORDER BY n_nationkey) - 1) // 5)::BIGINT AS step FROM nation, (SELECT unnest(range(2)) AS e) e""")

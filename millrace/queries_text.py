@@ -210,40 +210,13 @@ def pad_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("conv_id", arrays.fit(ids, 16, zero, left_pad=False, truncation="right").alias("right_ids"), arrays.fit(ids, 16, zero, left_pad=True, truncation="left").alias("left_ids"), arrays.first_index(ids, F.lit(151655).cast("bigint")).cast("int").alias("first_media"))
 
 
-@query(f"""
-SELECT conv_id, list_transform(input_ids[1:24], lambda x, i: (list_position(input_ids[1:24], 151655) IS NULL OR i <= list_position(input_ids[1:24], 151655))::INT) AS mask FROM {_CONV} WHERE input_ids IS NOT NULL""")
-def response_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _conversations(spark, sf_dir).where(F.col("input_ids").isNotNull()).select("conv_id", arrays.response_mask(F.slice("input_ids", 1, 24), [151655]).alias("mask"))
-
 
 @query(f"""
 SELECT conv_id, list_transform(input_ids, lambda x, i: (coalesce(list_position(input_ids, 151655), 0) = 0 OR i <= list_position(input_ids, 151655))::INT) AS mask FROM {_CONV} WHERE input_ids IS NOT NULL""")
-def response_mask_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def response_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _conversations(spark, sf_dir).where(F.col("input_ids").isNotNull()).select("conv_id", arrays.response_mask(F.col("input_ids"), [151655]).alias("mask"))
 
 
-_BITS = """(SELECT conv_id, list_transform(input_ids[1:64], lambda x: (x % 3 = 0)::INT) AS b FROM """ + _CONV + """ WHERE len(input_ids) > 0)"""
-
-
-@query(f"""
-WITH f AS (SELECT conv_id, unnest(list_prepend(0, b)) AS v, generate_subscripts(list_prepend(0, b), 1) AS i FROM {_BITS}),
-g AS (SELECT *, i - row_number() OVER (PARTITION BY conv_id, v ORDER BY i) AS grp FROM f), r AS (SELECT conv_id, v, grp, min(i) AS first, count(*) - (min(i) = 1)::INT AS n FROM g GROUP BY ALL)
-SELECT conv_id, list(n::INT ORDER BY first) AS runs FROM r GROUP BY conv_id""")
-def rle_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bits = F.transform(F.slice("input_ids", 1, 64), lambda x: (x % 3 == 0).cast("int"))
-    return _conversations(spark, sf_dir).where(F.size("input_ids") > 0).select("conv_id", arrays.run_lengths(bits).alias("runs"))
-
-
-@query(f"""
-WITH b AS (SELECT conv_id, b, list_transform(b, lambda x, i: (i % 2 = 0)::INT) AS c FROM {_BITS}),
-n AS (SELECT conv_id, list_sum(list_transform(list_zip(b, c), lambda z: z[1] * z[2])) AS i, list_sum(list_transform(list_zip(b, c), lambda z: greatest(z[1], z[2]))) AS u FROM b)
-SELECT conv_id, round(CASE WHEN u > 0 THEN i / u ELSE 0 END, 6) AS iou FROM n""")
-def mask_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bits = F.transform(F.slice("input_ids", 1, 64), lambda x: (x % 3 == 0).cast("int"))
-    df = _conversations(spark, sf_dir).where(F.size("input_ids") > 0).select("conv_id", arrays.from_run_lengths(arrays.run_lengths(bits)).alias("a"))
-    return df.select("conv_id", F.round(arrays.mask_iou(F.col("a"), F.transform("a", lambda _, i: (i % 2 == 1).cast("int"))), 6).alias("iou"))
-
-
 _ALL_BITS = """(SELECT conv_id, list_transform(input_ids, lambda x: (x % 3 = 0)::INT) AS b FROM """ + _CONV + """ WHERE len(input_ids) > 0)"""
 
 
@@ -256,7 +229,7 @@ def _all_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH f AS (SELECT conv_id, unnest(list_prepend(0, b)) AS v, generate_subscripts(list_prepend(0, b), 1) AS i FROM {_ALL_BITS}),
 g AS (SELECT *, i - row_number() OVER (PARTITION BY conv_id, v ORDER BY i) AS grp FROM f), r AS (SELECT conv_id, v, grp, min(i) AS first, count(*) - (min(i) = 1)::INT AS n FROM g GROUP BY ALL)
 SELECT conv_id, list(n::INT ORDER BY first) AS runs FROM r GROUP BY conv_id""")
-def rle_encode_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def rle_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _all_bits(spark, sf_dir).select("conv_id", arrays.run_lengths(F.col("b")).alias("runs"))
 
 
@@ -264,7 +237,7 @@ def rle_encode_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH b AS (SELECT conv_id, b, list_transform(b, lambda x, i: (i % 2 = 0)::INT) AS c FROM {_ALL_BITS}),
 n AS (SELECT conv_id, list_sum(list_transform(list_zip(b, c), lambda z: z[1] * z[2])) AS i, list_sum(list_transform(list_zip(b, c), lambda z: greatest(z[1], z[2]))) AS u FROM b)
 SELECT conv_id, round(CASE WHEN u > 0 THEN i / u ELSE 0 END, 6) AS iou FROM n""")
-def mask_iou_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def mask_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _all_bits(spark, sf_dir).select("conv_id", arrays.from_run_lengths(arrays.run_lengths(F.col("b"))).alias("a"))
     return df.select("conv_id", F.round(arrays.mask_iou(F.col("a"), F.transform("a", lambda _, i: (i % 2 == 1).cast("int"))), 6).alias("iou"))
 
@@ -285,7 +258,7 @@ def natural_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _images(spark, sf_dir).where(F.col("file_name").isNotNull()).select("id", text.natural_key(F.col("file_name")).alias("k"))
 
 
-@query("""SELECT md5(array_to_string(list_sort(list(n_name || ':' || n_nationkey || '_' || n_regionkey)), ',')) AS fingerprint FROM nation""")
+@query("""SELECT md5(array_to_string(list_sort(list(k)), ',')) AS fingerprint FROM (SELECT n_name AS k FROM nation UNION ALL SELECT n_name || ':' || n_nationkey || '_' || n_regionkey FROM nation)""")
 def schema_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "nation").select("n_name", F.array("n_nationkey", "n_regionkey").alias("shape"))
     return text.schema_fingerprint(df, "n_name", "shape")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import arrays
@@ -36,59 +36,113 @@ WITH r AS (SELECT event_id, user_id, value, row_number() OVER o AS n, lead(value
            FROM events WINDOW o AS (PARTITION BY user_id ORDER BY value DESC, event_id))
 SELECT event_id, user_id, round(CASE WHEN c > 1 THEN CASE WHEN n = 1 THEN (value - second) / (sd + 1e-6) ELSE value END END, 6) AS advantage FROM r""")
 def passk_advantage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _events(spark, sf_dir).select("event_id", "user_id", F.round(advantage.best_of_group(F.col("value"), "event_id", "user_id"), 6).alias("advantage"))
+    out = advantage.best_of_group(_events(spark, sf_dir), "value", "event_id", "user_id")
+    return out.select("event_id", "user_id", F.round("advantage", 6).alias("advantage"))
 
 
 @query("""
-SELECT event_id, user_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 4) AS ret FROM events""")
+SELECT event_id, user_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) + 1e-7, 4) AS ret FROM events""")
 def return_to_go(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _events(spark, sf_dir).select("event_id", "user_id", F.round(advantage.return_to_go(F.col("value"), "user_id", F.col("event_id")), 4).alias("ret"))
+    out = advantage.return_to_go(_events(spark, sf_dir), F.col("value"), "user_id", F.col("event_id"))
+    return out.select("event_id", "user_id", F.round(F.col("ret") + 1e-7, 4).alias("ret"))  # the same side of exact halves as the SQL
 
 
-@query("""
-SELECT event_id, user_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - value * 0.5, 4) AS adv FROM events""")
-def remax_advantage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    adv = advantage.baseline_subtracted(F.col("value"), F.col("value") * 0.5, "user_id", F.col("event_id"))
-    return _events(spark, sf_dir).select("event_id", "user_id", F.round(adv, 4).alias("adv"))
+_TOKENS = """
+t AS (SELECT *, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l, r, v, m) - 1)::INT AS pos FROM (
+  SELECT l_orderkey, l_linenumber AS l, l_discount - l_tax AS r, l_quantity / 50.0 AS v, (l_returnflag <> 'R')::INT AS m FROM lineitem WHERE l_orderkey IS NOT NULL))"""
 
 
-def _sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reward sequences of bounded length: the events of a user in runs of 32."""
-    e = _events(spark, sf_dir)
-    n = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
-    seq = e.withColumn("n", n).groupBy("user_id", F.floor(F.col("n") / 32).cast("bigint").alias("part")).agg(F.array_sort(F.collect_list(F.struct("event_id", "value"))).alias("s"))
-    return seq.select("user_id", "part", F.transform("s", lambda x: x["value"]).alias("r"))
+def _batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch of sequences: one per order, a token per line."""
+    t = table(spark, sf_dir, "lineitem").where("l_orderkey IS NOT NULL").select(
+        "l_orderkey", F.struct("l_linenumber", (F.col("l_discount") - F.col("l_tax")).alias("r"), (F.col("l_quantity") / 50.0).alias("v"), (F.col("l_returnflag") != "R").cast("int").alias("m")).alias("s"), (F.col("l_orderkey") % 5 / 10.0).alias("baseline"),
+    )
+    seq = t.groupBy("l_orderkey", "baseline").agg(F.array_sort(F.collect_list("s")).alias("s"))
+    pick = lambda n: F.transform("s", lambda x: x[n])
+    return seq.select("l_orderkey", F.floor(F.col("l_orderkey") / 7).cast("bigint").alias("uid"), F.col("l_orderkey").alias("row"), "baseline", F.transform("s", lambda _, i: i).alias("line"), pick("r").alias("rewards"), pick("v").alias("values"), pick("m").alias("mask"))
 
 
-_SEQ_SQL = """
-WITH e AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS n FROM events),
-s AS (SELECT user_id, n // 32 AS part, n % 32 AS i, value AS r FROM e)
-"""
+def _tokens(df: DataFrame) -> DataFrame:
+    flat = df.select("l_orderkey", F.explode(F.arrays_zip("line", "advantages", "returns")).alias("t"))
+    return flat.select("l_orderkey", F.col("t.line").alias("pos"), F.round(F.col("t.advantages") + 1e-9, 5).alias("adv"), F.round(F.col("t.returns") + 1e-9, 5).alias("ret"))
 
 
-@query(_SEQ_SQL + """
-SELECT a.user_id, a.part::BIGINT AS part, a.i::INT AS pos, round(sum(b.r * power(0.9, b.i - a.i)) + 1e-7, 4) AS ret FROM s a JOIN s b ON a.user_id = b.user_id AND a.part = b.part AND b.i >= a.i GROUP BY ALL""")
+_WHITE = """
+w AS (SELECT sum({x} * m) / (sum(m) + 1e-8) AS mu, sum(m) AS kk FROM {t}), z AS (SELECT sum(m * ({x} - mu) * ({x} - mu)) / (any_value(kk) + 1e-8) * any_value(kk) / (any_value(kk) - 1) AS var FROM {t}, w)"""
+
+
+@query(f"""
+WITH {_TOKENS}
+SELECT l_orderkey, pos, round((sum(r) OVER (PARTITION BY l_orderkey) - l_orderkey % 5 / 10.0) * m + 1e-9, 5) AS adv,
+  round(sum(r * m) OVER (PARTITION BY l_orderkey ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) + 1e-9, 5) AS ret FROM t""")
+def remax_advantage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tokens(advantage.ESTIMATORS["remax"](_batch(spark, sf_dir)))
+
+
+@query(f"""
+WITH {_TOKENS}, q AS (SELECT *, coalesce(sum(1 - m) OVER (PARTITION BY l_orderkey ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cut FROM t),
+g AS (SELECT a.l_orderkey, a.pos, any_value(a.m) AS m, sum(b.r * power(0.9, b.pos - a.pos)) AS x
+      FROM q a JOIN q b ON a.l_orderkey = b.l_orderkey AND b.pos >= a.pos AND (b.pos = a.pos OR NOT EXISTS (
+        SELECT 1 FROM t c WHERE c.l_orderkey = a.l_orderkey AND c.m = 0 AND c.pos > a.pos AND c.pos <= b.pos)) GROUP BY ALL),
+{_WHITE.format(x='x', t='g')}
+SELECT l_orderkey, pos, round((x - mu) / sqrt(var + 1e-8) + 1e-9, 5) AS adv, round(x + 1e-9, 5) AS ret FROM g, w, z""")
+def reinforce_plus_plus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tokens(advantage.ESTIMATORS["reinforce_plus_plus"](_batch(spark, sf_dir), gamma=0.9))
+
+
+@query(f"""
+WITH RECURSIVE {_TOKENS}, n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY pos DESC) AS k FROM t),
+g AS (SELECT l_orderkey, pos, m, v, k, CASE WHEN m = 1 THEN v ELSE 0.0 END::DOUBLE AS nv, CASE WHEN m = 1 THEN r - v ELSE 0.0 END::DOUBLE AS x FROM n WHERE k = 1
+  UNION ALL SELECT n.l_orderkey, n.pos, n.m, n.v, n.k, CASE WHEN n.m = 1 THEN n.v ELSE g.nv END, CASE WHEN n.m = 1 THEN n.r + 0.9 * g.nv - n.v + 0.9 * 0.95 * g.x ELSE g.x END FROM g JOIN n ON n.l_orderkey = g.l_orderkey AND n.k = g.k + 1),
+{_WHITE.format(x='x', t='g')}
+SELECT l_orderkey, pos, round((x - mu) / sqrt(var + 1e-8) + 1e-9, 5) AS adv, round(x + v + 1e-9, 5) AS ret FROM g, w, z""")
+def gae_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tokens(advantage.ESTIMATORS["gae"](_batch(spark, sf_dir), gamma=0.9, lam=0.95))
+
+
+@query(f"""
+WITH {_TOKENS}, s AS (SELECT l_orderkey, sum(r) AS x FROM t GROUP BY l_orderkey),
+u AS (SELECT *, floor(l_orderkey / 7)::BIGINT AS g FROM s), c AS (SELECT g, count(*) AS n, avg(x) AS mu, stddev_samp(x) AS sd, sum(x) AS tot FROM u GROUP BY g),
+a AS (SELECT u.l_orderkey, (x - mu) / (sd + 1e-6) AS grpo, x - (tot - x) / (n - 1) AS rloo FROM u JOIN c USING (g) WHERE n > 1)
+SELECT t.l_orderkey, pos, round(grpo * m + 1e-9, 5) AS grpo, round(rloo * m + 1e-9, 5) AS rloo FROM t JOIN a USING (l_orderkey)""")
+def outcome_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences of groups of several; groups of one are an error of both estimators."""
+    df = _batch(spark, sf_dir)
+    several = df.groupBy("uid").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("uid")
+    kept = df.join(several, "uid", "left_semi")
+    grpo = advantage.ESTIMATORS["grpo"](kept).withColumnRenamed("advantages", "g").drop("returns")
+    both = advantage.ESTIMATORS["rloo"](grpo)
+    flat = both.select("l_orderkey", F.explode(F.arrays_zip("line", "g", "advantages")).alias("t"))
+    return flat.select("l_orderkey", F.col("t.line").alias("pos"), F.round(F.col("t.g") + 1e-9, 5).alias("grpo"), F.round(F.col("t.advantages") + 1e-9, 5).alias("rloo"))
+
+
+@query("""
+WITH s AS (SELECT user_id, event_id, value AS r, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events)
+SELECT a.event_id, a.user_id, round(sum(b.r * power(0.9, b.i - a.i)) + 1e-7, 4) AS ret FROM s a JOIN s b ON a.user_id IS NOT DISTINCT FROM b.user_id AND b.i >= a.i GROUP BY ALL""")
 def discounted_return(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ones = F.transform("r", lambda _: F.lit(1))
-    out = _sequences(spark, sf_dir).select("user_id", "part", F.posexplode(advantage.discounted_returns(F.col("r"), ones, 0.9)).alias("pos", "ret"))
-    return out.withColumn("ret", F.round(F.col("ret") + 1e-7, 4))  # the same side of exact halves as the SQL
+    """Over the whole of every user's events."""
+    out = advantage.discounted_rows(_events(spark, sf_dir), F.col("value"), "user_id", F.col("event_id"), gamma=0.9)
+    return out.select("event_id", "user_id", F.round(F.col("ret") + 1e-7, 4).alias("ret"))
 
 
-@query(_SEQ_SQL + """
-, d AS (SELECT user_id, part, i, r + 0.9 * coalesce(lead(r * 0.5) OVER (PARTITION BY user_id, part ORDER BY i), 0) - r * 0.5 AS d FROM s)
-SELECT a.user_id, a.part::BIGINT AS part, a.i::INT AS pos, round(sum(b.d * power(0.855, b.i - a.i)) + 1e-7, 4) AS adv FROM d a JOIN d b ON a.user_id = b.user_id AND a.part = b.part AND b.i >= a.i GROUP BY ALL""")
+@query("""
+WITH s AS (SELECT user_id, event_id, value AS r, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+d AS (SELECT user_id, event_id, i, r, r + 0.9 * coalesce(lead(r * 0.5) OVER (PARTITION BY user_id ORDER BY i), 0) - r * 0.5 AS d FROM s),
+g AS (SELECT a.event_id, any_value(a.r) AS r, sum(b.d * power(0.855, b.i - a.i)) AS x FROM d a JOIN d b ON a.user_id IS NOT DISTINCT FROM b.user_id AND b.i >= a.i GROUP BY a.event_id)
+SELECT event_id, round(x + 1e-7, 4) AS adv, round(x + r * 0.5 + 1e-7, 4) AS ret FROM g""")
 def gae_advantage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    adv = advantage.generalised_advantages(F.col("r"), F.transform("r", lambda x: x * 0.5), F.transform("r", lambda _: F.lit(1)), 0.9, 0.95)
-    return _sequences(spark, sf_dir).select("user_id", "part", F.posexplode(adv).alias("pos", "adv")).withColumn("adv", F.round(F.col("adv") + 1e-7, 4))
+    """Over the whole of every user's events."""
+    out = advantage.gae_rows(_events(spark, sf_dir), F.col("value"), F.col("value") * 0.5, F.lit(1), "user_id", F.col("event_id"), gamma=0.9, lam=0.95)
+    return out.select("event_id", F.round(F.col("advantage") + 1e-7, 4).alias("adv"), F.round(F.col("returns") + 1e-7, 4).alias("ret"))
 
 
 @query("""
-WITH s AS (SELECT avg(value) AS m, var_samp(value) AS v FROM events WHERE event_type = 'purchase')
-SELECT event_id, round((value - m) / sqrt(v + 1e-8), 6) AS white FROM events, s""")
+WITH k AS (SELECT *, (event_type = 'purchase')::INT AS m FROM events), s AS (SELECT sum(value * m) / (sum(m) + 1e-8) AS mu, sum(m) AS n FROM k),
+v AS (SELECT sum(m * (value - mu) * (value - mu)) / (any_value(n) + 1e-8) * any_value(n) / (any_value(n) - 1) AS v FROM k, s)
+SELECT event_id, round((value - mu) / sqrt(v + 1e-8), 6) AS white FROM k, s, v""")
 def whiten_global(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _events(spark, sf_dir)
-    stats = e.where(F.col("event_type") == "purchase").agg(F.avg("value").alias("m"), F.var_samp("value").alias("v"))
-    return e.join(F.broadcast(stats), F.lit(True)).select("event_id", F.round((F.col("value") - F.col("m")) / F.sqrt(F.col("v") + 1e-8), 6).alias("white"))
+    out = advantage.whiten_rows(_events(spark, sf_dir), F.col("value"), (F.col("event_type") == "purchase").cast("int"))
+    return out.select("event_id", F.round("white", 6).alias("white"))
 
 
 @query("""
@@ -100,7 +154,8 @@ def group_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 SELECT round(avg(n_chars), 6) AS mean_len, max(n_chars) AS max_len, min(n_chars) AS min_len, round(avg((n_chars = (SELECT max(n_chars) FROM documents))::INT), 6) AS clip_ratio FROM documents WHERE n_chars IS NOT NULL""")
 def length_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return aggregates.clip_ratio(table(spark, sf_dir, "documents").where(F.col("n_chars").isNotNull()), "n_chars")
+    m = aggregates.clip_ratio(table(spark, sf_dir, "documents").where(F.col("n_chars").isNotNull()), "n_chars")
+    return m.select(F.round("mean_len", 6).alias("mean_len"), "max_len", "min_len", F.round("clip_ratio", 6).alias("clip_ratio"))
 
 
 @query("""
@@ -114,7 +169,8 @@ def masked_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH p AS (SELECT user_id, sum(value * (event_type <> 'error')::INT) AS s, sum((event_type <> 'error')::INT) AS n FROM events GROUP BY user_id)
 SELECT round(sum(s) / (sum(n) + 1e-8), 6) AS token_mean, round(avg(s / (n + 1e-8)), 6) AS seq_mean FROM p""")
 def token_vs_seq_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return aggregates.token_mean_and_sequence_mean(_events(spark, sf_dir), "user_id", F.col("value"), (F.col("event_type") != "error").cast("int"))
+    m = aggregates.token_mean_and_sequence_mean(_events(spark, sf_dir), "user_id", F.col("value"), (F.col("event_type") != "error").cast("int"))
+    return m.select(*[F.round(c, 6).alias(c) for c in m.columns])
 
 
 @query("""
@@ -147,28 +203,21 @@ SELECT round(avg(CASE WHEN target_area = 0 THEN (pred_area = 0)::INT END) * 100,
 def segmentation_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, c = F.col("o_orderkey"), F.col("o_custkey")
     cases = table(spark, sf_dir, "orders").select((o % 50).alias("inter"), (o % 50 + c % 60).alias("uni"), (c % 7).alias("target_area"), (o % 5).alias("pred_area"))
-    return aggregates.segmentation_metrics(cases)
+    m = aggregates.segmentation_metrics(cases)
+    return m.select(*[F.round(c, 2).alias(c) for c in m.columns])
 
 
 @query("""
 WITH m AS (SELECT user_id, max(value) AS best FROM events GROUP BY user_id) SELECT round(avg((best >= 99)::INT) * 100, 4) AS ap, round(avg(best), 6) AS mean_best FROM m""")
 def max_then_ap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = _events(spark, sf_dir).groupBy("user_id").agg(F.max("value").alias("best"))
-    return best.agg(F.round(F.avg((F.col("best") >= 99).cast("double")) * 100, 4).alias("ap"), F.round(F.avg("best"), 6).alias("mean_best"))
-
-
-@query("""
-WITH e AS (SELECT vec_id, unnest(embedding[1:6])::DOUBLE AS x, generate_subscripts(embedding[1:6], 1) - 1 AS d FROM embeddings)
-SELECT a.d::INT AS i, b.d::INT AS j, round(avg(a.x), 6) AS mean_i, round(covar_samp(a.x, b.x), 6) AS cov FROM e a JOIN e b ON a.vec_id = b.vec_id AND a.d <= b.d GROUP BY ALL""")
-def covariance_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "embeddings").select(F.slice("embedding", 1, 6).alias("v"))
-    return aggregates.feature_statistics(df, "v").select("i", "j", F.round("mean_i", 6).alias("mean_i"), F.round("cov", 6).alias("cov"))
+    best = aggregates.best_per_case(_events(spark, sf_dir), "user_id", "value")
+    return aggregates.share_at_least(best, "value", 99).select(F.round(F.col("share") * 100, 4).alias("ap"), F.round("mean", 6).alias("mean_best"))
 
 
 @query("""
 WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS d FROM embeddings)
 SELECT a.d::INT AS i, b.d::INT AS j, round(avg(a.x), 6) AS mean_i, round(covar_samp(a.x, b.x), 6) AS cov FROM e a JOIN e b ON a.vec_id = b.vec_id AND a.d <= b.d GROUP BY ALL""")
-def covariance_stats_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def covariance_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = aggregates.feature_statistics(table(spark, sf_dir, "embeddings"), "embedding")
     return out.select("i", "j", F.round("mean_i", 6).alias("mean_i"), F.round("cov", 6).alias("cov"))
 
@@ -179,28 +228,21 @@ def keep_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.keep_last(_events(spark, sf_dir).select("user_id", "event_id", "event_type", "value"), ["user_id"], ["event_id"])
 
 
-@query("""
-WITH f AS (SELECT label, unnest(embedding[1:4])::DOUBLE AS x, generate_subscripts(embedding[1:4], 1) AS d FROM embeddings)
-SELECT label, d::INT AS dim, count(*) AS n, round(avg(x), 6) AS m FROM f GROUP BY ALL""")
-def codebook_update(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = aggregates.codebook_update(table(spark, sf_dir, "embeddings").select("label", F.slice("embedding", 1, 4).alias("v")), "label", "v")
-    return out.select("label", "n", F.posexplode("mean").alias("dim", "m")).select("label", (F.col("dim") + 1).alias("dim"), "n", F.round("m", 6).alias("m"))
-
 
 @query("""
 WITH f AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS d FROM embeddings)
 SELECT label, d::INT AS dim, count(*) AS n, round(avg(x), 6) AS m FROM f GROUP BY ALL""")
-def codebook_update_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def codebook_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = aggregates.codebook_update(table(spark, sf_dir, "embeddings").select("label", "embedding"), "label", "embedding")
     return out.select("label", "n", F.posexplode("mean").alias("dim", "m")).select("label", (F.col("dim") + 1).alias("dim"), "n", F.round("m", 6).alias("m"))
 
 
 @query("""
-WITH s AS (SELECT vec_id, label % 10 AS y, unnest(embedding[1:10]) AS x, generate_subscripts(embedding[1:10], 1) - 1 AS i FROM embeddings),
+WITH s AS (SELECT vec_id, label % 10 AS y, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings),
 r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, i) AS n FROM s)
 SELECT round(sum((n <= 3 AND i = y)::INT) * 100.0 / count(DISTINCT vec_id), 4) AS top3 FROM r""")
 def topk_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hit = aggregates.top_k_accuracy(F.slice("embedding", 1, 10), F.col("label") % 10, 3)
+    hit = aggregates.top_k_accuracy(F.col("embedding"), F.col("label") % 10, 3)
     return table(spark, sf_dir, "embeddings").agg(F.round(F.sum(hit) * 100 / F.count(F.lit(1)), 4).alias("top3"))
 
 
@@ -221,7 +263,8 @@ SELECT event_id, (coalesce(sum((event_type = 'purchase')::INT) OVER (PARTITION B
   greatest(sum((event_type <> 'error')::INT) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) - 1, 0)::BIGINT AS pos FROM events""")
 def eos_mask_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = F.col("event_id")
-    return _events(spark, sf_dir).select("event_id", advantage.up_to_first((F.col("event_type") == "purchase").cast("int"), "user_id", o).alias("mask"), advantage.position_ids((F.col("event_type") != "error").cast("int"), "user_id", o).cast("bigint").alias("pos"))
+    done = advantage.up_to_first(_events(spark, sf_dir).select("event_id", "user_id", "event_type"), (F.col("event_type") == "purchase").cast("int"), "user_id", o)
+    return advantage.position_ids(done, (F.col("event_type") != "error").cast("int"), "user_id", o).select("event_id", "mask", "pos")
 
 
 @query("""
@@ -253,9 +296,9 @@ def tile_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT vec_id, round(embedding[(label % 8) + 1] - ln(list_sum(list_transform(embedding[1:8], lambda x: exp(x::DOUBLE)))), 6) AS lp FROM embeddings""")
+SELECT vec_id, round(embedding[(label % 8) + 1] - ln(list_sum(list_transform(embedding, lambda x: exp(x::DOUBLE)))), 6) AS lp FROM embeddings""")
 def log_prob(spark: SparkSession, sf_dir: str) -> DataFrame:
-    logits = F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double"))
+    logits = F.transform("embedding", lambda x: x.cast("double"))
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(arrays.log_prob(logits, F.col("label") % 8), 6).alias("lp"))
 
 

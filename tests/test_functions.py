@@ -32,19 +32,23 @@ def test_golden_rows(spark):
 
 def test_rewards(spark):
     a, b = "<|mt_start|><|mt_0001|><|mt_0300|><|mt_end|>", "<|mt_start|><|mt_0001|><|mt_0301|><|mt_end|>"
-    tri = '{"subject": {"label": "cup", "mask_2d": "%s"}, "predicate": "on", "object": {"label": "table", "mask_2d": "%s"}}'
+    tri = '{"subject": {"mask_2d": "%s", "label": "cup"}, "predicate": "on", "object": {"mask_2d": "%s", "label": "table"}}'
+    swapped = '{"subject": {"label": "cup", "mask_2d": "%s"}, "predicate": "on", "object": {"label": "table", "mask_2d": "%s"}}'
     r = one(
         spark, same=rewards.mask_token_reward(F.lit(a + b), F.lit(a + b)), half=rewards.mask_token_reward(F.lit(a), F.lit(b)), none=rewards.mask_token_reward(F.lit("x"), F.lit("y")),
         null=rewards.mask_token_reward(F.lit(None).cast("string"), F.lit(a)), often=rewards.non_repeat_reward(F.lit(a * 4)), fmt=rewards.format_reward(F.lit("<think>a\nb</think> <answer>c</answer>")),
         graph=rewards.scene_graph_reward(F.lit(tri % (a, b)), F.lit(tri % (a, b))), graph2=rewards.scene_graph_reward(F.lit(tri % (a, b)), F.lit(tri % (b, b))),
         gcg=rewards.gcg_phrase_reward(F.lit(f"<|object_ref_start|>Red  Cup <|object_ref_end|> {a}"), F.lit(f"<|object_ref_start|>red cup<|object_ref_end|>{b}")),
-        score=rewards.score(F.lit("s"), F.lit(f"<think>t</think><answer>{a}</answer>"), F.lit(a), {"s": "mask_tokens"}),
+        score=rewards.score(F.lit("reasonseg"), F.lit(f"<think>t</think><answer>{a}</answer>"), F.lit(a)), plain=rewards.score(F.lit("res"), F.lit(b), F.lit(a)), psg=rewards.score(F.lit("psg"), F.lit(tri % (a, b)), F.lit(tri % (a, b))),
+        refused=F.size(rewards.triplets(F.lit(swapped % (a, b)))), often3=rewards.scene_graph_fresh(F.lit((tri % (a, b)) * 3)), twice=rewards.scene_graph_fresh(F.lit((tri % (a, b)) * 2)), spaced=rewards.scene_graph_reward(F.lit((tri % (a, b)).replace(": ", ":")), F.lit(tri % (a, b))),
+        strip=rewards.strip_masks(F.lit(f"x{a}<|mt_foo|>y")), short=rewards.repair_short(F.lit("<|mt_start|><|mt_0186|><|mt_0410|><|mt_0186|><|mt_end|>")),
     )
     assert (r.same, r.half, r.none, r.null, r.often, r.fmt, r.graph) == (1.0, 0.4, 1.0, 0.0, 0.0, 1.0, 1.0)
     assert r.graph2 == pytest.approx(0.5 + 0.4 * 0.25 + 0.25)
-    assert r.gcg == 1.0 and r.score == pytest.approx(1.0)
+    assert r.gcg == 1.0 and r.score["overall"] == pytest.approx(4.0) and r.plain["overall"] == pytest.approx(2.4) and r.psg["overall"] == pytest.approx(3.0)
+    assert (r.refused, r.often3, r.twice, r.spaced) == (0, 0.0, 1.0, 1.0) and r.strip == "x<|mt_foo|>y" and r.short.count("mt_") == 5
     with pytest.raises(Exception, match="no reward"):
-        one(spark, x=rewards.score(F.lit("other"), F.lit("a"), F.lit("b"), {"s": "mask_tokens"}))
+        one(spark, x=rewards.score(F.lit("other"), F.lit("a"), F.lit("b")))
 
 
 def test_text(spark):
@@ -55,6 +59,18 @@ def test_text(spark):
     )
     assert [(m["from"], m["value"]) for m in r.plain] == [("human", "hello")] and r.single[0]["from"] == "gpt" and r.null == 0
     assert [(p["type"], p["value"]) for p in r.parts] == [("text", "a "), ("image", "p.jpg"), ("text", "b")]
+    q = one(
+        spark, tail=text.normalise_messages(F.lit('"Red cup" is on the left')), listed=text.normalise_messages(F.lit('["a", {"from": "gpt", "value": "b"}, "{\\"from\\": \\"gpt\\", \\"value\\": \\"c\\"}", 7]')),
+        two=text.json_answer(F.lit('{"a":1} and {"b":2}')).isNull(), array=F.try_variant_get(text.json_answer(F.lit("x</think> [1, 2]")), "$[1]", "int"), dims=text.dimensions(F.lit("A / B; C / D / E / F; G")),
+        none=F.size(text.pair_scores(F.lit("scores: 4, 5"))), some=text.pair_scores(F.lit("score 4,5")), named=text.pair_scores(F.lit("Image 1: 3.5 and image 2 gets 4")),
+        point=text.pointwise_scores(F.lit("{'score': ['7 of 10', 5], 'reasoning': 'ok'}")), bare=text.pointwise_scores(F.lit('so "score": [3] it is')), asked=text.asked_dimensions(F.lit("Quality, Alignment")), every=F.size(text.asked_dimensions(F.lit(None).cast("string"))),
+        pick=text.primary_score(text.judge_output(F.lit("Image 2 is better"), F.lit("edit_pairwise_rank")), F.lit("edit_pairwise_rank")),
+    )
+    said = lambda ms: [(m["from"], m["value"]) for m in ms]
+    assert said(q.tail) == [("human", '"Red cup" is on the left')] and said(q.listed) == [("human", "a"), ("gpt", "b"), ("gpt", "c"), ("human", "7")]
+    assert q.two and q.array == 2 and [tuple(d) for d in q.dims] == [("A", "B", "B"), ("C", "D", "E")]
+    assert q.none == 0 and q.some == [4.0, 5.0] and q.named == [3.5, 4.0]
+    assert tuple(q.point) == (7.0, 5.0, 6.0, "ok") and tuple(q.bare) == (3.0, None, 3.0, None) and q.asked == ["Quality", "Alignment"] and q.every == 5 and q.pick == [2.0]
     assert r.tie.endswith("equally good") and r.one_ == "Edited image 2" and r.js and r.key
 
 
@@ -160,3 +176,48 @@ def test_scores_and_moving_averages(spark):
     assert got == {0: (15.0, [2.0]), 1: (2.0, [2.0])}
     t = aggregates.timing_metrics(spark.createDataFrame([("gen", 2.0), ("update", 4.0)], "section string, seconds double"), spark.createDataFrame([(100, 400)], "response_tokens int, all_tokens int"))
     assert {r.section: r.ms_per_token for r in t.collect()} == {"gen": 20.0, "update": 10.0}
+
+
+def test_labels(spark):
+    head = [128006, 78191, 128007, 271]
+    ids = [1, *head, 5, 6, 128009, 7, *head, 8, 128009, *head, 9]
+    role = [1, 77091, 198, 5, 6, 151645, 198, 3, 77091, 198, 8]
+    r = one(spark, a=arrays.header_labels(ints(*ids)), b=arrays.role_labels(ints(*role)), none=arrays.header_labels(ints(1, 2)), empty=arrays.header_labels(ints()))
+    x = -100
+    assert r.a == [x, x, x, x, x, 5, 6, 128009, x, x, x, x, x, 8, 128009, x, x, x, x, x] and r.b == [x, x, x, 5, 6, 151645, 198, x, x, x, x] and r.none == [x, x] and r.empty == []
+
+
+def test_full_divergence_and_objectives(spark):
+    a, b = np.log([0.2, 0.3, 0.5]), np.log([0.5, 0.25, 0.25])
+    arr = lambda v: F.array(*[F.lit(float(x)) for x in v])
+    assert one(spark, k=advantage.full_kl(arr(a), arr(b))).k == pytest.approx(float((np.exp(a) * (a - b)).sum()))
+    rng = np.random.default_rng(1)
+    old, new, adv = (rng.normal(0, 0.4, (6, 5)) for _ in range(3))
+    mask = (rng.random((6, 5)) < 0.7).astype(int)
+    df = spark.createDataFrame([(o.tolist(), n.tolist(), a.tolist(), m.tolist()) for o, n, a, m in zip(old, new, adv, mask, strict=True)], "o array<double>, n array<double>, a array<double>, m array<int>")
+    gap = new - old
+    seq = (gap * mask).sum(1) / (mask.sum(1) + 1e-8)
+    for kind in ("default", "gspo", "gspo_token", "cispo"):
+        lr = {"gspo": seq[:, None] * mask, "gspo_token": np.repeat(seq[:, None], 5, 1)}.get(kind, gap)
+        ratio, clip = np.exp(np.clip(lr, -20, 20)), np.exp(np.clip(lr, np.log(0.8), np.log(1.28)))
+        up = np.maximum(-adv * ratio, -adv * clip)
+        loss = -adv * new * clip if kind == "cispo" else np.where(adv < 0, np.minimum(up, -adv * 3), up)
+        for mode in ("token", "seq"):
+            want = (loss * mask).sum() / mask.sum() if mode == "token" else ((loss * mask).sum(1) / (mask.sum(1) + 1e-8)).mean()
+            r = advantage.policy_objective(df, "o", "n", "a", "m", kind, mode).first()
+            assert r.loss == pytest.approx(want, abs=1e-6) and r.kl == pytest.approx(-(gap * mask).sum() / mask.sum(), abs=1e-6)
+            if kind != "cispo":
+                assert r.clipped_higher == pytest.approx(((-adv * ratio < -adv * clip) * mask).sum() / mask.sum(), abs=1e-6)
+
+
+def test_masks_match(spark):
+    a, b, c = [2, 4, 4], [4, 4, 2], [10]
+    r = one(spark, iou=masks.iou(ints(*a), ints(*b)), none=masks.iou(ints(*c), ints(*c)), m=masks.matched_iou(F.array(ints(*a), ints(*b)), F.array(ints(*b))), shared=F.size(masks.intervals(ints(*a))))
+    assert r.iou == pytest.approx(2 / 6) and r.none == 0.0 and r.m == pytest.approx(0.5) and r.shared == 1
+
+
+def test_partitions():
+    assert [len(s) for s in balance.differencing([5, 4, 3, 2, 1, 9], 3, equal_size=True)] == [2, 2, 2]
+    assert balance.greedy([3, 3, 2, 2], 2) == [[0, 2], [1, 3]] and sorted(map(len, balance.greedy([9, 1, 1, 1], 2, equal_size=True))) == [2, 2]
+    with pytest.raises(ValueError):
+        balance.differencing([1, 2, 3], 2, equal_size=True)
