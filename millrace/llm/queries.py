@@ -10,15 +10,15 @@ from millrace.runtime import table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return defects.found(table(spark, sf_dir, "conversations"))
+    return defects.found(table(spark, sf_dir, "conversations"), table(spark, sf_dir, "documents"))
 
 
 def p1_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return defects.labels(table(spark, sf_dir, "conversations")).select("conv_id", "turn", "defect", F.round("posterior", 6).alias("posterior"))
+    return defects.labels(table(spark, sf_dir, "conversations"), table(spark, sf_dir, "documents")).select("conv_id", "turn", "defect", F.round("posterior", 6).alias("posterior"))
 
 
 def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return defects.report(table(spark, sf_dir, "conversations"))
+    return defects.report(table(spark, sf_dir, "conversations"), table(spark, sf_dir, "documents"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
