@@ -59,6 +59,7 @@ _CLOSE = frozenset("»”“」』)）]】》›\"")
 _QUOTES = frozenset("«“„「『\"")
 _BREAK = r"(?:\r\n|\r(?!\n)|(?<!\r)\n|[\u2028\x85])"
 _BLANK_LINE = re.compile(rf"{_BREAK}[^\S\n\r\u2028\x85]*{_BREAK}\s*|\u2029\s*")
+_BREAKS = re.compile("[\n\r\u2028\x85\u2029]")
 _BULLET = re.compile(r"[ \t　\xa0﻿]*[-*•‣·–][ \t\xa0]+")
 _NUMBER = re.compile(r"[ \t　\xa0﻿]*(\d{1,4})[.)][ \t\xa0]+")
 _LINE = re.compile(_BREAK)
@@ -119,7 +120,8 @@ def _closing(text: str, at: int, start: int) -> str:
 def blocks(text: str) -> Iterator[tuple[int, int, bool]]:
     """``start, end, is_item`` of every block and list item."""
     at = 0
-    for m in [*_BLANK_LINE.finditer(text), None]:
+    breaks = _BLANK_LINE.finditer(text) if _BREAKS.search(text) else ()
+    for m in [*breaks, None]:
         end = m.start() if m else len(text)
         if text[at:end].strip():
             yield from _items(text, at, end)
@@ -129,12 +131,12 @@ def blocks(text: str) -> Iterator[tuple[int, int, bool]]:
 def _items(text: str, start: int, end: int) -> Iterator[tuple[int, int, bool]]:
     while start < end and text[start] in "\r\n \x85":
         start += 1
-    lines = [start] + [m.end() for m in _LINE.finditer(text, start, end)]
     number = _NUMBER.match(text, start, end)
     bullet = _BULLET.match(text, start, end)
     if not bullet and not (number and int(number[1]) in (0, 1)):
         yield start, end, False
         return
+    lines = [start] + [m.end() for m in _LINE.finditer(text, start, end)]
     heads, count = [], int(number[1]) - 1 if number else 0
     for at in lines:
         n = _NUMBER.match(text, at, end)
@@ -218,7 +220,7 @@ class Model:
         return 1.5 if f else 0.0
 
 
-@dataclass
+@dataclass(slots=True)
 class _Cut:
     end: int  # end of the span before
     next: int  # start of the span after
@@ -327,9 +329,10 @@ def _cuts(text: str, start: int, end: int, model: Model) -> list[_Cut]:
                 s += 1.5
             if not head.isalnum() and c not in "“„«「\"(（":
                 s -= 4.0
-        reach = nesting.reaches(e - 1)
-        if reach > e - 1 or reach == e - 1 and e - 1 not in pairs:
-            s -= 9.0  # within a quotation or bracket
+        if pairs:
+            reach = nesting.reaches(e - 1)
+            if reach > e - 1 or reach == e - 1 and e - 1 not in pairs:
+                s -= 9.0  # within a quotation or bracket
         out.append(_Cut(e, nxt, s, quote, bracket if lower else -1))
 
     if _THAI.search(block):
@@ -413,12 +416,16 @@ def spans(text: str | None, model: Model) -> list[tuple[int, int]]:
         if not cuts:
             out.append((start, end))
             continue
-        best, back = _best(text, [start] + [c.next for c in cuts], cuts)
-        j = max(range(len(best)), key=lambda k: best[k])
-        ends: list[int] = []
-        while j:
-            ends.append(j)
-            j = back[j]
+        begins = [start] + [c.next for c in cuts]
+        if all(c.quote < 0 and c.bracket < 0 and c.end - a > _SHORT for c, a in zip(cuts, begins)):
+            ends = [k for k in range(len(cuts), 0, -1) if cuts[k - 1].score > 0]  # no cut depends on where its span began
+        else:
+            best, back = _best(text, begins, cuts)
+            j = max(range(len(best)), key=best.__getitem__)
+            ends = []
+            while j:
+                ends.append(j)
+                j = back[j]
         at = start
         for k in reversed(ends):
             out.append((at, cuts[k - 1].end))
@@ -427,25 +434,44 @@ def spans(text: str | None, model: Model) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out if text[a:b].strip(" \t\r\n﻿　\xa0")]
 
 
-def _count(text: str, c: Counter) -> None:
-    for start, end, item in blocks(text):
-        m = (_BULLET.match(text, start, end) or _NUMBER.match(text, start, end)) if item else None
-        at = m.end() if m else start
-        body = text[at:end].strip()
-        if not body:
-            continue
-        key = _opening(body, 0, len(body))
-        if key:
-            c["s" + key] += 1
-        tokens = body.split()
-        for t in tokens[1:]:
+class Tally:
+    """Counts of a batch: words are counted as they stand, and every distinct one is cleaned once."""
+
+    def __init__(self) -> None:
+        self.start: Counter[str] = Counter()
+        self.inside: Counter[str] = Counter()
+        self.before: Counter[str] = Counter()  # every token but the last
+        self.last: Counter[str] = Counter()
+
+    def add(self, text: str) -> None:
+        for start, end, item in blocks(text):
+            m = (_BULLET.match(text, start, end) or _NUMBER.match(text, start, end)) if item else None
+            at = m.end() if m else start
+            tokens = text[at:end].split()
+            if not tokens:
+                continue
+            while text[at].isspace():
+                at += 1
+            key = _opening(text, at, end)
+            if key:
+                self.start[key] += 1
+            self.inside.update(tokens[1:])
+            self.last[tokens.pop()] += 1
+            self.before.update(tokens)
+
+    def counts(self) -> Counter[str]:
+        """Counts by the kind of the word (s, i, t, f) and the cleaned word."""
+        c: Counter[str] = Counter({"s" + k: n for k, n in self.start.items()})
+        for t, n in self.inside.items():
             if t[0].isalpha() and not _is_cjk(t[0]):
-                c["i" + _clean(t.strip("\"'“”„«»()[].,;:!?…"))] += 1
+                c["i" + _clean(t.strip("\"'“”„«»()[].,;:!?…"))] += n
             elif t[0].isdigit():
-                c["i0"] += 1
-        for n, t in enumerate(tokens):
-            if len(t) > 1 and t[-1] == "." and t[-2] != ".":
-                c[("f" if n == len(tokens) - 1 else "t") + _DIGITS.sub("0", _clean(t[:-1].lstrip("([\"“„«")))] += 1
+                c["i0"] += n
+        for kind, tokens in (("t", self.before), ("f", self.last)):
+            for t, n in tokens.items():
+                if len(t) > 1 and t[-1] == "." and t[-2] != ".":
+                    c[kind + _DIGITS.sub("0", _clean(t[:-1].lstrip("([\"“„«")))] += n
+        return c
 
 
 def learn(documents: DataFrame, size: int = MODEL_WORDS) -> Model:
@@ -453,10 +479,11 @@ def learn(documents: DataFrame, size: int = MODEL_WORDS) -> Model:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            c: Counter[str] = Counter()
+            tally = Tally()
             for text in batch["text"]:
                 if text:
-                    _count(text, c)
+                    tally.add(text)
+            c = tally.counts()
             if c:
                 yield pd.DataFrame({"w": list(c.keys()), "n": list(c.values())})
 

@@ -35,15 +35,16 @@ def public_words(path: str = TOKENIZER) -> frozenset[str]:
 
 
 @lru_cache(maxsize=1)
-def _format_marks() -> dict[int, None]:
+def _format_marks() -> re.Pattern:
+    """All invisible format characters."""
     import sys
 
-    return {c: None for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cf"}
+    return re.compile("[" + "".join(re.escape(chr(c)) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cf") + "]+")
 
 
 def plain(text: str) -> str:
     """NFKC, no invisible format characters, lower case."""
-    return unicodedata.normalize("NFKC", text).translate(_format_marks()).lower()
+    return text.lower() if text.isascii() else _format_marks().sub("", unicodedata.normalize("NFKC", text)).lower()
 
 
 def words(text: str | None) -> list[str]:
@@ -56,7 +57,8 @@ def quoted_words(text: str | None) -> list[str]:
     if not text:
         return []
     text = html.unescape(text) if "&" in text else text
-    text = unicodedata.normalize("NFKC", text).translate(_format_marks())
+    if not text.isascii():
+        text = _format_marks().sub("", unicodedata.normalize("NFKC", text))
     return _WORD.findall((_TAG.sub(" ", text) if "<" in text else text).lower())
 
 
