@@ -89,9 +89,9 @@ def balance(df: DataFrame, size: str, parts: int, key: str, block: int = 4096) -
 
 
 def dynamic_batches(df: DataFrame, size: str, most: int, key: str, block: int = 4096) -> DataFrame:
-    """``block, micro`` for every row: micro-batches of near-equal sums, at most about ``most`` each, the heaviest (by squared sizes) first.
+    """``batch, micro`` for every row: micro-batches of near-equal sums, at most about ``most`` each, the heaviest (by squared sizes) first.
 
-    A block is one batch of bounded size.  A row larger than ``most`` is an error.
+    A batch is a block of bounded size.  A row larger than ``most`` is an error.
     """
 
     def run(pdf):
@@ -103,9 +103,9 @@ def dynamic_batches(df: DataFrame, size: str, most: int, key: str, block: int =
         micro = np.zeros(len(pdf), dtype=np.int64)
         for p, idx in enumerate(sorted(sets, key=lambda s: (sum(sizes[i] ** 2 for i in s), min(s, default=0)), reverse=True)):
             micro[idx] = p
-        return pdf.rename(columns={"_block": "block"}).assign(micro=micro)[[*[c for c in pdf.columns if c != "_block"], "block", "micro"]]
+        return pdf.rename(columns={"_block": "batch"}).assign(micro=micro)[[*[c for c in pdf.columns if c != "_block"], "batch", "micro"]]
 
-    return _place(run, df, key, block, block="long", micro="long")
+    return _place(run, df, key, block, batch="long", micro="long")
 
 
 def reverse_index(index: DataFrame) -> DataFrame:

@@ -101,6 +101,59 @@ def read_panoptic(spark: SparkSession, path: str, things: dict[int, int], stuff:
     return df.withColumn("segments_info", F.transform("segments_info", remap))
 
 
+def read_referring(spark: SparkSession, refs: str, parts: dict[str, str] | str) -> dict[str, DataFrame]:
+    """A referring-expression set as tables ``refs, images, annotations, categories``.
+
+    ``refs`` is a list of refs in any format; ``parts`` one JSON file with a list under
+    each name, or a path for each of them.  Refs without lists of annotations and
+    categories get lists of one.  A repeated ref counts once (the greatest by content).
+    """
+    table = spark.read.json(refs) if _suffix(refs) != "parquet" else spark.read.parquet(refs)
+    for c in ("ann_id", "category_id"):
+        if c in table.columns and table.schema[c].dataType.typeName() != "array":
+            table = table.withColumn(c, F.array(c))
+    rest = [c for c in table.columns if c != "ref_id"]
+    table = table.groupBy("ref_id").agg(F.max(F.struct(*rest)).alias("_r")).select("ref_id", "_r.*")
+    if isinstance(parts, str):
+        whole = spark.read.option("multiLine", "true").json(parts)
+        lists = {n: whole.select(F.inline(n)) for n in ("images", "annotations", "categories") if n in whole.columns}
+    else:
+        lists = {n: spark.read.json(p) if _suffix(p) != "parquet" else spark.read.parquet(p) for n, p in parts.items()}
+    return {"refs": table, **lists}
+
+
+def decode_data_uri(text: Column) -> Column:
+    """The bytes behind ``data:...;base64,``, null for any other text."""
+    return F.when(text.rlike("^data:[^,]*;base64,"), F.unbase64(F.regexp_replace(text, "^data:[^,]*,", "")))
+
+
+def read_parameter_names(df: DataFrame) -> DataFrame:
+    """``file, name, dtype, shape`` of safetensors files (``path, content``) from their headers: the weights are not decoded."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                size = int.from_bytes(content[:8], "little")
+                head = json.loads(bytes(content[8 : 8 + size]))
+                rows += [(path, n, t["dtype"], [int(x) for x in t["shape"]]) for n, t in head.items() if n != "__metadata__"]
+            yield pd.DataFrame(rows, columns=["file", "name", "dtype", "shape"])
+
+    return df.select("path", "content").mapInPandas(run, "file string, name string, dtype string, shape array<bigint>")
+
+
+def read_file_metadata(df: DataFrame) -> DataFrame:
+    """``file, metadata`` of safetensors files (``path, content``)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            heads = [json.loads(bytes(c[8 : 8 + int.from_bytes(c[:8], "little")])) for c in batch["content"]]
+            yield pd.DataFrame({"file": batch["path"], "metadata": [list((h.get("__metadata__") or {}).items()) for h in heads]})
+
+    pairs = df.select("path", "content").mapInPandas(run, "file string, metadata array<struct<k:string,v:string>>")
+    return pairs.select("file", F.map_from_entries("metadata").alias("metadata"))
+
+
 def reference_blocks(spec: Column) -> Column:
     """Tagged union of references: the path field is named by ``type``; an unknown type is an error."""
     path = F.when(spec["type"] == "image", spec["image"]).when(spec["type"].isin("video", "video_audio"), spec["video"]).when(spec["type"] == "audio", spec["audio"])
@@ -161,6 +214,16 @@ def append_metrics(spark: SparkSession, path: str, step: int, values: dict[str,
     spark.createDataFrame([(step, k, float(v)) for k, v in values.items()], "step int, key string, value double").write.mode("append").parquet(path)
 
 
+def steps_to_save(steps: DataFrame, step: str, every: int, last: int) -> DataFrame:
+    """Steps at which a checkpoint is due: every so many, and the last one where it is none of them."""
+    return steps.where((F.col(step) % every == 0) | (F.col(step) == last))
+
+
+def write_predictions(df: DataFrame, folder: str, name: Column) -> None:
+    """One JSON file set per ``name``, so that a later run can tell what is there."""
+    df.withColumn("_name", name).write.mode("append").partitionBy("_name").json(folder)
+
+
 def fan_out(df: DataFrame, *sinks: Callable[[DataFrame], None]) -> None:
     """One result to several sinks."""
     for sink in sinks:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from millrace.runtime import materialize
+
 
 def read_stream(spark: SparkSession, path: str, schema, per_trigger: int = 100) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
@@ -40,13 +43,18 @@ def choose_without_repeat(stream: DataFrame, key: str, item: str, seed: int = 0)
 
 
 def fill_batches(batches: Iterator[DataFrame], keep: Callable[[DataFrame], DataFrame], size: int, tries: int, order: str) -> DataFrame:
-    """Pull batches, filter groups, gather until ``size`` rows are there; too many pulls are an error."""
-    got: DataFrame | None = None
+    """Pull batches, filter groups, gather until ``size`` rows are there; too many pulls are an error.
+
+    What a pull keeps is written and counted once; earlier pulls are not looked at again.
+    """
+    got: list[DataFrame] = []
+    total = 0
     for n, batch in enumerate(batches, 1):
-        kept = keep(batch)
-        got = kept if got is None else got.unionByName(kept)
-        if got.count() >= size:
-            return got.orderBy(order).limit(size)
+        kept = materialize(keep(batch), "pull")
+        got.append(kept)
+        total += kept.count()
+        if total >= size:
+            return reduce(lambda a, b: a.unionByName(b), got).orderBy(order).limit(size)
         if n >= tries:
             break
     raise ValueError(f"fewer than {size} rows after {tries} batches")
