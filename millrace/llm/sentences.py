@@ -64,6 +64,7 @@ _BULLET = re.compile(r"[ \t　\xa0﻿]*[-*•‣·–][ \t\xa0]+")
 _NUMBER = re.compile(r"[ \t　\xa0﻿]*(\d{1,4})[.)][ \t\xa0]+")
 _LINE = re.compile(_BREAK)
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
+_OPENING_WORD = re.compile("[^\\s,;:!?…\"“”»«()]*")
 _LEAD = " \t\r\n　\xa0\"'“”„«»‹›「『（(¿¡‘’[*-•—–"
 #: Words before an ordinal number.
 _ORDINAL = re.compile(r"(?<!\w)(?:am|der|die|das|den|dem|des|vom|zum|zur|im|beim|ab|bis|seit|jeder|jede|jedes)\s+\d+\Z", re.I)
@@ -102,19 +103,21 @@ def _opening(text: str, at: int, end: int) -> str:
         return text[at : at + 2]
     if text[at].isdigit():
         return "0"
-    m = at
-    while m < end and not text[m].isspace() and text[m] not in ",;:!?…\"“”»«()":
-        m += 1
-    return _clean(text[at:m].rstrip("."))
+    return _clean(_OPENING_WORD.match(text, at, end)[0].rstrip("."))
 
 
 def _closing(text: str, at: int, start: int) -> str:
     """The token that ends at ``at`` (its last full stop not included), lower-cased; digits as '0'."""
-    m = at
-    while m > start and not text[m - 1].isspace() and text[m - 1] not in "([\"“„«":
-        m -= 1
-    token = _clean(text[m:at])
-    return _DIGITS.sub("0", token)
+    if at <= start or text[at - 1].isspace():
+        return ""
+    low = max(start, at - 64)
+    while low > start and not text[low - 1 : at].split(None, 1)[1:]:  # a longer token
+        low = max(start, low - (at - low))
+    token = text[low:at].rsplit(None, 1)[-1]
+    if not token.isalnum():
+        token = token[1 + max(token.rfind(c) for c in '(["“„«') :]
+        return _DIGITS.sub("0", _clean(token))
+    return _clean(token) if token.isalpha() else _DIGITS.sub("0", _clean(token))
 
 
 def blocks(text: str) -> Iterator[tuple[int, int, bool]]:

@@ -63,3 +63,56 @@ def test_lower_case_uses_learned_openers(spark):
     text = docs.where("doc_id = 99").first().text
     assert [text[a:b] for a, b in got] == ["the folder keeps boxes, etc.", "a drone left.", "the boxes, etc. are stored here."]
     assert sentences.split(docs.limit(0)).count() == 0
+
+
+def naive(text, begins, cuts):
+    """The program with every start tried for every end."""
+    best, back = [0.0] + [-float("inf")] * len(cuts), [0] * (len(cuts) + 1)
+    for j, cut in enumerate(cuts, 1):
+        for i in range(j):
+            if begins[i] < cut.end:
+                v = best[i] + cut.score + sentences._span(text, begins[i], cut)
+                if v > best[j]:
+                    best[j], back[j] = v, i
+    return best, back
+
+
+def test_ranges_of_starts_equal_all_starts():
+    import random
+
+    rng = random.Random(5)
+    bits = ["A boat is here. ", "“Where is it?” asks he. ", "Ok. ", "he said: “Stop. Now!” And left. ", "(See p. 4.) ", "Hm… ", "a remark (it was old.) stays. ", "The sign reads \"Keep left. Mind it.\" in white. ", "No! ", "3. ", "x"]
+    for _ in range(300):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(1, 14)))
+        text = text.lower() if rng.random() < 0.3 else text
+        model = sentences.Model()
+        cuts = sentences._cuts(text, 0, len(text), model)
+        if cuts:
+            begins = [0] + [c.next for c in cuts]
+            a, b = sentences._best(text, begins, cuts), naive(text, begins, cuts)
+            assert a[0] == pytest.approx(b[0]) and a[1] == b[1]
+
+
+def test_long_quotation_in_a_sentence():
+    quote = " ".join("The mask was drawn by hand near the old tram." for _ in range(40))
+    text = f"The note on the wall says “{quote}” in white letters. It stays there."
+    assert units(text) == [text[: -len(" It stays there.")], "It stays there."]
+
+
+def test_lone_marks_enclose_nothing():
+    assert units('The board is 5" wide. It fits. A "small" one does not. The end.') == ['The board is 5" wide.', "It fits.", 'A "small" one does not.', "The end."]
+    assert units('He said "no. It went on. She said "yes" to it. The end.')[-2:] == ['She said "yes" to it.', "The end."]
+
+
+def test_many_ends_in_one_block():
+    text = " ".join(f"Box {n} is drawn here." for n in range(3000))
+    assert len(sentences.spans(text, sentences.Model())) == 3000
+    nested = "(" * 2000 + "a. b. " * 2000 + ")" * 2000 + ". End."
+    assert sentences.spans(nested, sentences.Model())
+
+
+def test_learning_counts_like_a_plain_loop(spark):
+    docs = spark.createDataFrame([(1, "A boat left. The old boat stays, etc. here.\n\n- one item. two\n\nA tram.", "x"), (2, None, "x"), (3, "", "x"), (4, "模型很好。图片。", "x")], "doc_id bigint, text string, extra string")
+    model = sentences.learn(docs)
+    assert model.start["a"] == 2 and model.start["one"] == 1 and model.inside["boat"] == 2 and model.stopped["etc"] == 1 and model.final["tram"] == 1
+    assert sentences.learn(docs.limit(0)).start == {}
