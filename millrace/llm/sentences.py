@@ -203,15 +203,34 @@ class Model:
 
     def __post_init__(self) -> None:
         self.n_start, self.n_inside = sum(self.start.values()) + 1, sum(self.inside.values()) + 1
+        # scores looked up so far: each is a function of a counted word, of which there are at most MODEL_WORDS
+        self._opens: dict[str, float] = {}
+        self._closes: dict[str, float] = {}
 
     def opens(self, key: str) -> float:
         """Log odds that the word opens a text rather than stands inside one, within [-4, 3]; unknown words 0."""
+        if key not in self.start and key not in self.inside:
+            return 0.0
+        v = self._opens.get(key)
+        if v is None:
+            v = self._opens[key] = self._open_odds(key)
+        return v
+
+    def _open_odds(self, key: str) -> float:
         s, i = self.start.get(key, 0), self.inside.get(key, 0)
         if s + i < 4:
             return 0.0
         return max(-4.0, min(3.0, math.log((s + 0.1) / self.n_start) - math.log((i + 0.5) / self.n_inside)))
 
     def closes(self, token: str) -> float:
+        v = self._closes.get(token)
+        if v is None:
+            v = self._close_score(token)
+            if token in self.final or token in self.stopped:
+                self._closes[token] = v
+        return v
+
+    def _close_score(self, token: str) -> float:
         bare = token.rstrip(".")
         if bare in EITHER:
             return 0.0
@@ -234,7 +253,7 @@ class _Cut:
 
 def _cuts(text: str, start: int, end: int, model: Model) -> list[_Cut]:
     pairs = _pairs(text, start, end)
-    nesting = _Nesting(pairs)
+    nesting = _Nesting(pairs) if pairs else None
     block = text[start:end]
     lower = block == block.lower()
     out: list[_Cut] = []
@@ -332,7 +351,7 @@ def _cuts(text: str, start: int, end: int, model: Model) -> list[_Cut]:
                 s += 1.5
             if not head.isalnum() and c not in "“„«「\"(（":
                 s -= 4.0
-        if pairs:
+        if nesting:
             reach = nesting.reaches(e - 1)
             if reach > e - 1 or reach == e - 1 and e - 1 not in pairs:
                 s -= 9.0  # within a quotation or bracket
@@ -347,7 +366,7 @@ def _cuts(text: str, start: int, end: int, model: Model) -> list[_Cut]:
             p, n = text[a - 1], text[b]
             edge = lambda ch: ch.isdigit() or (ch.isalpha() and unicodedata.name(ch, "").startswith("LATIN"))
             if (_is_thai(p) or _is_thai(n)) and not edge(p) and not edge(n) and p not in "([“\"«" and n not in ")]”»":
-                out.append(_Cut(a, b, 4.0 - (9.0 if nesting.reaches(a) >= a else 0.0)))
+                out.append(_Cut(a, b, 4.0 - (9.0 if nesting and nesting.reaches(a) >= a else 0.0)))
         out.sort(key=lambda x: x.end)
     return out
 
