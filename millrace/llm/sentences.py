@@ -38,11 +38,13 @@ from dataclasses import dataclass, field
 from functools import lru_cache
 from itertools import accumulate
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MODEL_WORDS = 100_000
+_HELD = 1 << 24  # characters counted before the counts are sent on
 _SHORT = 16  # a span of at most so many characters is looked at as a whole
 #: Abbreviations that do not end a sentence, and those that may.
 NEVER = frozenset(
@@ -495,21 +497,28 @@ class Tally:
                     c[kind + _DIGITS.sub("0", _clean(t[:-1].lstrip("([\"“„«")))] += n
         return c
 
+    def batch(self) -> pa.RecordBatch:
+        c = self.counts()
+        return pa.RecordBatch.from_arrays([pa.array(list(c), type=pa.string()), pa.array(list(c.values()), type=pa.int64())], ["w", "n"])
+
 
 def learn(documents: DataFrame, size: int = MODEL_WORDS) -> Model:
     """The counts of all documents; the commonest ``size`` words reach the driver."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = Tally()
+        held = 0
         for batch in batches:
-            tally = Tally()
-            for text in batch["text"]:
+            for text in batch.column(0).to_pylist():
                 if text:
                     tally.add(text)
-            c = tally.counts()
-            if c:
-                yield pd.DataFrame({"w": list(c.keys()), "n": list(c.values())})
+                    held += len(text)
+            if held > _HELD:  # several batches share the cleaning of their words
+                yield tally.batch()
+                tally, held = Tally(), 0
+        yield tally.batch()
 
-    counted = documents.select("text").mapInPandas(count, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
+    counted = documents.select("text").mapInArrow(count, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
     rows = counted.orderBy(F.desc("n"), "w").limit(size).collect()
     part = lambda k: {r["w"][1:]: r["n"] for r in rows if r["w"][0] == k}
     return Model(part("s"), part("i"), part("f"), part("t"))
@@ -519,10 +528,11 @@ def split(documents: DataFrame) -> DataFrame:
     """``doc_id, start_char, end_char``: the units of every document."""
     model = learn(documents)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(d, a, b) for d, t in zip(batch["doc_id"], batch["text"], strict=True) for a, b in spans(t, model)]
-            if rows:
-                yield pd.DataFrame(rows, columns=["doc_id", "start_char", "end_char"])
+            found = [spans(t, model) for t in batch.column(1).to_pylist()]
+            row = np.repeat(np.arange(len(found)), [len(f) for f in found])
+            flat = np.array([x for f in found for span in f for x in span], dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(flat[::2]), pa.array(flat[1::2])], ["doc_id", "start_char", "end_char"])
 
-    return documents.select("doc_id", "text").mapInPandas(run, "doc_id bigint, start_char int, end_char int")
+    return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, start_char int, end_char int")
