@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from itertools import cycle
 
 from pyspark.sql import DataFrame
 
@@ -53,25 +54,42 @@ def reach(links: set[tuple[int, int]], start: set[int], forward: bool = True) ->
     return seen
 
 
-def _updaters(units: list[Unit], chain: dict[str, list[int]], inside: set[int]) -> set[int]:
-    """Later writers of a column whose first reader inside the set also writes it."""
-    first: dict[str, int] = {}
-    for k in sorted(inside):
-        for c in units[k].reads:
-            first.setdefault(c, k)
-    return {w for c, k in first.items() if k in chain.get(c, []) for w in chain[c] if w > k}
+def depends(units: list[Unit], models: set[str]) -> set[int]:
+    """The least set of units that holds every unit which
+
+    * needs one of the models,
+    * reads a column that a unit of the set wrote last before it, or
+    * writes anew a column whose first reader in the set changed it.
+    """
+    wrote_last: list[dict[str, int]] = []
+    so_far: dict[str, int] = {}
+    for k, u in enumerate(units):
+        wrote_last.append({c: so_far[c] for c in u.reads if c in so_far})
+        so_far |= dict.fromkeys(u.writes, k)
+
+    def follows(k: int, inside: set[int]) -> bool:
+        return bool(models & set(units[k].models)) or not inside.isdisjoint(wrote_last[k].values())
+
+    def changes(k: int, inside: set[int]) -> bool:
+        readers = {c: min((j for j in inside if c in units[j].reads), default=k) for c in units[k].writes}
+        return any(j < k and c in units[j].writes for c, j in readers.items())
+
+    inside: set[int] = set()
+    for rule in cycle((follows, changes)):  # a column's first reader is known once all followers are
+        grown = inside
+        while more := {k for k in range(len(units)) if k not in grown and rule(k, grown)}:
+            grown = grown | more
+            if rule is changes:
+                break
+        if grown == inside and rule is changes:
+            return inside
+        inside = grown
+    return inside
 
 
 def split(units: list[Unit], models: set[str]) -> tuple[list[Unit], list[Unit]]:
     """(units that depend on the models, units whose result can be cached), each in order."""
-    links, chain = edges(units), writers(units)
-    inside = {k for k, u in enumerate(units) if models & set(u.models)}
-    while True:
-        grown = reach(links, inside)
-        grown |= _updaters(units, chain, grown)
-        if grown == inside:
-            break
-        inside = grown
+    inside = depends(units, models)
     return [u for k, u in enumerate(units) if k in inside], [u for k, u in enumerate(units) if k not in inside]
 
 

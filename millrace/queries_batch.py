@@ -193,7 +193,11 @@ def vq_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.nearest_code(e, _codebook(e)).select("vec_id", "code", F.round("dist", 6).alias("dist"))
 
 
-@query()
+@query(f"""
+WITH p AS (SELECT a.vec_id, a.embedding::DOUBLE[] AS x, b.vec_id AS code, b.embedding::DOUBLE[] AS y, round({_SQ}, 9) AS d FROM embeddings a JOIN embeddings b ON b.vec_id < 16),
+f AS (SELECT vec_id, arg_min(code, (d, code)) AS c1, arg_min(list_transform(list_zip(x, y), lambda z: z[1] - z[2]), (d, code)) AS embedding FROM p GROUP BY vec_id),
+q AS (SELECT a.vec_id, c1, b.vec_id AS code, round({_SQ}, 9) AS d FROM f a JOIN embeddings b ON b.vec_id < 16)
+SELECT vec_id, [any_value(c1), arg_min(code, (d, code))]::BIGINT[] AS codes FROM q GROUP BY vec_id""")
 def rvq_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
     return joins.residual_codes(e, _codebook(e), 2).select("vec_id", "codes")

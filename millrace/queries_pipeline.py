@@ -96,6 +96,18 @@ SQL = {
 SELECT 'annotations' AS parent_table, id AS parent_id, kind AS child_kind, pos::INT AS child_pos FROM kids
 UNION ALL
 SELECT 'refs', ref_id, 'sentence', unnest(range(coalesce(len(sentences), 0)))::INT FROM ({_REFS1})""",
+    "p4_polygons": _MASKS + """
+, p AS (SELECT id, kind, x, (row_number() OVER (PARTITION BY id ORDER BY n) - 1)::INT AS pos FROM k WHERE kind IS NOT NULL),
+c AS (SELECT id, pos, CASE WHEN json_type(x, '$[0]') = 'ARRAY' THEN flatten(x::DOUBLE[][]) ELSE x::DOUBLE[] END AS coords FROM p WHERE kind = 'polygon')
+SELECT id AS parent_id, pos AS child_pos, coords, (len(coords) // 2)::INT AS n_points FROM c""",
+    "p4_masks": _MASKS + """
+, p AS (SELECT id, kind, x, (row_number() OVER (PARTITION BY id ORDER BY n) - 1)::INT AS pos FROM k WHERE kind IS NOT NULL),
+i AS (SELECT id, pos, kind, (x->'$.size[0]')::INT AS height, (x->'$.size[1]')::INT AS width, CASE WHEN kind = 'run_lengths' THEN (x->'$.counts')::BIGINT[] END AS runs, CASE WHEN kind = 'coded_mask' THEN x->>'$.counts' END AS coded
+      FROM p WHERE kind <> 'polygon'),
+o AS (SELECT id, 0 AS pos, CASE WHEN json_valid(cnt) AND json_type(cnt) = 'ARRAY' THEN 'run_lengths' ELSE 'coded_mask' END AS kind, CASE WHEN json_type(j) = 'OBJECT' THEN j WHEN len(els) = 1 THEN els[1] END AS w, cnt
+      FROM r WHERE NOT bad AND trim(coalesce(cnt, '')) <> '' AND id NOT IN (SELECT id FROM inside))
+SELECT id AS parent_id, pos::INT AS child_pos, kind, height, width, runs, coded FROM i
+UNION ALL SELECT id, pos::INT, kind, (w->'$.size[0]')::INT, (w->'$.size[1]')::INT, CASE WHEN kind = 'run_lengths' THEN cnt::JSON::BIGINT[] END, CASE WHEN kind = 'coded_mask' THEN cnt END FROM o""",
     "p4_sentences": f"""
 SELECT ref_id, (p - 1)::INT AS child_pos, s.sent_id AS sent_id, s.sent AS sent, coalesce(len(s.tokens), 0)::INT AS n_tokens
 FROM (SELECT ref_id, unnest(sentences) AS s, generate_subscripts(sentences, 1) AS p FROM ({_REFS1}))""",

@@ -62,7 +62,11 @@ def mask_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("conv_id", (F.col("n") + 1).alias("n"), rewards.code_ids(v).alias("codes"), F.size(rewards.masks(v)).alias("n_masks"), rewards.non_repeat_reward(v).alias("fresh"))
 
 
-@query()
+@query(f"""
+WITH t AS (SELECT conv_id, (n - 1)::INT AS n, t.value AS v FROM {_TURNS} WHERE t.value LIKE '%<|mt_%'),
+a AS (SELECT conv_id, n, regexp_replace(v, '(<\\|mt_start\\|>)(<\\|mt_\\d+\\|>)(<\\|mt_\\d+\\|>)(?:<\\|mt_\\d+\\|>)+<\\|mt_end\\|>', '\\1\\2\\3<|mt_end|>', 'g') AS v FROM t),
+b AS (SELECT conv_id, n, regexp_replace(v, '(<\\|mt_start\\|>)(<\\|mt_\\d+\\|>)(<\\|mt_end\\|>)', '\\1\\2<|mt_9999|><|mt_end|>', 'g') AS v FROM a)
+SELECT conv_id, n, regexp_replace(v, '(?s)(<\\|mt_start\\|>)(<\\|mt_\\d+\\|>)([^<]|<[^|]|<\\|[^m]|<\\|m[^t]|<\\|mt[^_]|(?:<(?:\\|(?:m(?:t)?)?)?)?$)', '\\1\\2<|mt_9999|><|mt_end|>\\3', 'g') AS fixed FROM b""")
 def repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _conversations(spark, sf_dir).select("conv_id", F.posexplode("conversations").alias("n", "t")).where(F.col("t.value").contains("<|mt_"))
     return t.select("conv_id", "n", rewards.repair(F.col("t.value")).alias("fixed"))
