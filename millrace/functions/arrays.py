@@ -201,8 +201,39 @@ def valid_polygons(polygons: Column) -> Column:
     return F.filter(polygons, lambda p: (F.size(p) % 2 == 0) & (F.size(p) >= 6))
 
 
-def grid_positions(segments: Column, merge: int = 2) -> Column:
-    """Three-axis positions of a sequence of ``struct<n,t,h,w>`` segments.
+#: Placeholder tokens of images and videos.
+IMAGE_TOKEN, VIDEO_TOKEN = 151655, 151656
+_SEGMENT = "struct<n:int,t:int,h:int,w:int,dt:double>"
+
+
+def media_segments(ids: Column, images: Column, videos: Column | None = None, seconds: Column | None = None, per_second: float = 2.0, merge: int = 2) -> Column:
+    """Text and grid segments of a token sequence: the grids (``array<struct<t,h,w>>``) stand where their placeholder tokens begin.
+
+    A video's frames lie ``seconds * per_second`` apart, an image has one time.
+    Placeholders beyond the listed grids are text.
+    """
+    none = F.array().cast("array<struct<t:int,h:int,w:int>>")
+    films, gaps = none if videos is None else videos, F.array().cast("array<double>") if seconds is None else seconds.cast("array<double>")
+    marks = F.array_compact(F.transform(ids, lambda x, i: F.when(x.isin(IMAGE_TOKEN, VIDEO_TOKEN), F.struct(i.alias("i"), (x == IMAGE_TOKEN).alias("image")))))
+    kind = f"struct<at:int,k:int,v:int,out:array<{_SEGMENT}>>"
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("k"), F.lit(0).alias("v"), F.array().alias("out")).cast(kind)
+    seg = lambda n, t, h, w, dt: F.array(F.struct(n.alias("n"), t.alias("t"), h.alias("h"), w.alias("w"), dt.alias("dt"))).cast(f"array<{_SEGMENT}>")
+    null = F.lit(None)
+
+    def step(acc: Column, m: Column) -> Column:
+        grid = F.when(m["image"], F.get(images, acc["k"])).otherwise(F.get(films, acc["v"]))
+        gap = F.when(m["image"], F.lit(0.0)).otherwise(F.coalesce(F.get(gaps, acc["v"]), F.lit(1.0)) * F.lit(per_second))
+        size = grid["t"] * F.floor(grid["h"] / merge) * F.floor(grid["w"] / merge)
+        more = F.concat(acc["out"], seg(m["i"] - acc["at"], null, null, null, null), seg(F.lit(0), grid["t"], grid["h"], grid["w"], gap))
+        took = F.struct((m["i"] + size).alias("at"), (acc["k"] + m["image"].cast("int")).alias("k"), (acc["v"] + (~m["image"]).cast("int")).alias("v"), more.alias("out")).cast(kind)
+        return F.when((m["i"] < acc["at"]) | grid.isNull(), acc).otherwise(took)
+
+    done = F.aggregate(marks, start, step)
+    return F.concat(done["out"], seg(F.size(ids) - done["at"], null, null, null, null))
+
+
+def grid_positions(segments: Column, merge: int = 2, timed: bool = False) -> Column:
+    """Three-axis positions of a sequence of ``struct<n,t,h,w>`` segments, ``timed`` ones with ``dt``, the time between frames.
 
     A text segment (``n`` tokens, no grid) counts on all axes alike; a grid of
     ``t`` frames has one position per merged patch, offset by where it starts;
@@ -211,14 +242,15 @@ def grid_positions(segments: Column, merge: int = 2) -> Column:
     axes = "array<struct<t:int,h:int,w:int>>"
     is_grid = lambda s: s["t"].isNotNull() & (s["t"] > 0)
     side = lambda c: F.floor(c / merge).cast("int")
-    room = lambda s: F.when(is_grid(s), F.greatest(s["t"], side(s["h"]), side(s["w"]))).otherwise(F.coalesce(s["n"], F.lit(0)))
+    time = lambda k, s: F.floor(k * F.coalesce(s["dt"], F.lit(1.0))).cast("int") if timed else k
+    room = lambda s: F.when(is_grid(s), F.greatest(time(s["t"] - 1, s) + 1, side(s["h"]), side(s["w"]))).otherwise(F.coalesce(s["n"], F.lit(0)))
     # where every segment starts: one number a segment, then all positions at once
     starts = F.aggregate(segments, F.array(F.lit(0)), lambda acc, s: F.concat(acc, F.array((F.element_at(acc, -1) + room(s)).cast("int"))))
 
     def of(s: Column, i: Column) -> Column:
         at, h, w = F.get(starts, i), side(s["h"]), side(s["w"])
         three = lambda t, y, x: F.struct((at + t).cast("int").alias("t"), (at + y).cast("int").alias("h"), (at + x).cast("int").alias("w"))
-        grid = F.transform(F.sequence(F.lit(0), s["t"] * h * w - 1), lambda k: three(F.floor(k / (h * w)), F.floor(k / w) % h, k % w))
+        grid = F.transform(F.sequence(F.lit(0), s["t"] * h * w - 1), lambda k: three(time(F.floor(k / (h * w)), s), F.floor(k / w) % h, k % w))
         words = F.transform(F.sequence(F.lit(0), s["n"] - 1), lambda k: three(k, k, k))
         none = F.array().cast(axes)
         return F.when(is_grid(s), F.when(h * w > 0, grid).otherwise(none)).when(s["n"] > 0, words).otherwise(none)

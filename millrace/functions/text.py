@@ -136,6 +136,24 @@ def pointwise_scores(text: Column) -> Column:
     return F.struct(a.alias("editing_success"), b.alias("overediting"), mean_of(a, b).alias("score"), F.try_variant_get(v, "$.reasoning", "string").alias("reasoning"))
 
 
+def dimension_scores(text: Column) -> Column:
+    """``array<struct<l2, l3, raw>>`` of a judge answer about one first-level dimension: a score under each third level, nested or flat (then without l2).
+
+    ``raw`` is the score as text; a value that is no object is the score itself.  Null where the answer is no JSON object.
+    """
+    flat = F.try_variant_get(json_object(text), "$", "map<string,variant>")
+    raw = lambda v: F.coalesce(F.try_variant_get(v, "$.score", "string"), F.when(~_kind(v).startswith("OBJECT<"), F.try_variant_get(v, "$", "string")))
+    scored = lambda v: F.try_variant_get(v, "$.score", "string").isNotNull()
+    entry = lambda l2, l3, v: F.struct(l2.cast("string").alias("l2"), l3.alias("l3"), raw(v).alias("raw"))
+
+    def of(e: Column) -> Column:
+        inner = F.map_entries(F.try_variant_get(e["value"], "$", "map<string,variant>"))
+        nested = F.transform(F.coalesce(inner, F.array().cast("array<struct<key:string,value:variant>>")), lambda x: entry(e["key"], x["key"], x["value"]))
+        return F.when(scored(e["value"]), F.array(entry(F.lit(None), e["key"], e["value"]))).otherwise(nested)
+
+    return F.flatten(F.transform(F.map_entries(flat), of))
+
+
 #: The tasks of the edit judge.
 JUDGE_TASKS = ("edit_pointwise_score", "edit_pairwise_score", "edit_pairwise_rank")
 

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions import text as texts
 from millrace.operators.batch import row_ids
 
 EPS = 1e-8
@@ -216,6 +217,18 @@ def codebook_ema(old: DataFrame, new: DataFrame, decay: float) -> DataFrame:
     return old.join(right, "code", "left").select("code", n.alias("n"), F.coalesce(blend, F.col("mean")).alias("mean"))
 
 
+def bench_scores(answers: DataFrame, sample: str, level1: str, text: str, level2_of: dict[str, str], renamed: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+    """(``sample, l1, l2, l3, score`` of every judged third level, ``sample, total``) from judge answers of one first-level dimension each.
+
+    Scores stand under their right second level; the total is the mean of the means of
+    the levels, grades that map to nothing are left out.
+    """
+    rows = answers.select(sample, F.col(level1).alias("l1"), F.inline(texts.dimension_scores(F.col(text))))
+    fixed = rehome_scores(rows, level2_of, renamed).select(sample, "l1", "l2", "l3", texts.map_score(F.col("raw")).alias("score"))
+    total = mean_of_means(fixed.where(F.col("score").isNotNull()), "score", sample, "l1", "l2").withColumnRenamed("score", "total")
+    return fixed, total
+
+
 def reduce_metrics(metrics: DataFrame, key: str, value: str) -> DataFrame:
     """Mean of every metric of a long table."""
     return metrics.groupBy(key).agg(F.avg(value).alias(value))

@@ -7,8 +7,10 @@ here ranks rows in a single task.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -189,6 +191,33 @@ def join_parts(df: DataFrame, key: str, column: str, length: str) -> DataFrame:
     return whole.withColumn(column, F.slice(column, F.lit(1), F.col(length)))
 
 
+def restore(df: DataFrame) -> DataFrame:
+    """Rows of dynamic batches in their old order (a distributed sort by position)."""
+    return df.orderBy(RID)
+
+
+def stand_in(df: DataFrame, bad: Column, n: int, seed: int = 0) -> DataFrame:
+    """``_rid, source``: every position with the position to read instead: itself, or for a bad row another one by hash."""
+    other = F.pmod(F.xxhash64(F.lit(seed), RID), F.lit(max(1, n - 1)))
+    shifted = F.when(other >= F.col(RID), other + 1).otherwise(other)  # never itself
+    return df.select(RID, F.when(F.coalesce(bad, F.lit(True)) & F.lit(n > 1), shifted).otherwise(F.col(RID)).cast("bigint").alias("source"))
+
+
+def batch_rewards(df: DataFrame, reward: Callable[[list[dict]], list[dict]], columns: list[str], schema: str, key: str) -> DataFrame:
+    """``key`` and the fields of a reward function of one's own that scores a list of records at once, called per Arrow batch."""
+    names = [f.split()[0] for f in schema.split(", ")]
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            scores = reward(b[columns].to_dict("records"))
+            if len(scores) != len(b):
+                raise ValueError(f"{len(scores)} scores for {len(b)} records")
+            yield pd.DataFrame({key: b[key], **{n: [s.get(n) for s in scores] for n in names}})
+
+    return df.select(key, *[c for c in columns if c != key]).mapInPandas(run, f"{key} {kind}, {schema}")
+
+
 def within_length(df: DataFrame, column: str, most: int) -> DataFrame:
     """Rows whose array has at most ``most`` elements; null arrays have none."""
     return df.where(F.coalesce(F.size(F.col(column)), F.lit(0)) <= most)

@@ -118,6 +118,15 @@ def _best_of_block(k: int, key_type: str):
     return run
 
 
+def embed_codes(codes: DataFrame, key: str, column: str, codebook: DataFrame) -> DataFrame:
+    """``key, embedding``: the sum of the codebook vectors of a row's codes; -1 and unknown codes add nothing, a row without any has null."""
+    flat = codes.select(key, F.explode_outer(column).alias("code"))
+    book = codebook.select("code", F.posexplode("cvec").alias("dim", "x"))
+    parts = flat.join(F.broadcast(book) if bytes_of(codebook) <= BROADCAST_LIMIT else book, "code", "left").groupBy(key, "dim").agg(F.sum("x").alias("x"))
+    put = parts.groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col("dim").isNotNull(), F.struct("dim", "x")))).alias("s"))
+    return put.select(key, F.when(F.size("s") > 0, F.transform("s", lambda t: t["x"])).alias("embedding"))
+
+
 def top_similar(queries: DataFrame, items: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", block: int = 256, chunk: int = 4096) -> DataFrame:
     """The ``k`` most similar items of every query, exactly (ties to the lower id).
 

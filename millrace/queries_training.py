@@ -296,3 +296,41 @@ def user_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
             return scored.groupBy("user_id").agg(F.round(F.avg(self.name), 6).alias(self.name))
 
     return PerUser("value", F.col("value")).compute(table(spark, sf_dir, "events").drop("ts"))
+
+
+@query("""
+WITH t AS (SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN '{"Realism": {"Noise": {"score": ' || p_size % 3 || '}, "Feature Mapping": {"score": "N/A"}}}' ELSE '{"Noise": {"score": ' || p_size % 3 || '}}' END AS x, p_size FROM part)
+SELECT p_partkey, 'Quality' AS l1, 'Detail' AS l2, 'Noise' AS l3, [0.0, 60.0, 100.0][p_size % 3 + 1]::DOUBLE AS score FROM t UNION ALL SELECT p_partkey, 'Quality', 'Feature', 'Feature Matching', NULL FROM t WHERE p_size % 2 = 0""")
+def bench_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = (F.col("p_size") % 3).cast("string")
+    nested = F.concat(F.lit('{"Realism": {"Noise": {"score": '), s, F.lit('}, "Feature Mapping": {"score": "N/A"}}}'))
+    said = F.when(F.col("p_size") % 2 == 0, nested).otherwise(F.concat(F.lit('<think>x</think>{"Noise": {"score": '), s, F.lit("}}")))
+    df = table(spark, sf_dir, "part").select("p_partkey", F.lit("Quality").alias("dim"), said.alias("t"))
+    return aggregates.bench_scores(df, "p_partkey", "dim", "t", {"Noise": "Detail", "Feature Matching": "Feature"}, {"Feature Mapping": "Feature Matching"})[0]
+
+
+@query("""
+WITH b AS (SELECT vec_id AS code, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS d FROM embeddings WHERE vec_id < 16), k AS (SELECT vec_id, label % 16 AS a, vec_id % 20 AS c FROM embeddings),
+u AS (SELECT vec_id, a AS code FROM k UNION ALL SELECT vec_id, c FROM k), s AS (SELECT vec_id, d, round(sum(x), 5) AS x FROM u JOIN b USING (code) GROUP BY vec_id, d)
+SELECT vec_id, list(x ORDER BY d) AS embedding FROM s GROUP BY vec_id""")
+def embed_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two codes a row; codes of 16 and more are not in the codebook."""
+    e = table(spark, sf_dir, "embeddings")
+    codes = e.select("vec_id", F.array((F.col("label") % 16).cast("bigint"), (F.col("vec_id") % 20).cast("bigint")).alias("codes"))
+    book = e.where("vec_id < 16").select(F.col("vec_id").alias("code"), F.transform("embedding", lambda x: x.cast("double")).alias("cvec"))
+    return joins.embed_codes(codes, "vec_id", "codes", book).select("vec_id", F.transform("embedding", lambda x: F.round(x, 5)).alias("embedding"))
+
+
+@query(f"SELECT conv_id, coalesce(num_tokens, 1)::INT AS n FROM {_CONV}")
+def known_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lengths told in the table, 1 where none is."""
+    c = table(spark, sf_dir, "conversations").where("conv_id IS NOT NULL").groupBy("conv_id").agg(F.first("num_tokens").alias("n"))
+    return c.select("conv_id", F.coalesce("n", F.lit(1)).alias("n"))
+
+
+@query()
+def media_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions of whole sequences in which a grid of one frame of two by two patches stands at the first image token."""
+    grid = F.array(F.struct(F.lit(1).alias("t"), F.lit(2).alias("h"), F.lit(2).alias("w")))
+    df = _ids(spark, sf_dir).where(F.size("ids") > 0)
+    return df.select("conv_id", F.size("ids").alias("n"), arrays.grid_positions(arrays.media_segments(F.col("ids"), grid), timed=True).alias("p"))

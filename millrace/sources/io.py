@@ -214,6 +214,21 @@ def append_metrics(spark: SparkSession, path: str, step: int, values: dict[str,
     spark.createDataFrame([(step, k, float(v)) for k, v in values.items()], "step int, key string, value double").write.mode("append").parquet(path)
 
 
+def latest_step(spark: SparkSession, folder: str, form: str = "global_step_{}") -> tuple[str, int] | None:
+    """(path, step) of the newest step folder below ``folder``, None where there is none."""
+    fs, at = hadoop_path(spark, folder)
+    if not fs.exists(at):
+        return None
+    head, tail = form.split("{}")
+    steps = []
+    for f in fs.listStatus(at):
+        name = f.getPath().getName()
+        middle = name[len(head) : len(name) - len(tail)]
+        if f.isDirectory() and name.startswith(head) and name.endswith(tail) and middle.isdigit():
+            steps.append((int(middle), f.getPath().toString()))
+    return (max(steps)[1], max(steps)[0]) if steps else None
+
+
 def steps_to_save(steps: DataFrame, step: str, every: int, last: int) -> DataFrame:
     """Steps at which a checkpoint is due: every so many, and the last one where it is none of them."""
     return steps.where((F.col(step) % every == 0) | (F.col(step) == last))

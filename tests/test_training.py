@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.functions import media
+from millrace.functions import arrays, media
 from millrace.operators import advantage, aggregates, balance, batch, joins, tensors
 from millrace.queries_core import QUERIES
 from millrace.sources import io
@@ -135,3 +135,42 @@ def test_parameter_headers(spark, tmp_path):
 def test_rewards_of_tables(spark):
     rows = QUERIES["reward_scores"](spark, str(DATA)).collect()
     assert rows and all(1.0 <= r.overall <= 3.0 and r.overall == pytest.approx(r.accuracy + r.no_repeat + 1.0) for r in rows)
+
+
+def test_positions_of_media(spark):
+    v, i = arrays.VIDEO_TOKEN, arrays.IMAGE_TOKEN
+    ids = [1, 2, *[i] * 2, 3, *[v] * 12, 4, 5, i]
+    grid = lambda *g: F.array(*[F.struct(F.lit(t).alias("t"), F.lit(h).alias("h"), F.lit(w).alias("w")) for t, h, w in g])
+    a = F.array(*[F.lit(x).cast("bigint") for x in ids])
+    got = spark.range(1).select(arrays.grid_positions(arrays.media_segments(a, grid((1, 2, 4)), grid((3, 4, 4)), F.array(F.lit(25.0))), timed=True).alias("p")).first().p
+    p = [tuple(x) for x in got]
+    assert len(p) == len(ids) and p[:2] == [(0, 0, 0), (1, 1, 1)] and p[2:4] == [(2, 2, 2), (2, 2, 3)] and p[4] == (4, 4, 4)
+    assert p[5:9] == [(5, 5, 5), (5, 5, 6), (5, 6, 5), (5, 6, 6)] and p[9] == (55, 5, 5) and p[13] == (105, 5, 5)
+    assert p[17:] == [(106, 106, 106), (107, 107, 107), (108, 108, 108)]  # a placeholder without a grid is text
+
+
+def test_bench_totals(spark):
+    df = spark.createDataFrame([(1, "Quality", '{"Realism": {"Noise": {"score": 1}, "Logic": {"score": 2}}}'), (1, "Alignment", '{"Color": {"score": 0}}'), (2, "Quality", "no json"), (3, "Quality", '{"A": {"B": 2, "C": "N/A"}}')], "s int, d string, t string")
+    rows, total = aggregates.bench_scores(df, "s", "d", "t", {"Noise": "Detail"}, {})
+    assert {(r.s, r.l2, r.l3): r.score for r in rows.collect()} == {(1, "Detail", "Noise"): 60.0, (1, "Realism", "Logic"): 100.0, (1, "Color", "Color"): 0.0, (3, "A", "B"): 100.0, (3, "A", "C"): None}
+    assert {r.s: r.total for r in total.collect()} == {1: 40.0, 3: 100.0}
+
+
+def test_rewards_of_a_batch(spark):
+    df = spark.createDataFrame([(i, "x" * i) for i in range(5)], "k int, r string")
+    out = batch.batch_rewards(df, lambda rs: [{"overall": float(len(r["r"])), "n": len(rs)} for r in rs], ["r"], "overall double, n bigint", "k")
+    assert {r.k: r.overall for r in out.collect()} == {i: float(i) for i in range(5)}
+    with pytest.raises(Exception, match="scores for"):
+        batch.batch_rewards(df, lambda rs: [], ["r"], "overall double", "k").collect()
+
+
+def test_stand_ins_and_steps(spark, tmp_path):
+    df = spark.createDataFrame([(i, i % 3 == 0) for i in range(30)], "_rid bigint, bad boolean")
+    got = {r._rid: r.source for r in batch.stand_in(df, F.col("bad"), 30).collect()}
+    assert all((got[i] == i) != (i % 3 == 0) and 0 <= got[i] < 30 for i in got)
+    assert io.latest_step(spark, str(tmp_path / "none")) is None
+    for n in (5, 40, 100):
+        (tmp_path / f"global_step_{n}").mkdir()
+    (tmp_path / "global_step_x").mkdir()
+    path, step = io.latest_step(spark, str(tmp_path))
+    assert step == 100 and path.endswith("global_step_100")
