@@ -163,12 +163,27 @@ def matched_iou(truth: pd.Series, predicted: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+def _covered(masks) -> int:
+    """Pixels set in any of several masks: their ranges in order, each counted from where the ones before it end."""
+    edges = [_edges(r) for r in masks]
+    first = np.concatenate([e[1:-1:2] for e in edges]) if edges else np.zeros(0, dtype=np.int64)
+    last = np.concatenate([e[2::2] for e in edges]) if edges else first
+    if not len(first):
+        return 0
+    order = np.argsort(first, kind="stable")
+    first, last = first[order], last[order]
+    seen = np.concatenate(([0], np.maximum.accumulate(last)[:-1]))
+    return int(np.maximum(last - np.maximum(first, seen), 0).sum())
+
+
+@F.pandas_udf(LongType())
+def covered_pixels(masks: pd.Series) -> pd.Series:
+    return masks.map(_covered)
+
+
 def union_area(masks: DataFrame, key: str, runs: str) -> DataFrame:
-    """``key, area``: pixels covered by any mask of a key; ranges are merged by one sweep in the array."""
-    flat = masks.groupBy(key).agg(F.array_sort(F.flatten(F.collect_list(intervals(F.col(runs))))).alias("r"))
-    start = F.struct(F.lit(0).cast("bigint").alias("end"), F.lit(0).cast("bigint").alias("n"))
-    step = lambda acc, x: F.struct(F.greatest(acc["end"], x["b"]).alias("end"), (acc["n"] + F.greatest(x["b"] - F.greatest(x["a"], acc["end"]), F.lit(0).cast("bigint"))).alias("n"))
-    return flat.select(key, F.aggregate("r", start, step, lambda acc: acc["n"]).alias("area"))
+    """``key, area``: pixels covered by any mask of a key."""
+    return masks.groupBy(key).agg(F.collect_list(runs).alias("r")).select(key, covered_pixels("r").alias("area"))
 
 
 @F.pandas_udf(ArrayType(ArrayType(IntegerType())))

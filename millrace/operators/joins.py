@@ -149,9 +149,20 @@ def similarity_matrix(a: DataFrame, b: DataFrame, key: str, vector: str) -> Data
     """``key, sims``: the cosine of every row with every row of the small side ``b`` (checked), in the order of its keys."""
     if bytes_of(b) > BROADCAST_LIMIT:
         raise ValueError("the second side is too large for a matrix in one row; use top_similar")
-    side = b.agg(F.transform(F.array_sort(F.collect_list(F.struct(key, vector))), lambda x: arrays.normalise(x[vector])).alias("_m"))
-    own = arrays.normalise(F.col(vector))
-    return a.join(F.broadcast(side), F.lit(True)).select(key, F.transform("_m", lambda v: arrays.dot(own, v)).alias("sims"))
+    side = b.where(F.col(vector).isNotNull()).select(F.col(vector).cast("array<double>")).orderBy(key).collect()  # its size was checked
+    m = np.array([r[0] for r in side], dtype=float).reshape(len(side), -1)
+    m = m / np.linalg.norm(m, axis=1, keepdims=True) if len(m) else m
+
+    @F.pandas_udf("array<double>")
+    def against(v: pd.Series) -> pd.Series:
+        known = [x for x in v if x is not None]
+        if not known or not len(m):
+            return pd.Series([None] * len(v), dtype=object)
+        x = np.stack(known).astype(float)
+        sims = iter((x / np.linalg.norm(x, axis=1, keepdims=True)) @ m.T)
+        return pd.Series([None if y is None else next(sims) for y in v])
+
+    return a.select(key, against(F.col(vector).cast("array<double>")).alias("sims"))
 
 
 def paired_similarity(pairs: DataFrame, a: str, b: str) -> DataFrame:

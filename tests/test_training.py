@@ -174,3 +174,10 @@ def test_stand_ins_and_steps(spark, tmp_path):
     (tmp_path / "global_step_x").mkdir()
     path, step = io.latest_step(spark, str(tmp_path))
     assert step == 100 and path.endswith("global_step_100")
+
+
+def test_similarity_matrix(spark):
+    df = spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 2.0]), (3, None)], "k int, v array<double>")
+    got = {r.k: r.sims for r in joins.similarity_matrix(df, df.where("k = 2"), "k", "v").collect()}
+    assert got[1] == pytest.approx([0.8]) and got[2] == pytest.approx([1.0]) and got[3] is None
+    assert joins.paired_similarity(df.where("k = 1").withColumn("w", F.col("v")), "v", "w").first().sim == pytest.approx(1.0)
