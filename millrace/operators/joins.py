@@ -15,6 +15,7 @@ from millrace.runtime import bytes_of
 
 BROADCAST_LIMIT = 64 << 20
 BLOCK_CODES = 4096
+MATRIX_ROWS = 1 << 14
 
 
 def refs_with_annotations(refs: DataFrame, annotations: DataFrame) -> DataFrame:
@@ -147,9 +148,9 @@ def top_similar(queries: DataFrame, items: DataFrame, k: int, key: str = "vec_id
 
 def similarity_matrix(a: DataFrame, b: DataFrame, key: str, vector: str) -> DataFrame:
     """``key, sims``: the cosine of every row with every row of the small side ``b`` (checked), in the order of its keys."""
-    if bytes_of(b) > BROADCAST_LIMIT:
+    if b.count() > MATRIX_ROWS:
         raise ValueError("the second side is too large for a matrix in one row; use top_similar")
-    side = b.where(F.col(vector).isNotNull()).select(F.col(vector).cast("array<double>")).orderBy(key).collect()  # its size was checked
+    side = b.where(F.col(vector).isNotNull()).select(F.col(vector).cast("array<double>")).orderBy(key).collect()  # at most MATRIX_ROWS
     m = np.array([r[0] for r in side], dtype=float).reshape(len(side), -1)
     m = m / np.linalg.norm(m, axis=1, keepdims=True) if len(m) else m
 
