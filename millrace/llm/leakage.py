@@ -8,8 +8,9 @@ then the slots are checked:
 
 * equal slots: a verbatim quotation (``found``);
 * other slots, equal to each other at the same places as in the test item: a
-  re-parameterised question (``reparameterised``); windows whose slots are not
-  consistent in that sense are no match.
+  re-parameterised question of every test item of that template
+  (``reparameterised``); windows whose slots are not consistent in that sense are
+  no match.
 
 A word is a name when a public tokenizer's vocabulary has no piece for it, so
 its type never depends on the tables.  ``found`` does not depend on it at all:
@@ -175,21 +176,21 @@ def found(refs: DataFrame, conversations: DataFrame, tokenizer: str = TOKENIZER)
 def reparameterised(refs: DataFrame, conversations: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """``sent_id, conv_id, test_slots, corpus_slots, n_windows``: conversations that ask a test item again with other slots.
 
-    Windows of one template and one pattern of equal slots form a class; the least
-    ``sent_id`` of the class stands for it, so there is at most one row for every
-    class that a conversation holds.  The slots are those of the least window.
+    One row for every test sentence and every conversation with a window of the
+    same template, slots equal to each other at the same places and other slots than
+    the sentence has.  A window that quotes the sentence itself is none; one that
+    quotes another sentence is.  The slots are those of the least windows,
+    ``n_windows`` counts the conversation's windows.
     """
-    classes, _ = eval_classes(refs)
+    classes, members = eval_classes(refs)
     test = materialize(windows(classes, "class_id", "words", tokenizer, templates=True), "p5-templates")
     hits = windows(corpus_values(conversations), "conv_id", "value", tokenizer, bitmap(test), templates=True).drop("bit")
-    of_class = test.groupBy("template", "same").agg(F.min(F.struct("class_id", "given")).alias("t"))
-    met = _meet(hits, of_class.select("template", "same", F.col("t.class_id").alias("sent_id"), F.col("t.given").alias("test_slots")), ["template", "same"], "conv_id")
-    quoted = test.select("template", "slots").distinct()
-    # a window of equal slots is a quotation, not a re-parameterised one
-    other = met.join(F.broadcast(quoted) if quoted.count() <= BROADCAST_WINDOWS else quoted, ["template", "slots"], "left_anti")
-    return other.groupBy("sent_id", "conv_id").agg(F.min(F.struct("test_slots", F.col("given").alias("corpus_slots"))).alias("s"), F.count_distinct("template", "slots").alias("n_windows")).select(
-        "sent_id", "conv_id", "s.test_slots", "s.corpus_slots", "n_windows"
-    )
+    # one row for every window of a conversation, whatever the number of its turns
+    hits = hits.groupBy("conv_id", "template", "same", "slots").agg(F.min("given").alias("given"))
+    of_class = test.groupBy("class_id", "template", "same").agg(F.min("given").alias("test_slots"), F.collect_set("slots").alias("own"))
+    met = _meet(hits, of_class, ["template", "same"], "conv_id").where(~F.array_contains("own", F.col("slots")))
+    told = met.groupBy("class_id", "conv_id").agg(F.min(F.struct("test_slots", F.col("given").alias("corpus_slots"))).alias("s"), F.count_distinct("template", "slots").alias("n_windows"))
+    return told.join(members, "class_id").select("sent_id", "conv_id", "s.test_slots", "s.corpus_slots", "n_windows")
 
 
 def report(refs: DataFrame, conversations: DataFrame) -> DataFrame:

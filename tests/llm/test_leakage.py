@@ -81,3 +81,35 @@ def test_empty(spark):
     refs, conv = frames(spark, [("val", S)], [[S]])
     assert leakage.found(refs.limit(0), conv).count() == 0 and leakage.found(refs, conv.limit(0)).count() == 0
     assert leakage.report(refs, conv).first().n_conversations == 1
+
+
+def test_reparameterised_brute_force(spark):
+    """Every pair of the smallest tables, also of sentences with equal words and of conversations that quote another sentence."""
+    refs, conv = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("refs", "conversations"))
+    names = text.public_words()
+
+    def of(ws):
+        out = {}
+        for k in range(len(ws) - 7):
+            w = ws[k : k + 8]
+            kinds = [leakage.kind_of(x, names) for x in w]
+            slots = tuple(x for x, y in zip(w, kinds, strict=True) if x is not y)
+            if leakage.MIN_FIXED <= 8 - len(slots) < 8:
+                out.setdefault((tuple(kinds), tuple(slots.index(x) for x in slots)), set()).add(slots)
+        return out
+
+    test = {s.sent_id: of(text.quoted_words(s.sent)) for r in refs.collect() if r.split and r.split.strip().lower() in ("val", "testa", "testb") for s in r.sentences or []}
+    want = {}
+    for c in conv.where("conv_id IS NOT NULL").collect():
+        for m in c.conversations or []:
+            for key, there in of(text.quoted_words(m.value)).items():
+                for sent, own in test.items():
+                    want.setdefault((sent, c.conv_id), set()).update((key, s) for s in there - own.get(key, there))
+    rows = leakage.reparameterised(refs, conv).collect()
+    assert {(r.sent_id, r.conv_id): r.n_windows for r in rows} == {k: len(v) for k, v in want.items() if v} and len(rows) == len({(r.sent_id, r.conv_id) for r in rows})
+
+
+def test_reparameterised_gives_every_sentence(spark):
+    s = "put {} next to the old box and turn it"
+    refs, conv = frames(spark, [("val", s.format(n)) for n in ("Wexopari", "Lumotaki", "Wexopari")], [[s.format("Zipolaru")], [s.format("Lumotaki")]])
+    assert {(r.sent_id, r.conv_id) for r in leakage.reparameterised(refs, conv).collect()} == {(0, 0), (1, 0), (2, 0), (0, 1), (2, 1)}
