@@ -4,14 +4,15 @@ Every question of a conversation is paired with the element that follows it.
 Labelling functions vote for or against each defect, each from evidence of its
 own: no function of a defect fires only where another one does.  Per defect, an
 expectation-maximisation label model (``labelmodel``) weighs them by how they agree
-over all pairs, and a label is kept above a cutoff that was validated on held-out
-labelled pairs: sound pairs of the table (``HELD_OUT``, chosen by hash) and the same
-pairs with one defect put in (the other half of them anchors the fit).  A pair may keep several labels (``labels``);
+over all pairs, and a label is kept above a cutoff that was validated on
+labelled pairs: one half (by hash) of all sound pairs of the table and the same
+pairs with one defect put in.  The other half anchors the fit, with the weight of
+``ANCHOR`` pairs, so that the defects put in do not outweigh those found.  A pair may keep several labels (``labels``);
 ``found`` reports the first kept one in the order of ``DEFECTS``, in which a defect
 stands before those it brings along (a copied question has no end mark either).
 
 The language of a text is told by its script and by character trigrams
-(``langid``), fitted on a bounded sample of labelled documents.
+(``langid``), fitted on all labelled documents and all turns.
 
 Votes are taken per row before repeats are removed, so the shuffle carries a few
 bytes a pair and never a text; the label model sees the counts of vote patterns
@@ -33,15 +34,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 from millrace.llm import labelmodel, langid
 from millrace.llm.langid import Languages
 from millrace.llm.text import plain
 from millrace.runtime import materialize
 
-HELD_OUT, HELD_OUT_LENGTH = 400, 2_000  # pairs the cutoffs are validated on, and the longest text among them
-ADAPTED = 4_000  # turns the language model is fitted on besides the labelled documents
+ANCHOR = 400  # pairs that all the labelled ones together count as in the fit
 DEFECTS = ("empty", "copy", "refusal", "truncated", "other_language")
 _TAG = re.compile(r"<\|[^<>|]*\|>|</?[A-Za-z][^<>]*>")
 _TAG_HEAD = re.compile(r"<(?:\|[^<>\s]*|/?[A-Za-z][^<>]*|/)?\Z")  # a tag that is not closed up to the end
@@ -316,21 +315,72 @@ def votes(question: str | None, answer: str | None, wq: str | None = None, wa: s
 _SIGN = {-1: "-", 0: "0", 1: "+"}
 
 
-def _patterns(questions: list[str | None], answers: list[str | None], languages: Languages) -> list[list[str]]:
-    """The vote patterns of a batch of pairs, one text per defect."""
+def _signs(v: dict[str, tuple[int, ...]]) -> list[str]:
+    return ["".join(_SIGN[x] for x in v[d]) for d in DEFECTS]
+
+
+def _patterns(questions: list[str | None], answers: list[str | None], numbers: list[int], languages: Languages, memo: dict) -> tuple[list[list[str]], list[list[str]]]:
+    """The vote patterns of a batch of pairs, one text per defect, and those of the labelled pairs made of each sound one."""
     body = [None if t is None else prose(t) for t in (*questions, *answers)]
     told = tell_languages(body, languages)
-    out = []
-    for n, (q, a) in enumerate(zip(questions, answers, strict=True)):
-        v = votes(q, a, told[n], told[len(questions) + n], body[n], body[len(questions) + n])
-        out.append(["".join(_SIGN[x] for x in v[d]) for d in DEFECTS])
-    return out
+    many = len(questions)
+    out = [_signs(votes(q, a, told[n], told[many + n], body[n], body[many + n])) for n, (q, a) in enumerate(zip(questions, answers, strict=True))]
+    sound = [n for n in range(many) if questions[n] and answers[n] and not any("+" in x for x in out[n])]
+    return out, _labelled(sound, questions, answers, numbers, body, told, out, languages, memo)
+
+
+def _labelled(sound: list[int], questions: list, answers: list, numbers: list[int], body: list, told: list, patterns: list[list[str]], languages: Languages, memo: dict) -> list[list[str]]:
+    """For every pair of a batch the labelled ones made of it, as half, defect put in (``_SOUND``: none) and vote patterns; only sound pairs have some."""
+    many = len(questions)
+    made: list[list[str]] = [[] for _ in range(many)]
+    tongue = {n: told[n] or (script(body[n]) if script(body[n]) != "latin" else None) for n in sound}
+    whole = [n for n in sound if not _parsed(answers[n])[0]]
+    spoken: dict[str, list[int]] = {}  # full answers by the language of their questions
+    for n in whole:
+        if tongue[n] and len(_units(answers[n])) >= 4:
+            spoken.setdefault(tongue[n], []).append(n)
+    cut = {n: " ".join(w[: len(w) * 2 // 3]).rstrip(_END + _AFTER_END + ",;:") for n in whole if len(w := answers[n].split(" ")) > 4}
+    cut_body = [prose(a) for a in cut.values()]
+    cut_told = dict(zip(cut, zip(tell_languages(cut_body, languages), cut_body, strict=True), strict=True))
+    others = {t: [u for u in sorted(spoken) if u != t] for t in {*tongue.values()} if t}
+    refusals = dict(zip(_REFUSALS, tell_languages(list(_REFUSALS.values()), languages), strict=True))
+
+    def voted(n: int, a: str | None, wa: str | None) -> list[str]:
+        """Votes on an answer that is made of the question alone; questions come again and again."""
+        key = questions[n], a
+        if key not in memo:
+            if len(memo) > 1 << 15:
+                memo.clear()
+            memo[key] = _signs(votes(questions[n], a, told[n], wa, body[n]))
+        return memo[key]
+
+    for n in sound:
+        q, half, k = questions[n], numbers[n] & 1, numbers[n] >> 1
+        put = lambda d, p: made[n].append(f"{half}{d}{''.join(p)}")  # noqa: B023, E731
+        put(_SOUND, patterns[n])
+        put(DEFECTS.index("empty"), voted(n, (None, "", " ", "...", "<p></p>", "[]")[k % 6], None))
+        put(DEFECTS.index("copy"), voted(n, (q, q.upper(), f'Q: "{q}"')[k % 3], told[n]))
+        if tongue[n] in _REFUSALS:
+            put(DEFECTS.index("refusal"), voted(n, _REFUSALS[tongue[n]], refusals[tongue[n]]))
+        if n in cut:
+            put(DEFECTS.index("truncated"), _signs(votes(q, cut[n], told[n], cut_told[n][0], body[n], cut_told[n][1])))
+        if tongue[n] and others[tongue[n]]:
+            there = spoken[others[tongue[n]][k % len(others[tongue[n]])]]  # every other language in turn
+            m = there[k // 7 % len(there)]
+            put(DEFECTS.index("other_language"), _signs(votes(q, answers[m], told[n], told[many + m], body[n], body[many + m])))
+    return made
+
+
+_SOUND = len(DEFECTS)
 
 
 def _patterns_udf(languages: Languages):
-    @F.pandas_udf(ArrayType(StringType()))
-    def udf(question: pd.Series, answer: pd.Series) -> pd.Series:
-        return pd.Series(_patterns(list(question), list(answer), languages))
+    memo: dict = {}
+
+    @F.pandas_udf("patterns array<string>, made array<string>")
+    def udf(question: pd.Series, answer: pd.Series, number: pd.Series) -> pd.DataFrame:
+        patterns, made = _patterns(list(question), list(answer), number.tolist(), languages, memo)
+        return pd.DataFrame({"patterns": patterns, "made": made})
 
     return udf
 
@@ -351,63 +401,49 @@ def pairs(conversations: DataFrame) -> DataFrame:
 
 
 def pair_votes(conversations: DataFrame, languages: Languages) -> DataFrame:
-    """``conv_id, turn, patterns``: the votes on every pair, repeats counted once."""
-    voted = pairs(conversations).select("conv_id", "turn", "ingested_at", _patterns_udf(languages)("question", "answer").alias("patterns"))
-    newest = voted.groupBy("conv_id", "turn").agg(F.max(F.struct("ingested_at", "patterns")).alias("r"))
-    return newest.select("conv_id", "turn", F.col("r.patterns").alias("patterns"))
+    """``conv_id, turn, patterns, made``: the votes on every pair and on the labelled ones made of it, repeats counted once."""
+    number = F.pmod(F.xxhash64(F.lit(11), "conv_id", "turn"), F.lit(1 << 30))
+    voted = pairs(conversations).select("conv_id", "turn", "ingested_at", _patterns_udf(languages)("question", "answer", number).alias("v"))
+    newest = voted.groupBy("conv_id", "turn").agg(F.max(F.struct("ingested_at", "v")).alias("r"))
+    return newest.select("conv_id", "turn", "r.v.patterns", "r.v.made")
 
 
-#: Refusals put into held-out pairs.
+#: Refusals put into sound pairs.
 _REFUSALS = {
     "en": "I'm sorry, but I am not able to answer this question.", "de": "Das kann ich leider nicht beantworten.", "fr": "Je suis désolé, je ne peux pas répondre à cette question.",
     "es": "Lo siento, no puedo responder a esta pregunta.", "ru": "Извините, я не могу ответить на этот вопрос.", "zh": "抱歉，我无法回答这个问题。", "ja": "申し訳ありませんが、お答えできません。",
 }
 
 
-def held_out(rows: list[tuple[str | None, str | None]], languages: Languages) -> list[list[tuple[tuple[int, ...], bool]]]:
-    """Per defect the labelled vote patterns of sound pairs and of the same pairs with one defect put in."""
-    told = _patterns([q for q, _ in rows], [a for _, a in rows], languages)
-    sound = [r for r, p in zip(rows, told, strict=True) if r[0] and r[1] and not any("+" in x for x in p)]
-    asked = [prose(q) for q, _ in sound]
-    tongue = [t or (script(q) if script(q) != "latin" else None) for t, q in zip(tell_languages(asked, languages), asked, strict=True)]
-    spoken: dict[str, list[str]] = {}  # full answers by the language of their questions
-    for (_, a), t in zip(sound, tongue, strict=True):
-        if t and len(_units(a)) >= 4 and not _parsed(a)[0]:
-            spoken.setdefault(t, []).append(a)
-    made: list[tuple[str, str | None, int]] = [(q, a, -1) for q, a in sound]
-    for n, (q, a) in enumerate(sound):
-        made.append((q, (None, "", " ", "...", "<p></p>", "[]")[n % 6], DEFECTS.index("empty")))
-        made.append((q, (q, q.upper(), f'Q: "{q}"')[n % 3], DEFECTS.index("copy")))
-        if tongue[n] in _REFUSALS:
-            made.append((q, _REFUSALS[tongue[n]], DEFECTS.index("refusal")))
-        words = a.split(" ")
-        if len(words) > 4 and not _parsed(a)[0]:
-            made.append((q, " ".join(words[: len(words) * 2 // 3]).rstrip(_END + _AFTER_END + ",;:"), DEFECTS.index("truncated")))
-        others = [t for t in sorted(spoken) if t != tongue[n]] if tongue[n] else []
-        if others:
-            there = spoken[others[n % len(others)]]  # every other language in turn
-            made.append((q, there[n % len(there)], DEFECTS.index("other_language")))
-    patterns = _patterns([m[0] for m in made], [m[1] for m in made], languages)
-    return [[(_value(p[d]), m[2] == d) for p, m in zip(patterns, made, strict=True)] for d in range(len(DEFECTS))]
-
-
 def _value(pattern: str) -> tuple[int, ...]:
     return tuple({"-": -1, "0": 0, "+": 1}[c] for c in pattern)
 
 
-def posteriors(counts: list[dict[tuple[int, ...], int]], labelled: list[list[tuple[tuple[int, ...], bool]]]) -> dict[tuple[int, str], tuple[float, float]]:
-    """(defect number, pattern) -> (posterior, cutoff): fitted on the counts of all pairs and half of the labelled ones, the cutoff on the other half."""
+def posteriors(counts: list[dict[tuple[int, ...], int]], labelled: list[tuple[list, list]]) -> dict[tuple[int, str], tuple[float, float]]:
+    """(defect number, pattern) -> (posterior, cutoff): fitted on the counts of all pairs and one half of the labelled ones, the cutoff on the other half."""
     out: dict[tuple[int, str], tuple[float, float]] = {}
     for d, counted in enumerate(counts):
         if not counted:
             continue
-        model = labelmodel.fit(counted, labelled[d][::2])
-        bar = labelmodel.cutoff(model, labelled[d][1::2])
+        model = labelmodel.fit(counted, labelled[d][0])
+        bar = labelmodel.cutoff(model, labelled[d][1])
         for p in counted:
             out[d, "".join(_SIGN[v] for v in p)] = (model.posterior(p), bar)
     return out
 
 
+def labelled_counts(voted: DataFrame) -> list[tuple[list, list]]:
+    """Per defect the labelled vote patterns ``(votes, has the defect, weight)`` of one half and ``(.., number)`` of the other: at most 5 * 3^5 * 4 rows."""
+    each = voted.select(F.explode("made").alias("m")).groupBy("m").agg(F.count(F.lit(1)).alias("n")).withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(len(DEFECTS) - 1))))
+    kind = F.substring("m", 2, 1).cast("int")
+    pattern = F.col("m").substr(F.col("d") * 5 + 3, F.lit(5))
+    rows = each.groupBy(F.substring("m", 1, 1).cast("int").alias("half"), "d", (kind == F.col("d")).alias("has"), pattern.alias("p")).agg(F.sum("n").alias("n"), F.sum(F.when(kind == _SOUND, F.col("n"))).alias("sound")).collect()
+    sound = sum(r["sound"] or 0 for r in rows if r["d"] == 0)
+    weight = min(1.0, ANCHOR / max(1, sound))
+    halves = lambda d, half, w: [(_value(r["p"]), r["has"], r["n"] * w) for r in rows if r["d"] == d and r["half"] == half]
+    return [(halves(d, 0, weight), halves(d, 1, 1)) for d in range(len(DEFECTS))]
+
+
 def pattern_counts(voted: DataFrame) -> list[dict[tuple[int, ...], int]]:
     """Per defect the number of pairs of every vote pattern: at most 5 * 3^5 rows."""
     rows = voted.select(F.posexplode("patterns").alias("defect", "pattern")).groupBy("defect", "pattern").agg(F.count(F.lit(1)).alias("n")).collect()
@@ -415,24 +451,16 @@ def pattern_counts(voted: DataFrame) -> list[dict[tuple[int, ...], int]]:
 
 
 def fitted_languages(conversations: DataFrame, documents: DataFrame) -> Languages:
-    """The language model of the labelled documents, fitted on with a bounded sample of the turns themselves (about ``ADAPTED``, by hash)."""
-    model = langid.learn(documents)
-    turns = conversations.where(F.col("conv_id").isNotNull() & (F.size("conversations") > 0)).select("conv_id", F.posexplode("conversations.value").alias("n", "v"))
-    n = conversations.agg(F.sum(F.greatest(F.size("conversations"), F.lit(0)))).first()[0] or 0
-    some = F.pmod(F.xxhash64(F.lit(13), "conv_id", "n"), F.lit(1_000_003)) < F.lit(int(min(1.0, ADAPTED / max(1, n)) * 1_000_003) + 1)
-    rows = turns.where(some & (F.length("v") <= HELD_OUT_LENGTH)).select("v").limit(2 * ADAPTED).collect()
-    return langid.adapt(model, [prose(r["v"]) for r in rows])
+    """The language model of the labelled documents, fitted on with the turns themselves."""
+    turns = conversations.where(F.col("conv_id").isNotNull()).select(F.explode("conversations.value").alias("v")).where(F.col("v").isNotNull())
+    return langid.adapt(langid.learn(documents), turns, prose)
 
 
 def labels(conversations: DataFrame, documents: DataFrame) -> DataFrame:
     """``conv_id, turn, defect, posterior``: every label kept, several a pair where several pass their cutoffs."""
     languages = fitted_languages(conversations, documents)
     voted = materialize(pair_votes(conversations, languages), "p1-votes")
-    counts = pattern_counts(voted)
-    share = min(1.0, HELD_OUT / max(1, sum(counts[0].values())))
-    some = F.pmod(F.xxhash64(F.lit(11), "conv_id", "turn"), F.lit(1_000_003)) < F.lit(int(share * 1_000_003) + 1)
-    rows = pairs(conversations).where(some & (F.length("answer") <= HELD_OUT_LENGTH) & (F.length("question") <= HELD_OUT_LENGTH)).select("question", "answer").limit(4 * HELD_OUT).collect()
-    labelled = held_out([(r["question"], r["answer"]) for r in rows], languages)
+    counts, labelled = pattern_counts(voted), labelled_counts(voted)
     kept = [(d, p, float(post)) for (d, p), (post, bar) in posteriors(counts, labelled).items() if post >= bar]
     known = voted.sparkSession.createDataFrame(kept, "defect_no int, pattern string, posterior double")
     flat = voted.select("conv_id", "turn", F.posexplode("patterns").alias("defect_no", "pattern")).where(F.col("pattern").contains("+"))

@@ -1,22 +1,21 @@
 """Language of short texts by character trigrams, fitted on labelled documents.
 
 A naive Bayes model over hashed trigrams of letters (word borders included).  It
-is fitted on a bounded sample of labelled rows (``LABELLED`` a language, chosen by
-hash) and is a table of ``BUCKETS`` rows of one number per language, whatever the
-size of the corpus.  Texts are scored by the batch, in numpy.
+is fitted on all labelled rows, counted where they are read, and is a table of
+``BUCKETS`` rows of one number per language, whatever the size of the corpus.  Texts are scored by the batch, in numpy.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-LABELLED = 1_500  # labelled rows a language that the model is fitted on
-LONGEST = 8_000  # characters of the longest text among them
 BUCKETS = 1 << 16
 _SMOOTH = 0.5
 _MUCH = 1 << 20  # characters scored at once
@@ -79,39 +78,61 @@ def _table(counts: np.ndarray) -> np.ndarray:
     return np.log(counts / counts.sum(axis=0)).astype(np.float32)
 
 
-def fit(rows: list[tuple[str, str]]) -> Languages:
-    """The model of ``(language, text)`` rows; every language counts alike."""
-    names = tuple(sorted({lang for lang, _ in rows}))
-    counts = np.full((BUCKETS, max(1, len(names))), _SMOOTH, dtype=np.float64)
-    for lang, text in rows:
-        np.add.at(counts[:, names.index(lang)], _buckets(text), 1.0)
-    return Languages(names, _table(counts), counts)
+def _counted(df: DataFrame, told: Callable[[pa.RecordBatch], Iterator[tuple[str, str]]]) -> dict[str, np.ndarray]:
+    """Trigrams per language of the ``(language, text)`` that ``told`` makes of every batch; one number per language and bucket reaches the driver."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, np.ndarray] = {}
+        for batch in batches:
+            held: dict[str, list[np.ndarray]] = {}
+            for lang, text in told(batch):
+                held.setdefault(lang, []).append(_buckets(text))
+            for lang, each in held.items():
+                now = np.bincount(np.concatenate(each), minlength=BUCKETS)
+                seen[lang] = seen[lang] + now if lang in seen else now
+        for lang, counts in seen.items():
+            at = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(counts[at])], ["l", "b", "n"])
 
-def adapt(model: Languages, texts: list[str], lead: float = 12.0, each: float = 0.5) -> Languages:
-    """The model fitted on, with those of a bounded list of texts whose language it tells beyond doubt, so that it knows their words too.
+    rows = df.mapInArrow(run, "l string, b int, n bigint").groupBy("l", "b").agg(F.sum("n").alias("n")).toArrow()
+    lang, at, n = np.array(rows.column("l").to_pylist(), dtype=object), rows.column("b").to_numpy(), rows.column("n").to_numpy()
+    out = {}
+    for name in sorted(set(lang)):
+        mine = lang == name
+        out[name] = np.zeros(BUCKETS)
+        out[name][at[mine]] = n[mine]
+    return out
+
+
+def adapt(model: Languages, texts: DataFrame, prose: Callable[[str], str], lead: float = 12.0, each: float = 0.5) -> Languages:
+    """The model fitted on, with those of a column of texts whose language it tells beyond doubt, so that it knows their words too.
 
     Returned without its counts: what travels to the workers is the table.
     """
-    texts = list(dict.fromkeys(t for t in texts if t))
-    if model.counts is None or len(model.names) < 2 or not texts:
-        return Languages(model.names, model.table)
-    scores, size = model.scores(texts)
-    order = np.sort(scores, axis=1)
-    gap, best = order[:, -1] - order[:, -2], scores.argmax(axis=1)
+    known = Languages(model.names, model.table)
+    if model.counts is None or len(model.names) < 2:
+        return known
+
+    def told(batch: pa.RecordBatch) -> Iterator[tuple[str, str]]:
+        bodies = [b for b in map(prose, batch.column(0).to_pylist()) if b]
+        distinct = list(dict.fromkeys(bodies))
+        scores, size = known.scores(distinct)
+        order = np.sort(scores, axis=1)
+        sure = order[:, -1] - order[:, -2] > np.maximum(lead, each * size)
+        name = {t: known.names[b] for t, b, ok in zip(distinct, scores.argmax(axis=1), sure, strict=True) if ok}
+        return ((name[t], t) for t in bodies if t in name)
+
     counts = model.counts.copy()
-    for n in np.flatnonzero(gap > np.maximum(lead, each * size)):
-        np.add.at(counts[:, best[n]], _buckets(texts[n]), 1.0)
+    for lang, more in _counted(texts, told).items():
+        counts[:, model.names.index(lang)] += more
     return Languages(model.names, _table(counts))
 
 
-def learn(documents: DataFrame, labelled: int = LABELLED) -> Languages:
-    """The model of a bounded sample of the labelled rows: about ``labelled`` a language, those of least hash."""
-    fit_for_it = F.col("lang").isNotNull() & (F.trim("lang") != "") & (F.length("text") <= LONGEST)
-    known = documents.where(fit_for_it).select(label(F.col("lang")).alias("l"), F.col("text").alias("t"), F.xxhash64("doc_id").alias("h"))
-    sizes = {r["l"]: r["n"] for r in known.groupBy("l").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n")).limit(200).collect()}
-    if not sizes:
+def learn(documents: DataFrame) -> Languages:
+    """The model of all labelled rows; every language counts alike."""
+    labelled = documents.where(F.col("lang").isNotNull() & (F.trim("lang") != "") & F.col("text").isNotNull()).select(label(F.col("lang")), "text")
+    found = _counted(labelled, lambda batch: zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+    if not found:
         return Languages((), np.zeros((BUCKETS, 1), dtype=np.float32))
-    bar = F.element_at(F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, labelled / n))]), F.col("l"))
-    kept = known.where(F.col("l").isin(*sizes) & (F.pmod("h", F.lit(1_000_003)) < bar * 1_000_003)).select("l", "t").collect()
-    return fit([(r["l"], r["t"]) for r in kept])
+    counts = np.stack(list(found.values()), axis=1) + _SMOOTH
+    return Languages(tuple(found), _table(counts), counts)

@@ -104,3 +104,17 @@ def test_statements_after_what_cannot_be_told():
     on = ["I can't tell the two cups apart at first glance, but the nearer one has a hook.", "I cannot read the sign, however its lower line says closed.", "Ich kann die Schrift nicht lesen, aber das Schild ist rot und hängt links."]
     off = ["I'm sorry, but I can't help with that request.", "I can't help with that, but I can answer another question.", "I cannot do this, but please consult a specialist about it.", "I won't segment that for you."]
     assert [defects.goes_on(t) for t in on + off] == [True] * 3 + [False] * 4
+
+
+def test_all_sound_pairs_are_labelled(spark):
+    """Cutoffs and anchors come from every sound pair, the language model from every labelled document and every turn."""
+    conv = conversations(spark, SOUND, copies=60)
+    voted = defects.pair_votes(conv, defects.fitted_languages(conv, documents(spark)))
+    made = [m for r in voted.collect() for m in r.made]
+    sound = 60 * (len(SOUND) - 1)  # one of them has a vote for a defect
+    assert sum(m[1] == str(defects._SOUND) for m in made) == sound > defects.ANCHOR
+    labelled = defects.labelled_counts(voted)
+    assert sum(n for _, has, n in labelled[0][1] if has) == sum(m[:2] == "10" for m in made)
+    assert sum(w for _, has, w in labelled[0][0] if has) == pytest.approx(sum(m[:2] == "00" for m in made) * defects.ANCHOR / sound)
+    few = langid.learn(documents(spark))
+    assert langid.learn(documents(spark).union(documents(spark))).counts.sum() - few.counts.sum() == pytest.approx(few.counts.sum() - langid._SMOOTH * few.counts.size)
